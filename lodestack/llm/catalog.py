@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, exact_dedup, packing
+from lodestack.llm import bpe, exact_dedup, language, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_packing": packing.op3_packing,
         "op4_bpe": bpe.op4_bpe,
+        "op7_language": language.op7_language,
+        "op8_quality": quality.op8_quality,
     }
 
 

@@ -72,3 +72,35 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield each(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def text_udf(make: Callable[[], Callable[[list], list]], returns: str, arrow_type: pa.DataType) -> Callable[[Column], Column]:
+    """A scalar Arrow function of a text column. ``make`` runs once a task; its function maps lists to lists."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = make()
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], names=["text"])
+            out: list = []
+            for piece in slices(batch, "text"):
+                out.extend(each(piece.column("text").to_pylist()))
+            yield pa.array(out, arrow_type)
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returns)
+
+
+def picked_rows(labels: DataFrame, id_col: str, label: str, held_out: Column, per_class: int) -> DataFrame:
+    """At most ``per_class`` ids of each label value, chosen by hash, outside ``held_out``; the sample has a fixed bound."""
+    from pyspark.sql import Window
+
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out)
+    one = rows.groupBy(id_col).agg(F.max(label).alias("label"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).select(F.col(id_col).alias("picked_id"), "label")
+
+
+def sigmoid(x):
+    import numpy as np
+
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
