@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, exact_dedup, language, packing, quality, toxicity
+from lodestack.llm import bpe, chat, exact_dedup, language, media, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,13 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_packing": packing.op3_packing,
         "op4_bpe": bpe.op4_bpe,
+        "op5_warc": warc.op5_warc,
+        "op6_chat": chat.op6_chat,
         "op7_language": language.op7_language,
         "op8_quality": quality.op8_quality,
+        "op9_media": media.op9_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
