@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, chat, exact_dedup, language, media, packing, quality, toxicity, warc
+from lodestack.llm import bpe, chat, exact_dedup, language, media, ngram_join, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language": language.op7_language,
         "op8_quality": quality.op8_quality,
         "op9_media": media.op9_media,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
