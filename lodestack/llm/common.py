@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,13 +63,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str, limit: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over bounded pieces. ``make`` runs once a task and returns the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for piece in slices(batch, by):
+            for piece in slices(batch, by, limit):
                 yield each(piece)
 
     return df.mapInArrow(run, schema)
@@ -90,14 +91,26 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: str, arrow_typ
     return F.arrow_udf(run, returns)
 
 
+def share_kept(rows: DataFrame, group: str, wanted: int) -> dict:
+    """Of each value of ``group``, the share (in millionths) that leaves about ``wanted`` rows."""
+    return {r[0]: min(1_000_000, math.ceil(1e6 * wanted / r[1])) for r in rows.groupBy(group).count().collect()}
+
+
+def hash_share(id_col: str, group: str, shares: dict) -> Column:
+    """Keeps by hash of the id the given share of each group: no shuffle, and the same rows every time."""
+    if not shares:
+        return F.lit(False)
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(group)]
+    return F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000)) < share
+
+
 def picked_rows(labels: DataFrame, id_col: str, label: str, held_out: Column, per_class: int) -> DataFrame:
-    """At most ``per_class`` ids of each label value, chosen by hash, outside ``held_out``; the sample has a fixed bound."""
-    from pyspark.sql import Window
+    """About ``per_class`` ids of each label value at most, chosen by hash, outside ``held_out``.
 
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out)
-    one = rows.groupBy(id_col).agg(F.max(label).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).select(F.col(id_col).alias("picked_id"), "label")
+    The sample's size does not grow with the table. A document with several labels has the largest."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out).select(F.col(id_col).alias("picked_id"), F.col(label).cast("int").alias("label"))
+    some = rows.where(hash_share("picked_id", "label", share_kept(rows, "label", per_class)))
+    return some.groupBy("picked_id").agg(F.max("label").alias("label"))
 
 
 def sigmoid(x):

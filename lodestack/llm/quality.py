@@ -4,7 +4,7 @@ A document becomes two dozen statistics of its bytes, words and lines. Trees are
 leaf by leaf on binned statistics with second-order gains, then flattened into arrays;
 scoring walks all rows of a batch through each tree level with numpy.
 
-Fitted on at most ``per_class`` labelled documents of each class (chosen by hash; only
+Fitted on about ``per_class`` labelled documents of each class at most (by hash; only
 their statistics reach the driver); scoring covers every whole text. Defined results:
 null and empty texts have all-zero statistics and get the trees' value there. Extra
 columns are ignored.

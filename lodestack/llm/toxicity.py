@@ -8,7 +8,7 @@ smoothed log-odds. A hit
 inside an exception phrase (a two-word phrase seen in clean documents only) does not
 count. The weights' sum and its share of the text's length go through a logistic curve.
 
-The model is fitted on at most ``per_class`` labelled documents of each class (chosen by
+The model is fitted on about ``per_class`` labelled documents of each class at most (chosen by
 hash); scoring covers every whole text. Defined results: null and empty texts have no
 hits and get the curve's value at zero. Extra columns are ignored or passed through.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import fold_of, picked_rows, sigmoid, text_udf
 
-PER_CLASS = 5000
+PER_CLASS = 2500
 #: Letters of other scripts and the Latin letters that they look like.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
@@ -154,10 +154,14 @@ def fit_lexicon(rows: list[tuple[str, int]], prior: float | None = None, chance:
 
     ``chance`` bounds the expected number of entries found by accident; near copies count once."""
     docs = _without_copies(rows)
-    toxic = [_entries(set(w)) for w, y in docs if y]
-    in_toxic = Counter(e for s in toxic for e in s)
+    in_toxic: Counter[str] = Counter()
+    for words, label in docs:
+        if label:
+            in_toxic.update(_entries(set(words)))
+    n_toxic = max(1, sum(y for _, y in docs))
+    in_toxic = Counter({e: n for e, n in in_toxic.items() if n >= 4})
     in_clean = Counter(e for w, y in docs if not y for e in _entries(set(w)) & in_toxic.keys())
-    n_toxic, n_clean = max(1, len(toxic)), max(1, len(docs) - len(toxic))
+    n_clean = max(1, len(docs) - n_toxic)
     share = n_toxic / (n_toxic + n_clean)
     bar = float(np.log(max(1, len(in_toxic)) / chance))
 
