@@ -10,7 +10,7 @@ Forward-backward runs over blocks of ``BLOCK`` words: a matrix product for each
 a scan over the blocks of a document, then all blocks together inside. That is exact,
 and a text of any length costs as many numpy calls as a short one, but for the scan.
 
-Fitted on at most ``per_language`` labelled documents of each language (chosen by hash),
+Fitted on about ``per_language`` labelled documents of each language at most (chosen by hash),
 cut into windows, half of which splice two documents so that switches are learned.
 Defined results: ``und`` with score 0 where the text is null or has no letter. Extra
 columns are ignored.
@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import fold_of, text_udf
+from lodestack.llm.common import fold_of, hash_share, share_kept, text_udf
 
 PER_LANGUAGE = 600
 BUCKETS = 1 << 16
@@ -242,9 +242,8 @@ def _expectations(scores: np.ndarray, transitions: np.ndarray, mask: np.ndarray)
 def train(documents: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """Fit on a bounded sample: ids are chosen from slim rows, then their texts are fetched."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("picked_id"), "picked_id")
     slim = rows.select(F.col(id_col).alias("picked_id"), F.col(lang_col).alias("lang"))
-    picked = slim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("picked_id", "lang").distinct()
+    picked = slim.where(hash_share("picked_id", "lang", share_kept(slim, "lang", per_language))).distinct()
     texts = documents.select(F.col(id_col).alias("picked_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "picked_id")
     got = sorted((r["picked_id"], r["lang"], r["text"]) for r in texts.where(F.col("text").isNotNull()).collect())
     return fit([(t, y) for _, y, t in got])
