@@ -4,7 +4,8 @@ A byte pair that occurs inside no vocabulary token can never be merged across, s
 marks a certain cut: the pieces between such cuts are encoded on their own and their
 ids concatenated. The last byte of a word carries the vocabulary's word-end mark and
 counts as a symbol of its own. Merging a piece takes the lowest rank first, leftmost
-first, with a heap, so a word of any length costs n log n.
+first. Short pieces make their merges together in numpy tables; long ones use a heap,
+so a word of any length costs n log n.
 
 White space ends a word, so ids are kept by white-space-delimited chunk in a bounded
 dictionary. Characters outside ``_PLAIN`` go through the vocabulary file's own
@@ -20,10 +21,12 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,6 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import map_arrow
 
 _PLAIN = re.compile("[\x00-˿Ͱ-ͳΆ-ϿЀ-҂Ҋ-ӿ‐-‧‰-⁞₠-₿]*")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Fixed by the vocabulary file's format: its pre-tokenizer's pattern, with white space spelled out.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 _END = "</w>"
@@ -52,10 +53,32 @@ def byte_letters() -> list[str]:
     return [letters.get(b) or chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Recent:
+    """A bounded dictionary of two generations: what was asked for lately outlives a change of generation."""
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.limit, self.longest = limit, longest
+
+    def find(self, key: str | bytes) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key: str | bytes, value: bytes) -> bytes:
+        if len(key) <= self.longest:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
 class WordBpe:
     """Encoder and decoder for a word-end BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,30 +92,109 @@ class WordBpe:
         self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
+        self._merge_tables()
         self._library = None
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._chunks: dict[str, bytes] = {}
-        self._limit = cache_entries
+        self._pieces = Recent(cache_entries // 2)
+        self._chunks = Recent(cache_entries)
 
-    def _inside_pairs(self) -> set[tuple[str, str]]:
-        """Neighbouring symbols that occur inside some token; every other pair is a certain cut."""
-        found = set()
+    def _inside_pairs(self) -> np.ndarray:
+        """[a, b]: whether byte b follows byte a inside some token; 256 + b is byte b at a word's end."""
+        code = {c: b for b, c in enumerate(self.letters)}
+        found = np.zeros((512, 512), bool)
         for token in self.vocab:
-            symbols = self._symbols(token.removesuffix(_END), token.endswith(_END))
-            found.update(zip(symbols, symbols[1:], strict=False))
+            codes = [code[c] for c in token.removesuffix(_END)]
+            if token.endswith(_END) and codes:
+                codes[-1] += 256
+            found[codes[:-1], codes[1:]] = True
         return found
 
-    @staticmethod
-    def _symbols(letters: str, ends: bool) -> list[str]:
-        return [*letters[:-1], letters[-1] + _END] if ends and letters else list(letters)
-
-    def fragments(self, symbols: list[str]) -> list[list[str]]:
-        out, start = [], 0
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.inside:
-                out.append(symbols[start:i])
-                start = i
-        return [*out, symbols[start:]]
+    def fragments(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Pieces of all words between certain cuts, and the number of pieces of each word.
+
+        A word's last piece ends with byte 255, which UTF-8 never has."""
+        joined = b"\xff".join(words) + b"\xff"
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.flatnonzero(raw == 255)
+        codes = raw.astype(np.int64)
+        codes[ends - 1] += 256
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = ~self.inside[codes[:-1] & 511, codes[1:] & 511]
+        cut[ends] = False
+        cut[0] = True
+        cut[ends[:-1] + 1] = True
+        at = np.flatnonzero(cut)
+        edges = [*at.tolist(), len(raw)]
+        pieces = [joined[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        return pieces, np.diff(np.searchsorted(at, [0, *(ends + 1)]))
+
+    def _merge_tables(self) -> None:
+        """Symbols of bytes, and all merges sorted by their pair of ids."""
+        vocab = self.vocab
+        self._symbol = np.array([vocab[c] for c in self.letters] + [vocab[c + _END] for c in self.letters], np.int64)
+        pairs = np.array([(vocab[a] << 32 | vocab[b], r, vocab[a + b]) for (a, b), r in self.ranks.items()], np.int64).reshape(-1, 3)
+        order = np.argsort(pairs[:, 0])
+        self._pair_keys, self._pair_ranks = pairs[order, 0], pairs[order, 1]
+        self._product = np.zeros(len(pairs) and int(pairs[:, 1].max()) + 1, np.int64)
+        self._product[pairs[:, 1]] = pairs[:, 2]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self._pair_keys[at] == keys), self._pair_ranks[at], len(self._product))
+
+    def _merge_many(self, keys: list[bytes]) -> list[bytes]:
+        """Merges many pieces together: in each step every piece makes its next merge."""
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        out: list[bytes] = [b""] * len(keys)
+        for low, high in ((0, 5), (5, 9), (9, 14), (14, 26)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(rows):
+                for k, ids in zip(rows.tolist(), self._merge_table([keys[k] for k in rows], sizes[rows]), strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > 26).tolist():
+            symbols = [self.letters[b] for b in keys[k] if b != 255]
+            if keys[k][-1] == 255:
+                symbols[-1] += _END
+            out[k] = array("I", self._merge(symbols)).tobytes()
+        return list(map(self._pieces.keep, keys, out))
+
+    def _merge_table(self, keys: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        raw = np.frombuffer(b"".join(keys), np.uint8)
+        marks = np.flatnonzero(raw == 255)
+        codes = raw.astype(np.int64)
+        codes[marks - 1] += 256
+        row = np.repeat(np.arange(len(keys)), sizes)
+        column = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        table = np.full((len(keys), int(sizes.max()) + 1), -1, np.int64)
+        real = raw != 255
+        table[row[real], column[real]] = self._symbol[codes[real]]
+        never = len(self._product)
+        ranks = self._rank_of(table[:, :-1], table[:, 1:])
+        columns = np.arange(ranks.shape[1])
+        left = np.arange(len(keys))
+        while len(left):
+            at = ranks.argmin(1)
+            best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            some = best < never
+            left, ranks, at, best = left[some], ranks[some], at[some], best[some]
+            if not len(left):
+                break
+            now = table[left]
+            gone = columns[None, :] > at[:, None]
+            now[:, :-1] = np.where(gone, now[:, 1:], now[:, :-1])
+            now[:, -1] = -1
+            rows = np.arange(len(left))
+            now[rows, at] = self._product[best]
+            table[left] = now
+            ranks[:, :-1] = np.where((columns >= at[:, None])[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = never
+            ranks[rows, at] = self._rank_of(now[rows, at], now[rows, at + 1])
+            inner = at > 0
+            ranks[rows[inner], at[inner] - 1] = self._rank_of(now[rows[inner], at[inner] - 1], now[rows[inner], at[inner]])
+        kept = table >= 0
+        data = table[kept].astype("<u4").tobytes()
+        edges = [0, *(4 * np.cumsum(kept.sum(1))).tolist()]
+        return [data[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
     def _merge(self, symbols: list[str]) -> tuple[int, ...]:
         """Lowest rank first, then leftmost, over a linked list."""
@@ -115,60 +217,69 @@ class WordBpe:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return tuple(self.vocab[p] for p in parts if p is not None)
 
-    def _word(self, letters: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.fragments(self._symbols(letters, True)):
-            key = "".join(piece)
-            got = self._pieces.get(key)
-            if got is None:
-                got = self._merge(piece)
-                if len(key) <= 64:
-                    if len(self._pieces) >= self._limit:
-                        self._pieces.clear()
-                    self._pieces[key] = got
-            ids.extend(got)
-        return ids
-
-    def _words(self, part: str) -> list[str]:
-        """Words of ``part`` in byte letters."""
+    def _words(self, part: str) -> list[bytes]:
+        """Words of ``part``, normalised, in UTF-8."""
         if _PLAIN.fullmatch(part):
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            return ["".join(map(self.letters.__getitem__, w.encode())) for w in _WORD.findall(low)]
+            low = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            return [w.encode() for w in _WORD.findall(low)]
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part))]
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for part in self._special.split(chunk) if self._special and "<" in chunk else (chunk,):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                for word in self._words(part):
-                    ids.extend(self._word(word))
-        return np.array(ids, "<u4").tobytes()
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        chunks = _SPACES.split(text) if _ODD_SPACE.search(text) else text.split()
-        known, out = self._chunks, []
-        for chunk in chunks:
-            got = known.get(chunk)
-            if got is None:
-                got = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= self._limit:
-                        known.clear()
-                    known[chunk] = got
-            out.append(got)
-        return b"".join(out)
+            self._code = {c: b for b, c in enumerate(self.letters)}
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part))
+        return [bytes(map(self._code.__getitem__, w)) for w, _ in found]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks not known yet."""
+        words: list[bytes] = []
+        counts, special = [], {}
+        for k, chunk in enumerate(chunks):
+            before = len(words)
+            low = chunk.lower()
+            if low.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
+                words.append(low.encode())
+            elif self._special and "<" in chunk and (parts := self._special.split(chunk))[1:]:
+                special[k] = parts
+            else:
+                words.extend(self._words(chunk))
+            counts.append(len(words) - before)
+        out = [b""] * len(chunks)
+        if words:
+            pieces, per_word = self.fragments(words)
+            ids = list(map(self._pieces.find, pieces))
+            missing = [p for p, got in zip(pieces, ids, strict=True) if got is None]
+            distinct = list(dict.fromkeys(missing))
+            made = dict(zip(distinct, self._merge_many(distinct), strict=True))
+            ids = [made[p] if got is None else got for p, got in zip(pieces, ids, strict=True)]
+            edges = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            out = [ids[i] if j == i + 1 else b"".join(ids[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        for k, parts in special.items():
+            out[k] = b"".join(array("I", (self.special[p],)).tobytes() if p in self.special else b"".join(self._encode_chunks([p])) for p in parts if p)
+        return list(map(self._chunks.keep, chunks, out))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (one more than texts).
+
+        Each distinct chunk of the batch is looked up once; ids are then gathered by numpy."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        parts = list(map(self._chunks.find, chunks))
+        missing = [k for k, got in enumerate(parts) if got is None]
+        for k, got in zip(missing, self._encode_chunks([chunks[k] for k in missing]), strict=True):
+            parts[k] = got
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        values, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = values[np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids, ends[edges]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids) -> str:
         """The file names no decoder: tokens, special ones too, joined by spaces; unknown ids are skipped."""
@@ -179,6 +290,12 @@ class WordBpe:
             return " ".join(tokens[i] for i in ids if i < top)
 
 
+def binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary array whose items are the values between the edges."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -194,17 +311,17 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = vocabulary or default_vocabulary()
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encode = tokenizer(path).encode_bytes
+        encode = tokenizer(path).encode_batch
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pa.array([encode(t) for t in batch.column("text").to_pylist()], pa.binary())
+            ids = binaries(*encode(batch.column("text")))
             return pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
 
         return each
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, make, f"id {kind}, ids binary", "text").withColumnRenamed("id", id_col)
+    return map_arrow(rows, make, f"id {kind}, ids binary", "text", 8 << 20).withColumnRenamed("id", id_col)
 
 
 def decode_documents(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:

@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.bpe import default_vocabulary, tokenizer
+from lodestack.llm.bpe import binaries, default_vocabulary, tokenizer
 from lodestack.llm.common import slices, written
 
 WINDOW = 2048
 END_ID = 1
+#: Up to so many partitions their offsets are broadcast; beyond, they are joined by a shuffle.
+MOST_PARTITIONS = 1_000_000
 
 
 def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
@@ -35,18 +37,17 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = tokenizer(vocabulary).encode_bytes, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        narrow = len(tokenizer(vocabulary).tokens) <= 1 << 16
+        words, part, at = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
+        width = "<u2" if len(words.tokens) <= 1 << 16 else "<u4"
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids = [encode(t) + end for t in piece.column("text").to_pylist()]
-                sizes = [len(b) // 4 for b in ids]
-                starts = np.cumsum([at, *sizes])
+            for piece in slices(batch, "text", 8 << 20):
+                ids, edges = words.encode_batch(piece.column("text"))
+                ids = np.insert(ids, edges[1:], end_id).astype(width)
+                edges = edges + np.arange(len(edges))
+                starts = at + edges
                 at = int(starts[-1])
-                kept = [np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in ids] if narrow else ids
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())],
+                    [piece.column("id"), pa.array(np.full(len(piece), part, np.int32)), pa.array(starts[:-1]), pa.array(np.diff(edges)), binaries(ids, edges)],
                     names=["id", "part", "at", "n", "ids"],
                 )
 
@@ -63,7 +64,10 @@ def global_offsets(stream: DataFrame) -> DataFrame:
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """Pieces: id, start, length, ids (unsigned 32-bit), doc_tokens, sequence_id, offset, cut_before, cut_after."""
     stream = written(token_stream(df, id_col, text_col, vocabulary or default_vocabulary(), end_id), "token-stream")
-    placed = stream.join(global_offsets(stream), "part").select("id", (F.col("base") + F.col("at")).alias("first"), "n", "ids")
+    bases = global_offsets(stream)
+    if (stream.agg(F.max("part")).first()[0] or 0) < MOST_PARTITIONS:
+        bases = F.broadcast(bases)  # 12 bytes for each input partition
+    placed = stream.join(bases, "part").select("id", (F.col("base") + F.col("at")).alias("first"), "n", "ids")
     kind = placed.schema["id"].dataType.simpleString()
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "cut_before", "cut_after"]
 
