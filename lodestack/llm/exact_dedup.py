@@ -75,10 +75,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
-    """The rows of ``df`` that stay, one for each text, with all their columns."""
-    kept = exact_dedup(df, id_col, text_col, fan_in).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    once = df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return once.dropDuplicates([id_col])
+    """The rows of ``df`` that stay, one for each text, with all their columns.
+
+    An identifier that several texts share keeps each of them; the join and the removal
+    of repeated rows use the same keys, so the texts are shuffled once."""
+    kept = exact_dedup(df, id_col, text_col, fan_in).where("kept")
+    kept = kept.select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_text")).distinct()
+    marked = df.withColumns({"__own_id": F.col(id_col), "__own_text": F.sha2(normalised(text_col), 256)})
+    same = F.col("__own_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_text") == F.col("__kept_text"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["__own_id", "__own_text"]).drop("__own_id", "__own_text")
 
 
 SQL = r"""
