@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import default_vocabulary, tokenizer
-from lodestack.llm.common import slices
+from lodestack.llm.common import mapped, slices
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
@@ -155,7 +155,7 @@ def format_chats(
             out.append({"conv_id": conv, **windows.close()})
             yield flush()
 
-    return together.mapInArrow(run, _SCHEMA.format(kind=kind))
+    return mapped(together, run, _SCHEMA.format(kind=kind))
 
 
 def parse_window(text: str) -> list[tuple[str, str]]:
@@ -205,7 +205,7 @@ def digest_chats(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield done([state])
 
-    return windows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return mapped(windows, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

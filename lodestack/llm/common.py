@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: White space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of a batch to Python, and bytes of the pieces it is worked on in.
+BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 500, 4 << 20, 1 << 20
+
 _own_dir: dict[str, str] = {}
 
 
@@ -50,7 +54,22 @@ def fold_of(id_col: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(folds))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """Texts differ widely in length, so batches to Python are bounded: by bytes, and by fewer rows where only rows count."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        found = re.match(r"\d+", spark.conf.get(name, "") or "")
+        if not found or not 0 < int(found[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` on small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``limit`` bytes in each piece (one row at least)."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
     start = total = 0
@@ -63,7 +82,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str, limit: int = 4 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str, limit: int = PIECE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded pieces. ``make`` runs once a task and returns the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +91,14 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for piece in slices(batch, by, limit):
                 yield each(piece)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def text_udf(make: Callable[[], Callable[[list], list]], returns: str, arrow_type: pa.DataType) -> Callable[[Column], Column]:
     """A scalar Arrow function of a text column. ``make`` runs once a task; its function maps lists to lists."""
 
+    small_batches(SparkSession.active())
+
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         each = make()
         for array in arrays:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import slices, written
+from lodestack.llm.common import mapped, slices, written
 from lodestack.llm.components import connected
 from lodestack.llm.shingles import class_key, mixed, overlap, shingle_sets
 
@@ -107,7 +107,7 @@ def document_sets(keyed: DataFrame, rule: Rule) -> DataFrame:
                     names=["id", "row_key", "n", "cls", "m"],
                 )
 
-    return keyed.mapInArrow(run, f"id {kind}, row_key long, n long, cls long, m long")
+    return mapped(keyed, run, f"id {kind}, row_key long, n long, cls long, m long")
 
 
 def _dealt(tokens: np.ndarray, classes: np.ndarray, shift: int) -> Iterator[tuple]:
@@ -189,7 +189,7 @@ def shared_tokens(keyed: DataFrame, rule: Rule, n_ranges: int) -> DataFrame:
         c = np.concatenate([c, *(x for x, k in zip(classes, known, strict=True) if k)])
         return pa.table({"cls": _signed(c), "token": _signed(t), "df": pa.array(np.concatenate([n, *counts]).astype(np.int64))})
 
-    blobs = keyed.select("text").mapInArrow(deal, "range long, tokens binary, classes binary, counts binary")
+    blobs = mapped(keyed.select("text"), deal, "range long, tokens binary, classes binary, counts binary")
     return blobs.groupBy("range").applyInArrow(meet, "cls long, token long, df long")
 
 
@@ -245,7 +245,7 @@ def candidate_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule, buffer_bytes
                     held, size = {}, 0
         yield from flush()
 
-    return rows.mapInArrow(run, "cls long, n long, found binary, k1 long, k2 long, leader long")
+    return mapped(rows, run, "cls long, n long, found binary, k1 long, k2 long, leader long")
 
 
 def lead_across(sets: DataFrame, key: str, rule: Rule) -> DataFrame:
@@ -265,7 +265,7 @@ def lead_across(sets: DataFrame, key: str, rule: Rule) -> DataFrame:
                     b.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cls", "leader"])
 
-    return together.mapInArrow(run, "cls long, leader long")
+    return mapped(together, run, "cls long, leader long")
 
 
 def grouped(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -296,7 +296,7 @@ def _opened(pairs: DataFrame, rule: Rule) -> DataFrame:
                 if overlap(query, union) >= rule.least(len(query)) and any(rule.links(query, x) for x in members):
                     yield pa.RecordBatch.from_arrays([pa.array([row["query_g"].as_py()], pa.int64()), pa.array([row["g"].as_py()], pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return mapped(pairs, run, "a long, b long")
 
 
 def group_links(sets: DataFrame, shared: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +341,7 @@ def _blocks_against_all(keyed: DataFrame, few: DataFrame, rule: Rule, block: int
                     hits = [(c, class_key(f)) for f in shingle_sets(piece.column("text"), rule.n) if len(f) for c, q in some if rule.links(q, f)]
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["a", "b"])
 
-        links = keyed.select("text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+        links = mapped(keyed.select("text"), run, "a long, b long").where("a <> b").distinct()
         out = links if out is None else out.union(links)
     return written(out.distinct(), "few-links")
 

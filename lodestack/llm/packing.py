@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import binaries, default_vocabulary, tokenizer
-from lodestack.llm.common import slices, written
+from lodestack.llm.common import mapped, slices, written
 
 WINDOW = 2048
 END_ID = 1
@@ -40,7 +40,7 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
         words, part, at = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         width = "<u2" if len(words.tokens) <= 1 << 16 else "<u4"
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text"):
                 ids, edges = words.encode_batch(piece.column("text"))
                 ids = np.insert(ids, edges[1:], end_id).astype(width)
                 edges = edges + np.arange(len(edges))
@@ -51,7 +51,7 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
                     names=["id", "part", "at", "n", "ids"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, part int, at long, n long, ids binary")
+    return mapped(rows, run, f"id {kind}, part int, at long, n long, ids binary")
 
 
 def global_offsets(stream: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean"
-    return placed.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return mapped(placed, cut, schema).withColumnRenamed("id", id_col)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import new_path, slices, written
+from lodestack.llm.common import mapped, new_path, slices, written
 
 #: Fixed values of the two formats.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -235,7 +235,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_c
             path = _store(folder, f"part-{context.partitionId():06d}-{k:05d}.warc.zst", data, context.taskAttemptId())
             yield pa.RecordBatch.from_pylist([{"path": path, "records": count, "bytes": len(data)}], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return mapped(rows, run, "path string, records long, bytes long")
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -259,7 +259,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
                             out, size = [], 0
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return files.mapInArrow(run, "key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return mapped(files, run, "key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
 SQL = """
