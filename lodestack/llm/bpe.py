@@ -37,6 +37,8 @@ _PLAIN = re.compile("[\x00-˿Ͱ-ͳΆ-ϿЀ-҂Ҋ-ӿ‐-‧‰-⁞₠-₿]*")
 #: Fixed by the vocabulary file's format: its pre-tokenizer's pattern, with white space spelled out.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 _END = "</w>"
+#: Bytes of text encoded together: chunks that repeat among them are looked up once.
+ENCODE_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:
@@ -74,6 +76,23 @@ class Recent:
             self.young[key] = value
         return value
 
+    def find_all(self, keys: list) -> list:
+        got = list(map(self.young.get, keys))
+        if self.old:
+            for k in [k for k, v in enumerate(got) if v is None]:
+                if (v := self.old.get(keys[k])) is not None:
+                    got[k] = self.keep(keys[k], v)
+        return got
+
+    def keep_all(self, keys: list, values: list) -> None:
+        """As ``keep`` for each; the limit is looked at once, so the younger half may exceed it by one batch."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        if keys and max(map(len, keys)) > self.longest:
+            self.young.update((k, v) for k, v in zip(keys, values, strict=True) if len(k) <= self.longest)
+        else:
+            self.young.update(zip(keys, values, strict=True))
+
 
 class WordBpe:
     """Encoder and decoder for a word-end BPE file of the tokenizers library."""
@@ -234,9 +253,8 @@ class WordBpe:
         """Ids of chunks not known yet."""
         words: list[bytes] = []
         counts, special = [], {}
-        for k, chunk in enumerate(chunks):
+        for k, (chunk, low) in enumerate(zip(chunks, "\n".join(chunks).lower().split("\n"), strict=True)) if chunks else ():
             before = len(words)
-            low = chunk.lower()
             if low.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
                 words.append(low.encode())
             elif self._special and "<" in chunk and (parts := self._special.split(chunk))[1:]:
@@ -247,7 +265,7 @@ class WordBpe:
         out = [b""] * len(chunks)
         if words:
             pieces, per_word = self.fragments(words)
-            ids = list(map(self._pieces.find, pieces))
+            ids = self._pieces.find_all(pieces)
             missing = [p for p, got in zip(pieces, ids, strict=True) if got is None]
             distinct = list(dict.fromkeys(missing))
             made = dict(zip(distinct, self._merge_many(distinct), strict=True))
@@ -256,7 +274,8 @@ class WordBpe:
             out = [ids[i] if j == i + 1 else b"".join(ids[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
         for k, parts in special.items():
             out[k] = b"".join(array("I", (self.special[p],)).tobytes() if p in self.special else b"".join(self._encode_chunks([p])) for p in parts if p)
-        return list(map(self._chunks.keep, chunks, out))
+        self._chunks.keep_all(chunks, out)
+        return out
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more than texts).
@@ -265,7 +284,7 @@ class WordBpe:
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        parts = list(map(self._chunks.find, chunks))
+        parts = self._chunks.find_all(chunks)
         missing = [k for k, got in enumerate(parts) if got is None]
         for k, got in zip(missing, self._encode_chunks([chunks[k] for k in missing]), strict=True):
             parts[k] = got
@@ -321,7 +340,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, make, f"id {kind}, ids binary", "text").withColumnRenamed("id", id_col)
+    return map_arrow(rows, make, f"id {kind}, ids binary", "text", ENCODE_BYTES).withColumnRenamed("id", id_col)
 
 
 def decode_documents(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:

@@ -82,14 +82,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined, and large ones cut, to about ``limit`` bytes of ``column``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in slices(batch, column, limit):
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+            if size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str, limit: int = PIECE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded pieces. ``make`` runs once a task and returns the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            for piece in slices(batch, by, limit):
-                yield each(piece)
+        for piece in gathered(batches, by, limit):
+            yield each(piece)
 
     return mapped(df, run, schema)
 

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.bpe import binaries, default_vocabulary, tokenizer
-from lodestack.llm.common import mapped, slices, written
+from lodestack.llm.bpe import ENCODE_BYTES, binaries, default_vocabulary, tokenizer
+from lodestack.llm.common import gathered, mapped, slices, written
 
 WINDOW = 2048
 END_ID = 1
@@ -39,17 +39,17 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         width = "<u2" if len(words.tokens) <= 1 << 16 else "<u4"
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, edges = words.encode_batch(piece.column("text"))
-                ids = np.insert(ids, edges[1:], end_id).astype(width)
-                edges = edges + np.arange(len(edges))
-                starts = at + edges
-                at = int(starts[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(np.full(len(piece), part, np.int32)), pa.array(starts[:-1]), pa.array(np.diff(edges)), binaries(ids, edges)],
-                    names=["id", "part", "at", "n", "ids"],
-                )
+        for piece in gathered(batches, "text", ENCODE_BYTES):
+            ids, edges = words.encode_batch(piece.column("text"))
+            ids = np.insert(ids, edges[1:], end_id).astype(width)
+            edges = edges + np.arange(len(edges))
+            starts = at + edges
+            at = int(starts[-1])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array(np.full(len(piece), part, np.int32)), pa.array(starts[:-1]), pa.array(np.diff(edges)), binaries(ids, edges)],
+                names=["id", "part", "at", "n", "ids"],
+            )
+
 
     return mapped(rows, run, f"id {kind}, part int, at long, n long, ids binary")
 
