@@ -58,8 +58,8 @@ def small_batches(spark: SparkSession) -> None:
     """Texts differ widely in length, so batches to Python are bounded: by bytes, and by fewer rows where only rows count."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        found = re.match(r"\d+", spark.conf.get(name, "") or "")
-        if not found or not 0 < int(found[0]) <= most:
+        found = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if not found or not 0 < int(found[1]) <= most:
             spark.conf.set(name, str(most))
 
 

@@ -50,7 +50,6 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
                 names=["id", "part", "at", "n", "ids"],
             )
 
-
     return mapped(rows, run, f"id {kind}, part int, at long, n long, ids binary")
 
 
