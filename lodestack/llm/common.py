@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -63,10 +64,26 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` on small batches."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(each, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -121,6 +138,7 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: str, arrow_typ
             for piece in slices(batch, "text"):
                 out.extend(each(piece.column("text").to_pylist()))
             yield pa.array(out, arrow_type)
+        give_back()
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import mapped, slices, written
+from lodestack.llm.common import give_back, mapped, slices, written
 from lodestack.llm.components import connected
 from lodestack.llm.shingles import class_key, mixed, overlap, shingle_sets
 
@@ -189,8 +189,14 @@ def shared_tokens(keyed: DataFrame, rule: Rule, n_ranges: int) -> DataFrame:
         c = np.concatenate([c, *(x for x, k in zip(classes, known, strict=True) if k)])
         return pa.table({"cls": _signed(c), "token": _signed(t), "df": pa.array(np.concatenate([n, *counts]).astype(np.int64))})
 
+    def met(table: pa.Table) -> pa.Table:
+        try:
+            return meet(table)
+        finally:
+            give_back()
+
     blobs = mapped(keyed.select("text"), deal, "range long, tokens binary, classes binary, counts binary")
-    return blobs.groupBy("range").applyInArrow(meet, "cls long, token long, df long")
+    return blobs.groupBy("range").applyInArrow(met, "cls long, token long, df long")
 
 
 class _Leaders:
