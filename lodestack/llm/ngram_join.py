@@ -10,8 +10,9 @@ ceil(t * n) of its n shingles, so any n - ceil(t * n) + 1 of them hold a shared
    arrays out by hash range; each range finds the shingles that several classes hold.
    A shingle that is frequent within a task's rows is known to be shared there and stays
    there, so no task gathers a frequent shingle.
-2. A class with enough emitted shingles of its own can link with none. The others are
-   candidates; only their sets are fetched.
+2. The largest set that a class can link with emits the least; below that bound every
+   common shingle is emitted by both. A class with enough shingles of its own there can
+   link with none. The others are candidates; only their sets are fetched.
 3. Candidates are partitioned into groups of similar sets: sorted by a smallest hash they
    stream past the leaders of their key, in the task first, then across tasks, and join
    the group of the first leader that they link with.
@@ -49,6 +50,7 @@ _FREQUENT = 64  # classes of those rows that make a token frequent there
 _RANGE_TOKENS = 400_000
 _BROADCAST_ROWS = 200_000
 _LEADERS = 8
+_LEAST = -(1 << 63)  # the sign bit: with it flipped, unsigned hashes order as signed ones
 _GROUP_ROWS, _GROUP_TOKENS = 128, 1 << 16
 
 
@@ -78,6 +80,10 @@ class Rule:
         wanted = asked + self.slack * math.sqrt(asked) + 1.7 * self.slack
         return min(2**64 - 1, int(wanted / size * 2**64)) if size else 0
 
+    def reach(self, size: int) -> int:
+        """The bound of the largest set that links with one of that size: any such set emits what lies under it."""
+        return self.bound(self.den * size // self.num)
+
     def emitted(self, found: np.ndarray) -> np.ndarray:
         return found[: np.searchsorted(found, np.uint64(self.bound(len(found))), "right")]
 
@@ -95,19 +101,22 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(keyed: DataFrame, rule: Rule) -> DataFrame:
-    """(id, row_key, n, cls, m): the set's size, its class (null where empty) and how many tokens it emits."""
+    """(id, row_key, n, cls, m, top, below): the set's size, its class (null where empty), how many tokens it emits,
+    the bound of its largest partner (ordered as signed) and how many tokens lie under that."""
     kind = keyed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(piece.column("text"), rule.n)
+                tops = [rule.reach(len(s)) for s in sets]
+                below = [int(np.searchsorted(s, np.uint64(t), "right")) for s, t in zip(sets, tops, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), piece.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(rule.emitted(s)) for s in sets], pa.int64())],
-                    names=["id", "row_key", "n", "cls", "m"],
+                    [piece.column("id"), piece.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(rule.emitted(s)) for s in sets], pa.int64()), pa.array([t + _LEAST for t in tops], pa.int64()), pa.array(below, pa.int64())],
+                    names=["id", "row_key", "n", "cls", "m", "top", "below"],
                 )
 
-    return mapped(keyed, run, f"id {kind}, row_key long, n long, cls long, m long")
+    return mapped(keyed, run, f"id {kind}, row_key long, n long, cls long, m long, top long, below long")
 
 
 def _dealt(tokens: np.ndarray, classes: np.ndarray, shift: int) -> Iterator[tuple]:
@@ -357,14 +366,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rule = Rule(n, num, den, slack)
     keyed = _keyed(df, id_col, text_col)
     docs = written(document_sets(keyed, rule), "document-sets")
-    classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key"))["row_key"].alias("row_key"))
+    classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("top").alias("top"), F.first("below").alias("below"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key"))["row_key"].alias("row_key"))
     classes = written(classes, "classes")
     emitted = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     n_ranges = 1 << max(8, min(16, math.ceil(math.log2(emitted / _RANGE_TOKENS + 1))))
     shared = written(shared_tokens(keyed, rule, n_ranges), "shared-tokens")
     asked = rule.asked(F.col("n"))
-    n_shared = shared.groupBy("cls").agg(F.size(F.collect_set("token")).alias("n_shared"))
-    candidates = classes.join(n_shared, "cls").where(F.col("m") - F.col("n_shared") < asked)
+    n_shared = F.size(F.filter("tokens", lambda t: t.bitwiseXOR(F.lit(_LEAST)) <= F.col("top")))
+    candidates = classes.join(shared.groupBy("cls").agg(F.collect_set("token").alias("tokens")), "cls").where(F.col("below") - n_shared < asked)
     sets = written(candidate_sets(keyed, candidates.select("row_key", "cls"), rule), "candidate-sets")
     groups, links = group_links(sets, shared, classes, rule)
     few = _blocks_against_all(keyed, classes.where(F.col("m") < asked).select("row_key", "cls"), rule)

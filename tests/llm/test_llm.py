@@ -75,3 +75,23 @@ def test_ngram_components_against_brute_force(spark):
                     least[i] = least[j] = min(least[i], least[j])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df).collect()} == dict(enumerate(least))
+
+
+def test_ngram_components_link_isolated_pairs_of_unlike_size(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(4000):
+        size = int(rng.integers(34, 71))
+        words = [f"w{x}" for x in rng.integers(0, 10**9, size * 100 // 85 + 3)]
+        texts += [" ".join(words[: size + 3]), " ".join(words)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    owners = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            owners.setdefault(x, set()).add(i)
+    pairs = {(min(o), max(o)) for o in owners.values() if len(o) > 1}
+    linked = {b: a for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert all(len(o) <= 2 for o in owners.values()) and linked == {2 * k + 1: 2 * k for k in range(4000)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, n=4, num=85).collect()}
+    assert got == {i: linked.get(i, i) for i in range(len(texts))}
