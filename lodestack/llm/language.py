@@ -2,7 +2,8 @@
 
 Every word has a score for each language: a sum of learned weights of its hashed
 features (beginnings, endings, letter pairs and triples, and the word itself where it is
-in the lexicon of frequent words). Learned transitions couple neighbours, and
+in the lexicon of frequent words). A word is a whole run of letters, however long: without
+spaces, a clause. Learned transitions couple neighbours, and
 forward-backward gives each word's marginals. A document's language is that with the
 largest mean marginal; the mean is its score.
 
@@ -34,13 +35,14 @@ PER_LANGUAGE = 600
 BUCKETS = 1 << 16
 BLOCK = 64
 WINDOW = 32
+LONG = 1 << 14  # features of a word that are summed at once
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
     """Buckets of the word's affixes, n-grams and, if frequent, of itself."""
-    marked = f"^{word[:24]}$"
+    marked = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3, 4)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
     names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
     if word in lexicon:
@@ -57,7 +59,9 @@ class Crf:
 
     def emissions(self, word: str) -> np.ndarray:
         f = features(word, self.lexicon)
-        return self.weights[f].sum(0) / np.sqrt(len(f))
+        if len(f) <= LONG:
+            return self.weights[f].sum(0) / np.sqrt(len(f))
+        return sum(self.weights[f[i : i + LONG]].sum(0) for i in range(0, len(f), LONG)) / np.sqrt(len(f))
 
 
 class Scorer:

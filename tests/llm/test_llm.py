@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lodestack.llm import bpe, exact_dedup, ngram_join, packing
+from lodestack.llm import bpe, exact_dedup, language, ngram_join, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string"
 TEXTS = [None, "", "a b  c", "a b\tc", "Hello, WORLD! naïve cafés 12345", "x" * 3000, "<|endoftext|> it's", " ".join(f"w{i}" for i in range(5000)), "日本語 текст"]
@@ -95,3 +95,19 @@ def test_ngram_components_link_isolated_pairs_of_unlike_size(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, n=4, num=85).collect()}
     assert got == {i: linked.get(i, i) for i in range(len(texts))}
+
+
+def test_long_runs_of_letters_are_read_whole():
+    rng = np.random.default_rng(2)
+    same, end = "x" * 24, "zzzz"
+
+    def clause(letters):
+        return same + "".join(rng.choice(list(letters), 40)) + end
+
+    def text(letters):
+        return "\u3002".join(clause(letters) for _ in range(6))
+
+    crf = language.fit([(text(letters), name) for _ in range(80) for letters, name in (("abcd", "one"), ("efgh", "two"))])
+    got = language.Scorer(crf).score([text("abcd"), text("efgh"), clause("abcd"), clause("efgh"), same + "abcd" * 50_000 + end, same + "efgh" * 50_000 + end])
+    assert [lang for lang, _ in got] == ["one", "two"] * 3
+    assert min(score for _, score in got) > 0.9
