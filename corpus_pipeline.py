@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``docs``, whatever they are; the last one returns packed pieces.
 
-1. language: documents without a letter (``und``) or with a mean marginal under
-   ``LEAST_SCORE`` go.
+1. language: documents without a letter (``und``) or whose words are unsure of their
+   languages (mean of each word's largest marginal under ``LEAST_CERTAINTY``) go; mixed
+   languages alone are no reason.
 2. toxicity: documents scored 0.5 or more go.
 3. exact dedup: of equal texts the row with the smallest id stays.
 4. near dup: of each group linked by five-word shingles at a similarity of 0.8 or more,
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestack.llm import exact_dedup, language, ngram_join, packing, toxicity
 from lodestack.llm.common import written
 
-#: Under this mean marginal no language holds the greater part of a document.
-LEAST_SCORE = 0.5
+#: Under this mean of each word's largest marginal the words are worse than a coin toss between two languages.
+LEAST_CERTAINTY = 0.5
 
 
 def _free_name(df: DataFrame, name: str) -> str:
@@ -39,7 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     crf = language.train(docs, language.held_out("doc_id"))
     found = _free_name(docs, "language_found")
     scored = docs.withColumn(found, language.language_of(F.col("text"), crf))
-    return scored.where((F.col(found)["lang"] != language.UNKNOWN) & (F.col(found)["score"] >= LEAST_SCORE)).select(*docs.columns)
+    return scored.where((F.col(found)["lang"] != language.UNKNOWN) & (F.col(found)["certainty"] >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,22 +88,26 @@ class Scorer:
         return out
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, its mean marginal, and the mean of each word's largest marginal."""
         if len(self.index) > self.limit:
             self.index.clear()
         found = [self.rows(_WORDS.findall(t.lower())) if t else [] for t in texts]
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         filled = [i for i, r in enumerate(found) if r]
         if not filled:
             return out
-        means = doc_marginals(self.table, [np.array(found[i]) for i in filled], self.step)
+        means, certain = doc_marginals(self.table, [np.array(found[i]) for i in filled], self.step)
         best = means.argmax(1)
-        for i, k, m in zip(filled, best, means, strict=True):
-            out[i] = (self.crf.languages[k], float(min(1.0, m[k])))
+        for i, k, m, c in zip(filled, best, means, certain, strict=True):
+            out[i] = (self.crf.languages[k], float(min(1.0, m[k])), float(min(1.0, c)))
         return out
 
 
-def doc_marginals(table: np.ndarray, docs: list[np.ndarray], step: np.ndarray) -> np.ndarray:
-    """Mean marginals of each document's words, all documents together."""
+def doc_marginals(table: np.ndarray, docs: list[np.ndarray], step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean marginals of each document's words, and the mean of each word's largest; all documents together."""
     n_lang = step.shape[0]
     sizes = np.array([len(d) for d in docs])
     blocks = -(-sizes // BLOCK)
@@ -145,14 +149,15 @@ def doc_marginals(table: np.ndarray, docs: list[np.ndarray], step: np.ndarray) -
         state /= state.sum(1, keepdims=True)
         alpha[:, k] = state
     state = back
-    sums = np.zeros((total, n_lang))
+    sums, tops = np.zeros((total, n_lang)), np.zeros(total)
     for k in range(BLOCK - 1, -1, -1):
         gamma = alpha[:, k] * state
         gamma /= gamma.sum(1, keepdims=True)
         sums += gamma * real[:, k, None]
+        tops += gamma.max(1) * real[:, k]
         state = (stepped(k) @ (emission[:, k] * state)[:, :, None])[:, :, 0]
         state /= state.sum(1, keepdims=True)
-    return np.add.reduceat(sums, first, axis=0) / sizes[:, None]
+    return np.add.reduceat(sums, first, axis=0) / sizes[:, None], np.add.reduceat(tops, first) / sizes
 
 
 def _windows(rows: list[tuple[str, int]], seed: int) -> tuple[list[list[str]], np.ndarray]:
@@ -254,18 +259,18 @@ def train(documents: DataFrame, held_out: Column, per_language: int = PER_LANGUA
 
 
 def language_of(text: Column, crf: Crf) -> Column:
-    """A struct (lang, score) of a text column."""
+    """A struct (lang, score, certainty) of a text column; certainty is the mean of each word's largest marginal."""
 
     def make():
         scorer = Scorer(crf)
 
         def each(texts: list) -> list:
-            return [{"lang": y, "score": s} for y, s in scorer.score(texts)]
+            return [{"lang": y, "score": s, "certainty": c} for y, s, c in scorer.judge(texts)]
 
         return each
 
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-    return text_udf(make, "struct<lang:string,score:double>", kind)(text)
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("certainty", pa.float64())])
+    return text_udf(make, "struct<lang:string,score:double,certainty:double>", kind)(text)
 
 
 def held_out(id_col: str | Column) -> Column:

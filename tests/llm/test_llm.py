@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodestack.llm import bpe, exact_dedup, language, ngram_join, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string"
@@ -111,3 +112,18 @@ def test_long_runs_of_letters_are_read_whole():
     got = language.Scorer(crf).score([text("abcd"), text("efgh"), clause("abcd"), clause("efgh"), same + "abcd" * 50_000 + end, same + "efgh" * 50_000 + end])
     assert [lang for lang, _ in got] == ["one", "two"] * 3
     assert min(score for _, score in got) > 0.9
+
+
+def test_language_stage_keeps_certain_words_of_mixed_languages(spark):
+    rng = np.random.default_rng(4)
+    letters = {"de": "abcd", "en": "efgh", "fr": "ijkl"}
+
+    def words(lang, n):
+        return ["".join(rng.choice(list(letters[lang]), 6)) for _ in range(n)]
+
+    rows = [(i, " ".join(words(lang, 60)), lang) for i, lang in enumerate(list(letters) * 100)]
+    mixed = [" ".join(words("de", 40) + words("en", 30) + words("fr", 30)), " ".join(words("de", 50) + words("fr", 50)), "123 !", None, ""]
+    docs = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(mixed))], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(300), 1000, 1001]
