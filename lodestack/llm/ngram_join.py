@@ -284,7 +284,7 @@ def lead_across(sets: DataFrame, key: str, rule: Rule) -> DataFrame:
 
 
 def grouped(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(cls, g): every candidate's group, named by its last leader."""
+    """(cls, g, names): every candidate's group, the least of the last leaders it has; several where tasks held the same class."""
     own = sets.where("leader = cls")
     first = written(lead_across(own, "k1", rule), "leaders")
     rest = own.join(first.select("cls"), "cls", "left_anti")
@@ -292,7 +292,7 @@ def grouped(sets: DataFrame, rule: Rule) -> DataFrame:
     chain = sets.select("cls", F.col("leader").alias("a")).distinct()
     chain = chain.join(first.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "a", "left").select("cls", F.coalesce("b", "a").alias("a"))
     chain = chain.join(second.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "a", "left").select("cls", F.coalesce("b", "a").alias("g"))
-    return chain
+    return chain.groupBy("cls").agg(F.min("g").alias("g"), F.collect_set("g").alias("names"))
 
 
 def _opened(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -316,7 +316,9 @@ def _opened(pairs: DataFrame, rule: Rule) -> DataFrame:
 
 def group_links(sets: DataFrame, shared: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """((cls, g), (a, b) links between groups): the matrix, its queries and the groups that they open."""
-    groups = written(grouped(sets, rule), "groups")
+    named = written(grouped(sets, rule), "groups")
+    groups = named.select("cls", "g")
+    same = named.select(F.col("g").alias("a"), F.explode("names").alias("b")).where("a <> b")
     sized = groups.join(classes.select("cls", "n", "m"), "cls")
     parts = sized.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _GROUP_ROWS), F.ceil(F.sum("n") / _GROUP_TOKENS)).alias("parts"))
     members = written(sized.join(parts, "g").select("cls", "g", "n", "m", F.xxhash64("g", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("group")), "members")
@@ -332,11 +334,11 @@ def group_links(sets: DataFrame, shared: DataFrame, classes: DataFrame, rule: Ru
     fits = (F.col("g") != F.col("query_g")) & (F.col("low") <= F.col("n")) & (F.col("high") * rule.den >= F.col("n") * rule.num)
     pairs = written(queries.join(matrix, "token").where(fits).select("cls", "query_g", "group", "g").distinct(), "open-pairs")
     if not pairs.take(1):
-        return groups, pairs.select(F.col("query_g").alias("a"), F.col("g").alias("b"))
+        return groups, same
     slim = sets.select("cls", "found")
     blobs = members.join(pairs.select("group").distinct(), "group", "left_semi").join(slim, "cls").groupBy("group").agg(F.collect_list("found").alias("members"))
     asked = pairs.join(slim, "cls").select("group", "g", "query_g", F.col("found").alias("query"))
-    return groups, written(_opened(asked.join(blobs, "group"), rule).distinct(), "group-links")
+    return groups, written(_opened(asked.join(blobs, "group"), rule).union(same).distinct(), "group-links")
 
 
 def _blocks_against_all(keyed: DataFrame, few: DataFrame, rule: Rule, block: int = 500) -> DataFrame | None:

@@ -127,3 +127,16 @@ def test_language_stage_keeps_certain_words_of_mixed_languages(spark):
     kept = corpus_pipeline.language_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(300), 1000, 1001]
+
+
+def test_ngram_components_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    first, second, want = [], [], []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 80)]
+        row, other = (2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))
+        first.append(row)
+        second += [row, other]
+        want += [(2 * k, 2 * k)] * 2 + [(2 * k + 1, 2 * k)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(first, 1).union(spark.sparkContext.parallelize(second, 1)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()) == want
