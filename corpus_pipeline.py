@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned models and the tokenizer are beyond SQL; the tests hold the stages against brute force.
+#: Learned models and the tokenizer are beyond SQL; no test runs all stages together, and of the stages as such only language has one.
 ORACLE_SQL = None
 
 
