@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestack.llm import bpe, exact_dedup, language, ngram_join, packing
+from lodestack.llm import bpe, exact_dedup, language, media, ngram_join, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string"
 TEXTS = [None, "", "a b  c", "a b\tc", "Hello, WORLD! naïve cafés 12345", "x" * 3000, "<|endoftext|> it's", " ".join(f"w{i}" for i in range(5000)), "日本語 текст"]
@@ -140,3 +140,21 @@ def test_ngram_components_of_repeated_rows(spark):
         want += [(2 * k, 2 * k)] * 2 + [(2 * k + 1, 2 * k)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(first, 1).union(spark.sparkContext.parallelize(second, 1)), "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()) == want
+
+
+def test_media_codecs_and_stored_pcm(spark):
+    codes = bytes(range(256))
+    law, rate = media.decode(media.wave(media.A_LAW, 8000, codes))
+    assert rate == 8000 and [law[0xD5], law[0x55], law[0xAA], law[0x2A]] == [8, -8, 32256, -32256] and len(set(law.tolist())) == 256
+    tone = (8000 * np.sin(np.arange(3000) / 20)).astype(np.int16)
+    packed = media.wave(media.IMA_ADPCM, 8000, media.encode_adpcm(tone), 256, 4, len(tone), 505)
+    back, _ = media.decode(packed)
+    assert len(back) == len(tone) and np.abs(back[200:505].astype(int) - tone[200:505]).max() < 1500
+    files = [media.store_bytes(b"abc"), media.store_bytes(codes, media.A_LAW), packed, None]
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")
+    got = {r["doc_id"]: r["media"] for r in media.decoded_column(df).collect()}
+    assert got[3] is None
+    for i, raw in enumerate(files[:3]):
+        samples, source = media.decode(raw)
+        stored, target = media.decode(bytes(got[i]))
+        assert target == 16000 and stored.tolist() == media.resample(samples, source, 16000).tolist()
