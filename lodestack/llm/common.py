@@ -28,22 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
     return _own_dir["dir"]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, codec: str = "zstd", bag: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The path is added to ``bag``, for ``discard`` once nothing reads the table any more."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    if bag is not None:
+        bag.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, bag: list[str]) -> None:
+    """Deletes the written tables of ``bag`` and empties it."""
+    while bag:
+        delete_path(spark, bag.pop())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

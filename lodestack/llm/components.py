@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import written
+from lodestack.llm.common import discard, written
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, bag: list[str]) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); the label is the smallest node reachable.
 
-    Edges may repeat, go either way and be loops. An empty table gives no rows."""
+    Edges may repeat, go either way and be loops. An empty table gives no rows. Rounds go on
+    until nothing changes; every round keeps the components and lowers some node's neighbour,
+    so they end. The last written table is left in ``bag``."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -21,14 +23,15 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return kept.where("a <> b").distinct()
 
     loops = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last: list[str] = []
+    pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", bag=last)
     before = None
-    for _ in range(most_rounds):
-        pairs = written(star(star(pairs, True), False), "edges")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+    while True:
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
             break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
+        before, old, last = now, last, []
+        pairs = written(star(star(pairs, True), False), "edges", bag=last)
+        discard(edges.sparkSession, old)
+    bag += last
     return loops.join(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

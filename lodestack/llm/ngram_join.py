@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by a token-group matrix; exact, and linear on groups of near copies.
+"""N-gram Jaccard join by a token-group matrix; exact.
 
-A text is the set of its word shingles. Equal sets are one *class*. Two classes link
-when their Jaccard similarity reaches the threshold t; then each shares at least
-ceil(t * n) of its n shingles, so any n - ceil(t * n) + 1 of them hold a shared one.
+A text is the set of its word shingles. Equal sets are one *class*, told by 128 bits. Two
+classes link when their Jaccard similarity reaches the threshold t; then each shares at
+least ceil(t * n) of its n shingles, so any n - ceil(t * n) + 1 of them hold a shared one.
 
 1. Every class emits the shingles whose hash lies under a bound that depends on its size
    only and falls with it: enough for the count above, with slack, and nested, so a
@@ -13,17 +13,25 @@ ceil(t * n) of its n shingles, so any n - ceil(t * n) + 1 of them hold a shared
 2. The largest set that a class can link with emits the least; below that bound every
    common shingle is emitted by both. A class with enough shingles of its own there can
    link with none. The others are candidates; only their sets are fetched.
-3. Candidates are partitioned into groups of similar sets: sorted by a smallest hash they
-   stream past the leaders of their key, in the task first, then across tasks, and join
-   the group of the first leader that they link with.
-4. The token-group matrix holds each group's token union with its sizes. A candidate asks
-   for its rarest tokens that other groups hold, as many as needed to miss no link. The
-   overlap with a group's whole union bounds that with any member; only groups that pass
-   are opened, and members compared until one links.
-5. Components of the groups give every document the smallest id reachable.
-
-Documents that emit too few shingles for step 1 (about one in a billion) are compared
-with all rows, in blocks.
+3. Candidates are partitioned into groups of similar documents: sorted by a few of their
+   shared tokens, chosen by hash with frequent tokens preferred, and cut where the first
+   one changes or a group is full. The sort goes on to the class, so a key that a third
+   of all candidates have is many full groups in many tasks.
+4. The token-group matrix holds which group holds which token, with the sizes of the sets
+   that do. A group asks, for all of its sets at once, for their rarest tokens that other
+   groups hold. As many of the asked tokens as the sets' sizes demand must be found in a
+   group before the two groups meet at all.
+5. Groups that meet are bounded by the stored token union: a set of one group needs
+   ceil(t * n) tokens in the union of the other. Only where some do, the other group's
+   members are opened and compared, all with all in one matrix product; a spanning forest
+   of the links goes on, never all pairs.
+6. Components of the links give every document the smallest id reachable.
+
+A cluster of K similar documents is K / 512 groups (or as many as its tokens fill), which
+meet pairwise; that is the part that is not linear in the cluster.
+
+A class that emits too few shingles to ask for its partners (about one in a billion) lets
+its group meet every group that holds smaller sets.
 
 Defined results: null and empty texts have no shingles and are their own component; a
 null id never is a component's id while another is there; rows that repeat an id are
@@ -41,17 +49,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import give_back, mapped, slices, written
+from lodestack.llm.common import discard, free_name, give_back, mapped, slices, written
 from lodestack.llm.components import connected
-from lodestack.llm.shingles import class_key, mixed, overlap, shingle_sets
+from lodestack.llm.shingles import class_keys, shingle_sets
 
 _FLUSH = 1_000_000  # emitted tokens of a task's rows that are dealt out together
 _FREQUENT = 64  # classes of those rows that make a token frequent there
 _RANGE_TOKENS = 400_000
 _BROADCAST_ROWS = 200_000
-_LEADERS = 8
+_COMMON_ROWS, _COMMON_CLASSES = 1000, 20_000  # classes of more rows than either allows are broadcast, their rows not shuffled
 _LEAST = -(1 << 63)  # the sign bit: with it flipped, unsigned hashes order as signed ones
-_GROUP_ROWS, _GROUP_TOKENS = 128, 1 << 16
+_GROUP_ROWS, _GROUP_TOKENS = 512, 1 << 16
+_MORE_ASKED = 3  # tokens asked for beyond the fewest, so that one chance token opens nothing
+_COLUMNS = 4096  # tokens of a matrix product
 
 
 @dataclass(frozen=True)
@@ -67,12 +77,9 @@ class Rule:
         """The fewest common shingles of a set of that size with any set linked to it."""
         return (self.num * size + self.den - 1) // self.den
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = sorted((len(a), len(b)))
-        if not small or self.den * small < self.num * large:
-            return False
-        common = overlap(a, b)
-        return self.den * common >= self.num * (small + large - common)
+    def linked(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which rows of sizes ``a`` link with which columns of sizes ``b``."""
+        return (common > 0) & (self.den * common >= self.num * (a[:, None] + b[None, :] - common))
 
     def bound(self, size: int) -> int:
         """Hashes up to this are emitted; falls as sizes grow."""
@@ -95,28 +102,31 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _row_key(key: Column, text: Column) -> Column:
+    return F.xxhash64(key, text.cast("string"))
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("row_key", F.xxhash64("id", "text"))
+    return rows.withColumn("row_key", _row_key(F.col("id"), F.col("text")))
 
 
 def document_sets(keyed: DataFrame, rule: Rule) -> DataFrame:
-    """(id, row_key, n, cls, m, top, below): the set's size, its class (null where empty), how many tokens it emits,
-    the bound of its largest partner (ordered as signed) and how many tokens lie under that."""
+    """(id, row_key, n, cls, check, m, top, below): the set's size, its class (two keys, null where empty), how many tokens
+    it emits, the bound of its largest partner (ordered as signed) and how many tokens lie under that."""
     kind = keyed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(piece.column("text"), rule.n)
+                keys = [class_keys(s) if len(s) else (None, None) for s in sets]
                 tops = [rule.reach(len(s)) for s in sets]
                 below = [int(np.searchsorted(s, np.uint64(t), "right")) for s, t in zip(sets, tops, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), piece.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(rule.emitted(s)) for s in sets], pa.int64()), pa.array([t + _LEAST for t in tops], pa.int64()), pa.array(below, pa.int64())],
-                    names=["id", "row_key", "n", "cls", "m", "top", "below"],
-                )
+                numbers = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [len(rule.emitted(s)) for s in sets], [t + _LEAST for t in tops], below]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("row_key"), *(pa.array(x, pa.int64()) for x in numbers)], names=["id", "row_key", "n", "cls", "check", "m", "top", "below"])
 
-    return mapped(keyed, run, f"id {kind}, row_key long, n long, cls long, m long, top long, below long")
+    return mapped(keyed, run, f"id {kind}, row_key long, n long, cls long, check long, m long, top long, below long")
 
 
 def _dealt(tokens: np.ndarray, classes: np.ndarray, shift: int) -> Iterator[tuple]:
@@ -162,7 +172,7 @@ def shared_tokens(keyed: DataFrame, rule: Rule, n_ranges: int) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 for found in shingle_sets(piece.column("text"), rule.n):
-                    if not len(found) or (key := class_key(found)) in seen:
+                    if not len(found) or (key := class_keys(found)[0]) in seen:
                         continue
                     seen.add(key)
                     some = rule.emitted(found)
@@ -208,188 +218,338 @@ def shared_tokens(keyed: DataFrame, rule: Rule, n_ranges: int) -> DataFrame:
     return blobs.groupBy("range").applyInArrow(met, "cls long, token long, df long")
 
 
-class _Leaders:
-    """The leaders of one key: a set joins the first that it links with, or becomes one while there is room."""
+def candidate_classes(classes: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
+    """The classes that may link: all columns of ``classes``, cid, their shared tokens with document counts up to a bound, and keys to sort by."""
+    held = shared.groupBy("cls").agg(F.collect_set(F.struct("token", F.least("df", F.lit(_FREQUENT + 1)).alias("df"))).alias("shared"))
+    tokens = F.array_distinct(F.transform("shared", lambda t: t["token"]))
+    under = F.size(F.filter("tokens", lambda t: t.bitwiseXOR(F.lit(_LEAST)) <= F.col("top")))
+    found = classes.join(held, "cls").withColumn("tokens", tokens).where(F.col("below") - under < rule.asked(F.col("n")))
+    chance = lambda t: (F.xxhash64(F.lit(29), t["token"]).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    ranked = F.array_sort(F.transform("shared", lambda t: F.struct((-F.ln(chance(t)) / t["df"]).alias("w"), t["token"].alias("token"))))
+    found = found.withColumn("ranked", ranked).withColumns({f"k{i + 1}": F.get("ranked", F.lit(i))["token"] for i in range(3)})
+    return found.drop("shared", "ranked").withColumn("cid", F.monotonically_increasing_id())
 
-    def __init__(self, rule: Rule):
-        self.rule = rule
-        self.sets: list[tuple[int, np.ndarray]] = []
 
-    def lead(self, cls: int, found: np.ndarray) -> int:
-        for leader, other in self.sets:
-            if leader == cls or self.rule.links(found, other):
-                return leader
-        if len(self.sets) < _LEADERS:
-            self.sets.append((cls, found))
-        return cls
+def _lists(rows: list[list[np.ndarray]]) -> list[pa.Array]:
+    """Columns of lists of longs, from rows of arrays."""
+    out = []
+    for column in zip(*rows, strict=True):
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in column])])
+        out.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), _signed(np.concatenate(column).astype(np.int64))))
+    return out
 
 
-def candidate_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule, buffer_bytes: int = 48 << 20) -> DataFrame:
-    """(cls, n, found, k1, k2, leader) of the wanted (row_key, cls); leaders are of the rows a task holds at once."""
-    if wanted.count() <= _BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = keyed.join(wanted, "row_key").select("cls", "text")
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("leader", pa.int64())])
-    salt = np.uint64(0xD6E8FEB86659FD93)
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[i:j] for i, j in zip(edges, edges[1:], strict=False))
+
+
+_GROUP = ("cids", "ns", "ms", "row_keys", "classes", "checks", "counts", "tokens", "token", "low", "high")
+
+
+def similar_groups(candidates: DataFrame) -> DataFrame:
+    """One row per group: gid (its first member), the members, and the tokens that it holds with the sizes of their sets."""
+    keys = ["k1", "k2", "k3", "cid"]
+    ordered = candidates.select(*keys, "n", "m", "row_key", "cls", "check", "tokens").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def group(rows: list) -> list[np.ndarray]:
+        numbers = np.array([r[:6] for r in rows], np.int64)
+        counts = np.array([len(r[6]) for r in rows])
+        tokens = np.concatenate([r[6] for r in rows])
+        sizes = np.repeat(numbers[:, 1], counts)
+        order = np.lexsort((sizes, tokens))
+        at, sized = tokens[order], sizes[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        last = np.append(first[1:], len(at)) - 1
+        return [*numbers.T, counts, tokens, at[first], sized[first], sized[last]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
+        held: list = []
+        now, size = None, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = {c: (int(f[:1].view(np.int64)[0]), int(mixed(f ^ salt).min().astype(np.uint64).view(np.int64))) for c, f in held.items()}
-            leader, now, leaders = {}, None, None
-            for cls in sorted(held, key=lambda c: (keys[c][0], c)):
-                if leaders is None or keys[cls][0] != now:
-                    now, leaders = keys[cls][0], _Leaders(rule)
-                leader[cls] = leaders.lead(cls, held[cls])
-            some = list(held)
-            for low in range(0, len(some), 1000):
-                part = some[low : low + 1000]
-                cols = [part, [len(held[c]) for c in part], [held[c].tobytes() for c in part], [keys[c][0] for c in part], [keys[c][1] for c in part], [leader[c] for c in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        def batch_of(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([int(r[0][0]) for r in rows], pa.int64()), *_lists(rows)], names=["gid", *_GROUP])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                for cls, found in zip(piece.column("cls").to_pylist(), shingle_sets(piece.column("text"), rule.n), strict=True):
-                    if cls not in held:
-                        held[cls] = found
-                        size += found.nbytes
-                if size >= buffer_bytes:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
-    return mapped(rows, run, "cls long, n long, found binary, k1 long, k2 long, leader long")
+            done = []
+            columns = [batch.column(c).to_pylist() for c in ("cid", "n", "m", "row_key", "cls", "check")]
+            for key, row, tokens in zip(batch.column("k1").to_pylist(), zip(*columns, strict=True), _arrays(batch.column("tokens")), strict=True):
+                if held and (key != now or len(held) >= _GROUP_ROWS or size + row[1] > _GROUP_TOKENS):
+                    done.append(group(held))
+                    held, size = [], 0
+                now = key
+                held.append((*row, tokens))
+                size += row[1]
+            if done:
+                yield batch_of(done)
+        if held:
+            yield batch_of([group(held)])
+
+    return mapped(ordered, run, "gid long, " + ", ".join(f"{c} array<long>" for c in _GROUP))
+
+
+def _asking(groups: DataFrame, several: DataFrame, rule: Rule) -> DataFrame:
+    """(token, gq, ql, qh, req): what a group asks for, the sizes of its sets that do, and how many finds make a partner (under 1: any group may be one)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            columns = [_arrays(batch.column(c)) for c in ("ns", "ms", "counts", "tokens", "others", "spread")]
+            for gid, ns, ms, counts, tokens, others, spread in zip(batch.column("gid").to_pylist(), *columns, strict=True):
+                order = np.argsort(others)
+                others, spread = others[order], spread[order]
+                edges = np.concatenate([[0], np.cumsum(counts)])
+                asked = []
+                for k, (n, m) in enumerate(zip(ns.tolist(), ms.tolist(), strict=True)):
+                    own = tokens[edges[k] : edges[k + 1]]
+                    at = np.minimum(np.searchsorted(others, own), len(others) - 1)
+                    at = at[others[at] == own]
+                    need = n - rule.least(n) + 1 - (m - len(at))
+                    if need > 0 and len(at):
+                        rarest = at[np.lexsort((others[at], spread[at]))][: need + _MORE_ASKED]
+                        asked.append((others[rarest], np.full(len(rarest), n), np.full(len(rarest), len(rarest) - need + 1)))
+                    elif need > 0 and n - rule.least(n) + 1 > m:  # it emits too few
+                        asked.append((np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)))
+                if asked:
+                    token, n, req = (np.concatenate(x) for x in zip(*asked, strict=True))
+                    order = np.lexsort((n, token))
+                    token, n, req = token[order], n[order], req[order]
+                    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                    last = np.append(first[1:], len(token)) - 1
+                    out.append([token[first], np.full(len(first), gid), n[first], n[last], np.minimum.reduceat(req, first)])
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([_signed(x.astype(np.int64)) for x in columns], names=["token", "gq", "ql", "qh", "req"])
+
+    rows = groups.select("gid", "ns", "ms", "counts", "tokens").join(several, "gid")
+    return mapped(rows, run, "token long, gq long, ql long, qh long, req long")
+
+
+def meeting_groups(groups: DataFrame, rule: Rule, bag: list) -> DataFrame:
+    """(lo, hi): the pairs of groups whose tokens allow a link, each once."""
+    matrix = groups.select("gid", F.explode(F.arrays_zip("token", "low", "high")).alias("t")).select("gid", "t.token", "t.low", "t.high")
+    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    several = matrix.select("gid", "token").join(spread, "token").groupBy("gid").agg(F.collect_list(F.struct("token", "spread")).alias("t")).select("gid", F.col("t.token").alias("others"), F.col("t.spread").alias("spread"))
+    alone = groups.where(F.exists(F.arrays_zip("ns", "ms"), lambda x: rule.asked(x["ns"]) > x["ms"])).select("gid")
+    several = several.join(alone, "gid", "full").select("gid", F.coalesce("others", F.array(F.lit(_LEAST))).alias("others"), F.coalesce("spread", F.array(F.lit(0).cast("long"))).alias("spread"))
+    asked = written(_asking(groups, several, rule), "asked-tokens", bag=bag)
+    fits = (F.col("low") <= F.col("qh")) & (F.col("high") * rule.den >= F.col("ql") * rule.num)
+    met = asked.where("req > 0").join(matrix, "token").where((F.col("gid") != F.col("gq")) & fits)
+    pairs = met.groupBy("gq", "gid").agg(F.count(F.lit(1)).alias("k"), F.min("req").alias("req")).where("k >= req").select("gq", "gid")
+    wild = asked.where("req <= 0").groupBy("gq").agg(F.min("ql").alias("ql"), F.max("qh").alias("qh"))
+    if (n_wild := wild.count()) > 0:
+        sized = groups.select("gid", F.array_min("ns").alias("low"), F.array_max("ns").alias("high"))
+        wild = F.broadcast(wild) if n_wild <= _BROADCAST_ROWS else wild
+        pairs = pairs.union(sized.join(wild, (F.col("gid") != F.col("gq")) & fits).select("gq", "gid"))
+    return written(pairs.select(F.least("gq", "gid").alias("lo"), F.greatest("gq", "gid").alias("hi")).distinct(), "open-pairs", bag=bag)
+
+
+def member_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(gid, cid, found) of the wanted (row_key, cls, check, gid, cid). Both class keys are verified; a task gives a class once in a while only."""
+    if wanted.count() <= _BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = keyed.join(wanted, "row_key").select("gid", "cid", "cls", "check", "text")
 
-def lead_across(sets: DataFrame, key: str, rule: Rule) -> DataFrame:
-    """(cls, leader) for the sets that link with an earlier one of their key; keys stream, a few leaders stay."""
-    together = sets.select(F.col(key).alias("key"), "cls", "found").repartition("key").sortWithinPartitions("key", "cls")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                out: list[tuple] = []
+                numbers = zip(*(piece.column(c).to_pylist() for c in ("gid", "cid", "cls", "check")), strict=True)
+                for (gid, cid, *keys), found in zip(numbers, shingle_sets(piece.column("text"), rule.n), strict=True):
+                    if cid not in seen and len(found) and class_keys(found) == tuple(keys):
+                        seen.add(cid)
+                        out.append((gid, cid, found.tobytes()))
+                if len(seen) > _FLUSH:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["gid", "cid", "found"])
+
+    return mapped(rows, run, "gid long, cid long, found binary")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``a`` has in common with each of ``b``, by matrix products over blocks of tokens."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for tokens, rows in sides:
+        at = np.minimum(np.searchsorted(both, tokens), max(0, len(both) - 1))
+        real = both[at] == tokens if len(both) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[real], kind="stable")
+        places.append((at[real][order], rows[real][order]))
+    for low in range(0, len(both), _COLUMNS):
+        parts = []
+        for (at, rows), sets in zip(places, (a, b), strict=True):
+            i, j = np.searchsorted(at, (low, low + _COLUMNS))
+            part = np.zeros((len(sets), min(_COLUMNS, len(both) - low)), np.float32)
+            part[rows[i:j], at[i:j] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _leads(names: list[int], pairs: np.ndarray) -> list[int]:
+    """The least name that each position reaches by the pairs of positions."""
+    over = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for i, j in pairs.tolist():
+        i, j = top(i), top(j)
+        if i != j:
+            i, j = (i, j) if names[i] < names[j] else (j, i)
+            over[j] = i
+    return [names[top(k)] for k in range(len(names))]
+
+
+def token_groups(sets: DataFrame, rule: Rule) -> DataFrame:
+    """One row per group: gid, its members (cids, sizes, found), the token union, and each member's lead among the links inside."""
+    together = sets.repartition("gid").sortWithinPartitions("gid", "cid")
+    fields = [("gid", pa.int64()), ("cids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("leads", pa.list_(pa.int64())), ("found", pa.binary()), ("tokens", pa.binary())]
+
+    def group(gid: int, cids: list[int], found: list[np.ndarray]) -> list:
+        sizes = np.array([len(x) for x in found])
+        linked = np.argwhere(np.triu(rule.linked(_common(found, found), sizes, sizes), 1)) if len(cids) > 1 else np.zeros((0, 2), np.int64)
+        whole = np.concatenate(found)
+        return [gid, cids, sizes.tolist(), _leads(cids, linked), whole.tobytes(), np.unique(whole).tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders = None, None
+        now, cids, found = None, [], []
         for batch in batches:
-            a, b = [], []
-            for key_, cls, found in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "found")), strict=True):
-                if leaders is None or key_ != now:
-                    now, leaders = key_, _Leaders(rule)
-                leader = leaders.lead(cls, np.frombuffer(found, np.uint64))
-                if leader != cls:
-                    a.append(cls)
-                    b.append(leader)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cls", "leader"])
+            done = []
+            for gid, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("gid", "cid", "found")), strict=True):
+                if gid != now and cids:
+                    done.append(group(now, cids, found))
+                    cids, found = [], []
+                now = gid
+                if not cids or cids[-1] != cid:
+                    cids.append(cid)
+                    found.append(np.frombuffer(raw, np.uint64))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f[1]) for k, f in enumerate(fields)], names=[f[0] for f in fields])
+        if cids:
+            last = group(now, cids, found)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f[1]) for x, f in zip(last, fields, strict=True)], names=[f[0] for f in fields])
 
-    return mapped(together, run, "cls long, leader long")
+    return mapped(together, run, "gid long, cids array<long>, sizes array<long>, leads array<long>, found binary, tokens binary")
 
 
-def grouped(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(cls, g, names): every candidate's group, the least of the last leaders it has; several where tasks held the same class."""
-    own = sets.where("leader = cls")
-    first = written(lead_across(own, "k1", rule), "leaders")
-    rest = own.join(first.select("cls"), "cls", "left_anti")
-    second = written(lead_across(rest, "k2", rule), "leaders")
-    chain = sets.select("cls", F.col("leader").alias("a")).distinct()
-    chain = chain.join(first.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "a", "left").select("cls", F.coalesce("b", "a").alias("a"))
-    chain = chain.join(second.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "a", "left").select("cls", F.coalesce("b", "a").alias("g"))
-    return chain.groupBy("cls").agg(F.min("g").alias("g"), F.collect_set("g").alias("names"))
+def _sets_of(raw: bytes, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(np.frombuffer(raw, np.uint64), np.cumsum(sizes)[:-1])
 
 
-def _opened(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): groups that the pairs of a query set and a group (its members' sets) prove linked."""
+def qualifying(pairs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """(lo, hi, some): the pairs where sets of ``hi`` (their positions) have enough tokens in the union of ``lo``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, members, union = None, [], np.zeros(0, np.uint64)
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k] for name in ("group", "g", "query_g", "query")}
-                query = np.frombuffer(row["query"].as_py(), np.uint64)
-                if row["group"].as_py() != held:
-                    held = row["group"].as_py()
-                    members = [np.frombuffer(x, np.uint64) for x in batch.column("members")[k].as_py()]
-                    union = np.unique(np.concatenate(members)) if members else union[:0]
-                if overlap(query, union) >= rule.least(len(query)) and any(rule.links(query, x) for x in members):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["query_g"].as_py()], pa.int64()), pa.array([row["g"].as_py()], pa.int64())], names=["a", "b"])
-
-    return mapped(pairs, run, "a long, b long")
-
-
-def group_links(sets: DataFrame, shared: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """((cls, g), (a, b) links between groups): the matrix, its queries and the groups that they open."""
-    named = written(grouped(sets, rule), "groups")
-    groups = named.select("cls", "g")
-    same = named.select(F.col("g").alias("a"), F.explode("names").alias("b")).where("a <> b")
-    sized = groups.join(classes.select("cls", "n", "m"), "cls")
-    parts = sized.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _GROUP_ROWS), F.ceil(F.sum("n") / _GROUP_TOKENS)).alias("parts"))
-    members = written(sized.join(parts, "g").select("cls", "g", "n", "m", F.xxhash64("g", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("group")), "members")
-    held = written(shared.join(members, "cls").select("cls", "token", "g", "group", "n", "m").distinct(), "held-tokens")
-    matrix = held.groupBy("token", "group").agg(F.first("g").alias("g"), F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.min("g").alias("g_low"), F.max("g").alias("g_high"), F.count(F.lit(1)).alias("df")).where("g_low <> g_high").select("token", "df")
-    asking = held.join(several, "token").groupBy("cls").agg(
-        F.first("g").alias("g"), F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens")
-    )
-    need = rule.asked(F.col("n")) - (F.col("m") - F.size("tokens"))
-    asking = asking.withColumn("need", need).where("need > 0")
-    queries = asking.select("cls", F.col("g").alias("query_g"), "n", F.explode(F.slice("tokens", F.lit(1), F.col("need").cast("int"))).alias("t")).select("cls", "query_g", "n", F.col("t.token").alias("token"))
-    fits = (F.col("g") != F.col("query_g")) & (F.col("low") <= F.col("n")) & (F.col("high") * rule.den >= F.col("n") * rule.num)
-    pairs = written(queries.join(matrix, "token").where(fits).select("cls", "query_g", "group", "g").distinct(), "open-pairs")
-    if not pairs.take(1):
-        return groups, same
-    slim = sets.select("cls", "found")
-    blobs = members.join(pairs.select("group").distinct(), "group", "left_semi").join(slim, "cls").groupBy("group").agg(F.collect_list("found").alias("members"))
-    asked = pairs.join(slim, "cls").select("group", "g", "query_g", F.col("found").alias("query"))
-    return groups, written(_opened(asked.join(blobs, "group"), rule).union(same).distinct(), "group-links")
-
-
-def _blocks_against_all(keyed: DataFrame, few: DataFrame, rule: Rule, block: int = 500) -> DataFrame | None:
-    """(a, b) class links of the documents that emitted too little, against every row, block by block."""
-    total = few.count()
-    if not total:
-        return None
-    sets = written(candidate_sets(keyed, few, rule), "few-sets")
-    out = None
-    n_blocks = -(-total // block)
-    for k in range(n_blocks):
-        some = [(r["cls"], np.frombuffer(r["found"], np.uint64)) for r in sets.where(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)) == k).select("cls", "found").distinct().collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in slices(batch, "text"):
-                    hits = [(c, class_key(f)) for f in shingle_sets(piece.column("text"), rule.n) if len(f) for c, q in some if rule.links(q, f)]
-                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["a", "b"])
-
-        links = mapped(keyed.select("text"), run, "a long, b long").where("a <> b").distinct()
-        out = links if out is None else out.union(links)
-    return written(out.distinct(), "few-links")
+            out = []
+            for lo, hi, tokens, sizes, found in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "tokens", "sizes", "found")), strict=True):
+                union, asked, sizes = np.frombuffer(tokens, np.uint64), np.frombuffer(found, np.uint64), np.array(sizes)
+                at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
+                common = np.add.reduceat((union[at] == asked).astype(np.int64), np.cumsum(sizes) - sizes)
+                some = np.flatnonzero(common >= rule.least(sizes))
+                if len(some):
+                    out.append((lo, hi, some.tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["lo", "hi", "some"])
+
+    unions = groups.select(F.col("gid").alias("lo"), "tokens")
+    asking = groups.select(F.col("gid").alias("hi"), "sizes", "found")
+    return mapped(pairs.join(unions, "lo").join(asking, "hi"), run, "lo long, hi long, some array<long>")
+
+
+def opened(pairs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): for each qualifying pair a spanning forest of the links between the leads of its two groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("some", "sizes_lo", "found_lo", "leads_lo", "sizes_hi", "found_hi", "leads_hi")
+        for batch in batches:
+            a, b = [], []
+            for some, n_lo, f_lo, l_lo, n_hi, f_hi, l_hi in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                left, right = _sets_of(f_lo, n_lo), _sets_of(f_hi, n_hi)
+                right, l_right = [right[k] for k in some], np.array(l_hi)[some]
+                at = np.argwhere(rule.linked(_common(left, right), np.array(n_lo), np.array(n_hi)[some]))
+                links = np.unique(np.stack([np.array(l_lo)[at[:, 0]], l_right[at[:, 1]]], 1), axis=0) if len(at) else at
+                ends, where = np.unique(links, return_inverse=True)
+                for name, lead in zip(ends.tolist(), _leads(ends.tolist(), where.reshape(-1, 2)), strict=True):
+                    if lead != name:
+                        a.append(name)
+                        b.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def side(name: str) -> DataFrame:
+        return groups.select(F.col("gid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sizes", "found", "leads")))
+
+    return mapped(pairs.join(side("lo"), "lo").join(side("hi"), "hi"), run, "a long, b long")
+
+
+def linked_classes(keyed: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
+    """(cid, label) of the candidates: classes of one component have one label."""
+    bag: list[str] = []
+    groups = written(similar_groups(candidates), "similar-groups", bag=bag)
+    pairs = meeting_groups(groups, rule, bag)
+    meeting = pairs.select(F.explode(F.array("lo", "hi")).alias("gid")).distinct().withColumn("meets", F.lit(True))
+    needed = groups.join(meeting, "gid", "left").where(F.col("meets") | (F.size("cids") > 1))
+    members = needed.select("gid", F.explode(F.arrays_zip("cids", "row_keys", "classes", "checks")).alias("r"))
+    wanted = written(members.select("gid", F.col("r.cids").alias("cid"), F.col("r.row_keys").alias("row_key"), F.col("r.classes").alias("cls"), F.col("r.checks").alias("check")), "wanted", bag=bag)
+    blobs = written(token_groups(member_sets(keyed, wanted, rule), rule), "token-groups", bag=bag)
+    some = written(qualifying(pairs, blobs, rule), "qualifying", bag=bag)
+    links = written(opened(some, blobs, rule), "links", bag=bag)
+    labels = connected(links, bag)
+    leads = blobs.select(F.explode(F.arrays_zip("cids", "leads")).alias("r")).select(F.col("r.cids").alias("cid"), F.col("r.leads").alias("node"))
+    named = candidates.select("cid").join(leads, "cid", "left").withColumn("node", F.coalesce("node", "cid")).join(labels, "node", "left")
+    out = written(named.select("cid", F.coalesce("label", "node").alias("label")), "labels")
+    discard(keyed.sparkSession, bag)
+    return out
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, slack: float = 7.0) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links of similarity num / den)."""
-    rule = Rule(n, num, den, slack)
-    keyed = _keyed(df, id_col, text_col)
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links of similarity num / den), kept.
+
+    Of every component the rows of one (id, text) are kept, the smallest; rows without a shingle are all kept."""
+    out = _components(_keyed(df, id_col, text_col), Rule(n, num, den, slack))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, slack: float = 7.0) -> DataFrame:
+    """The rows of ``df`` that ``ngram_components`` keeps, with all their columns, whatever their names."""
+    found = _components(_keyed(df, id_col, text_col), Rule(n, num, den, slack)).where("kept")
+    own, kept = free_name(df, "own_key"), free_name(df, "kept_key")
+    rows = df.withColumn(own, _row_key(F.col(id_col), F.col(text_col)))
+    stay = found.select(F.col("row_key").alias(kept)).distinct()
+    return rows.join(stay, F.col(own) == F.col(kept), "left_semi").drop(own)
+
+
+def _components(keyed: DataFrame, rule: Rule) -> DataFrame:
+    """(id, row_key, n_shingles, component_id, kept)."""
+    spark, bag = keyed.sparkSession, []
     docs = written(document_sets(keyed, rule), "document-sets")
-    classes = docs.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("top").alias("top"), F.first("below").alias("below"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key"))["row_key"].alias("row_key"))
+    first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("first")
+    classes = docs.where("cls IS NOT NULL").groupBy("cls", "check").agg(*(F.first(c).alias(c) for c in ("n", "m", "top", "below")), first_row, F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("*", F.col("first.id").alias("least_id"), F.col("first.row_key").alias("row_key"))
     classes = written(classes, "classes")
-    emitted = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    n_ranges = 1 << max(8, min(16, math.ceil(math.log2(emitted / _RANGE_TOKENS + 1))))
-    shared = written(shared_tokens(keyed, rule, n_ranges), "shared-tokens")
-    asked = rule.asked(F.col("n"))
-    n_shared = F.size(F.filter("tokens", lambda t: t.bitwiseXOR(F.lit(_LEAST)) <= F.col("top")))
-    candidates = classes.join(shared.groupBy("cls").agg(F.collect_set("token").alias("tokens")), "cls").where(F.col("below") - n_shared < asked)
-    sets = written(candidate_sets(keyed, candidates.select("row_key", "cls"), rule), "candidate-sets")
-    groups, links = group_links(sets, shared, classes, rule)
-    few = _blocks_against_all(keyed, classes.where(F.col("m") < asked).select("row_key", "cls"), rule)
-    if few is not None:
-        named = groups.select("cls", "g")
-        few = few.join(named.withColumnsRenamed({"cls": "a", "g": "ga"}), "a", "left").join(named.withColumnsRenamed({"cls": "b", "g": "gb"}), "b", "left")
-        links = links.union(few.select(F.coalesce("ga", "a"), F.coalesce("gb", "b")))
-    names = classes.join(groups, "cls", "left").select("cls", "least_id", F.coalesce("g", "cls").alias("g"))
-    labels = connected(links)
-    labelled = names.join(labels.withColumnRenamed("node", "g"), "g", "left").select("cls", "least_id", F.coalesce("label", "g").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_class = labelled.join(least, "label").select("cls", "component_id")
-    out = docs.join(by_class, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    emitted, n_rows = classes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    n_ranges = 1 << max(8, min(22, math.ceil(math.log2(emitted / _RANGE_TOKENS + 1))))
+    shared = written(shared_tokens(keyed, rule, n_ranges), "shared-tokens", bag=bag)
+    candidates = written(candidate_classes(classes, shared, rule), "candidates")
+    discard(spark, bag)
+    labels = linked_classes(keyed, candidates, rule)
+    labelled = candidates.select("cls", "check", "cid", "first").join(labels, "cid")
+    least = labelled.groupBy("label").agg(F.min("first").alias("least"))
+    changed = labelled.join(least, "label").select("cls", "check", "least")
+    by_class = classes.select("cls", "check", "first", "copies").join(changed, ["cls", "check"], "left").select("cls", "check", "copies", F.coalesce("least", "first").alias("least"))
+    by_class = written(by_class, "by-class")
+    common = F.col("copies") > max(_COMMON_ROWS, n_rows // _COMMON_CLASSES)  # so many classes at most, whatever the table
+    hot = F.broadcast(by_class.where(common).drop("copies"))
+    rest = docs.join(hot.drop("least"), ["cls", "check"], "left_anti").join(by_class.where(~common).drop("copies"), ["cls", "check"], "left")
+    out = rest.unionByName(docs.join(hot, ["cls", "check"]))
+    alone = F.col("cls").isNull()
+    return out.select("id", "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), (alone | (F.col("row_key") == F.col("least.row_key"))).alias("kept"))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

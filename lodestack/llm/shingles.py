@@ -115,21 +115,11 @@ def _sets(words: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def class_key(found: np.ndarray) -> int:
-    """A signed 64-bit key of a set: two independent sums over its mixed members."""
+def class_keys(found: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit keys of a set, from two independent sums over its mixed members and their number."""
     first = mixed(found + np.uint64(0x51)).sum()
     second = mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-    both = mixed(np.array([first, len(found)], np.uint64) * np.uint64(3) + np.array([second, 0], np.uint64) * np.uint64(_BASE))
-    both = mixed(both[:1] + both[1:])
-    return int(both.view(np.int64)[0])
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common members of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int(np.count_nonzero(b[at] == a))
+    both = mixed(np.array([first, second], np.uint64) * np.uint64(3) + np.uint64(len(found)))
+    turned = mixed(np.array([both[0] + (both[1] << np.uint64(1)), (both[0] << np.uint64(1)) + both[1] * np.uint64(_BASE)], np.uint64))
+    key, check = turned.view(np.int64).tolist()
+    return key, check

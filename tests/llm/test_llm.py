@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -158,3 +159,56 @@ def test_media_codecs_and_stored_pcm(spark):
         samples, source = media.decode(raw)
         stored, target = media.decode(bytes(got[i]))
         assert target == 16000 and stored.tolist() == media.resample(samples, source, 16000).tolist()
+
+
+def components_by_brute_force(texts, n, num):
+    """The least index of each text's component, by a matrix of all shingles."""
+    shingles = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        shingles.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    names = {x: k for k, x in enumerate({x for s in shingles for x in s})}
+    matrix = np.zeros((len(texts), len(names)), np.float32)
+    for i, s in enumerate(shingles):
+        matrix[i, [names[x] for x in s]] = 1
+    size, common = matrix.sum(1), matrix @ matrix.T
+    linked = (common > 0) & (100 * common >= num * (size[:, None] + size[None, :] - common))
+    least = np.arange(len(texts))
+    while True:
+        now = np.where(linked, least[None, :], len(texts)).min(1).clip(max=least)
+        if (now == least).all():
+            return [len(s) for s in shingles], least.tolist()
+        least = now
+
+
+@pytest.mark.parametrize("slack", [7.0, 0.0])
+def test_ngram_components_at_the_registered_rule(spark, slack):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 110)]
+    line = " ".join(f"line{x}" for x in range(12))
+    texts = [" ".join(base)] * 40
+    for _ in range(900):
+        words = list(base)
+        for k in rng.integers(0, len(words), rng.integers(0, 7)):
+            words[k] = f"e{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    for _ in range(250):
+        texts.append(line + " " + " ".join(f"v{x}" for x in rng.integers(0, 10**6, rng.integers(1, 60))))
+    for size in (1, 2, 3, 4, 5, 6, 2500):
+        words = [f"z{x}" for x in rng.integers(0, 10**6, size)]
+        texts += [" ".join(words), "\t".join(words).upper(), " ".join([*words, "one"])]
+    texts += [None, "", " \n", "line1 line2", "é é"]
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    sizes, want = components_by_brute_force(texts, 4, 85)
+    assert max(np.bincount(want)) > 200 and len(set(want)) > 400
+    df = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in enumerate(texts)], "doc_id long, text string, cls string, token int, gid int, found string").repartition(12)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df, n=4, num=85, slack=slack).collect()}
+    assert got == {i: (sizes[i], want[i]) for i in range(len(texts))}
+
+
+def test_ngram_components_defined_cases(spark):
+    assert ngram_join.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f"), (3, "q r s t u v"), (None, "a b c d e f"), (None, "only here five words now"), (4, None)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (4, 4)], key=str)
