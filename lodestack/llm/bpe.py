@@ -84,20 +84,51 @@ class Recent:
                     got[k] = self.keep(keys[k], v)
         return got
 
-    def keep_all(self, keys: list, values: list) -> None:
-        """As ``keep`` for each; the limit is looked at once, so the younger half may exceed it by one batch."""
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        if keys and max(map(len, keys)) > self.longest:
-            self.young.update((k, v) for k, v in zip(keys, values, strict=True) if len(k) <= self.longest)
-        else:
-            self.young.update(zip(keys, values, strict=True))
+
+class Known:
+    """The ids of chunks met lately, in arrays: found by one hash join for all chunks of a batch.
+
+    Beyond ``limit`` chunks, the half that was asked for last stays."""
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.limit, self.longest, self.now = limit, longest, 0
+        self.keys = pa.array([], pa.string())
+        self.values = np.zeros(0, "<u4")
+        self.begins = self.sizes = self.used = np.zeros(0, np.int64)
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        """The place of each chunk, -1 for those not known."""
+        self.now += 1
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
+        self.used[at[at >= 0]] = self.now
+        return at
+
+    def add(self, chunks: pa.Array, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps new chunks, with their ids one after another; long ones are not kept."""
+        begins = np.cumsum(sizes) - sizes + len(self.values)
+        short = np.flatnonzero(pc.binary_length(chunks).to_numpy(zero_copy_only=False) <= self.longest)
+        self.keys = pa.concat_arrays([self.keys, chunks.take(pa.array(short))])
+        self.values = np.concatenate([self.values, values])
+        self.begins = np.concatenate([self.begins, begins[short]])
+        self.sizes = np.concatenate([self.sizes, sizes[short]])
+        self.used = np.concatenate([self.used, np.full(len(short), self.now)])
+        if len(self.keys) > self.limit:
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+            self.values = gathered_ids(self.values, self.begins[stay], self.sizes[stay])[0]
+            self.keys, self.sizes, self.used = self.keys.take(pa.array(stay)), self.sizes[stay], self.used[stay]
+            self.begins = np.cumsum(self.sizes) - self.sizes
+
+
+def gathered_ids(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` one after another, and where each begins (one more than runs)."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 class WordBpe:
     """Encoder and decoder for a word-end BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -113,8 +144,8 @@ class WordBpe:
             self.tokens[i] = token
         self._merge_tables()
         self._library = None
-        self._pieces = Recent(cache_entries // 2)
-        self._chunks = Recent(cache_entries)
+        self._pieces = Recent(cache_entries // 8)
+        self._chunks = Known(cache_entries)
 
     def _inside_pairs(self) -> np.ndarray:
         """[a, b]: whether byte b follows byte a inside some token; 256 + b is byte b at a word's end."""
@@ -274,7 +305,6 @@ class WordBpe:
             out = [ids[i] if j == i + 1 else b"".join(ids[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
         for k, parts in special.items():
             out[k] = b"".join(array("I", (self.special[p],)).tobytes() if p in self.special else b"".join(self._encode_chunks([p])) for p in parts if p)
-        self._chunks.keep_all(chunks, out)
         return out
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,17 +313,18 @@ class WordBpe:
         Each distinct chunk of the batch is looked up once; ids are then gathered by numpy."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        parts = self._chunks.find_all(chunks)
-        missing = [k for k, got in enumerate(parts) if got is None]
-        for k, got in zip(missing, self._encode_chunks([chunks[k] for k in missing]), strict=True):
-            parts[k] = got
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        values, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = values[np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        known, places = self._chunks, self._chunks.find(coded.dictionary)
+        missing = np.flatnonzero(places < 0)
+        unknown = coded.dictionary.take(pa.array(missing))
+        made = self._encode_chunks(unknown.to_pylist())
+        fresh, lengths = np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begins, sizes = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+        old = places >= 0
+        begins[old], sizes[old] = known.begins[places[old]], known.sizes[places[old]]
+        begins[missing], sizes[missing] = np.cumsum(lengths) - lengths + len(known.values), lengths
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = gathered_ids(np.concatenate([known.values, fresh]), begins[at], sizes[at])
+        known.add(unknown, fresh, lengths)
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return ids, ends[edges]
 
