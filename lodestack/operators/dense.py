@@ -1,61 +1,139 @@
-"""Exact cosine ranking of vectors, by blocks of queries.
+"""Exact cosine ranking of vectors, by blocks of queries and of the corpus.
 
-A block is at most ``BLOCK`` queries of one float64 matrix; the corpus streams past it
-in Arrow batches, each of which keeps its k best for every query, so what is shuffled is
-small whatever the corpus holds. Vectors must be finite, not zero and of one length."""
+The corpus is packed where it lies into blocks of rows, one matrix each; so are the
+queries. A pair of blocks is one matrix product, of which the k best of every query go
+on, so what is shuffled is small whatever the corpus holds. Blocks of queries are
+broadcast as long as their bytes allow, and otherwise meet the corpus through a shuffle;
+neither side ever comes to the driver. Vectors must be finite, not zero and of one
+length; the first that is not is named."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.lexical import first_k
+from lodestack.operators.lexical import DIGITS, first_k
+from lodestack.storage import written
 
 BLOCK = 2048
+#: Bytes of query blocks that may be broadcast.
+BROADCAST_BYTES = 256 << 20
+#: Digits at which scores are compared: beyond them a sum depends on its order.
+WHOLE = 12
+
+
+class Embedder(Protocol):
+    """A model that turns texts into vectors of one length."""
+
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+def checked(rows: list, keys: list, dims: int | None = None) -> np.ndarray:
+    """A matrix of the vectors; raises with the key of the first that is null, of another length, not finite or zero."""
+    if dims is None and rows:
+        dims = len(rows[0] or ())
+    for key, row in zip(keys, rows, strict=True):
+        if row is None or len(row) != dims or not dims or not all(x is not None and np.isfinite(x) for x in row) or not any(row):
+            raise ValueError(f"the vector of {key!r} is null, not finite, zero, or not of {dims} numbers")
+    return np.array(rows, float).reshape(len(rows), dims or 0)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1)
-    if not np.isfinite(norms).all() or (norms == 0).any():
-        raise ValueError("vectors must be finite and not zero")
-    return rows / norms[:, None]
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def vector_errors(df: DataFrame, id_col: str, vec_col: str, dims: int | None = None) -> DataFrame:
+    """(id, error): vectors that a ranking would refuse; without ``dims`` the most frequent length is right."""
+    v = F.col(vec_col).cast("array<double>")
+    if dims is None:
+        common = df.groupBy(F.size(vec_col).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        dims = common["n"] if common else 0
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    error = (
+        F.when(v.isNull(), "null").when(F.size(v) != dims, "length").when(~F.coalesce(finite, F.lit(False)), "not_finite")
+        .when(F.forall(v, lambda x: x == 0), "zero")
+    )
+    return df.select(F.col(id_col).alias("id"), error.alias("error")).where("error IS NOT NULL")
+
+
+def normalise(df: DataFrame, vec_col: str) -> DataFrame:
+    """``df`` with its vectors divided by their lengths; null and zero vectors become null."""
+    v = F.col(vec_col).cast("array<double>")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
+    return df.withColumn(vec_col, F.when(length > 0, F.transform(v, lambda x: x / length)))
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embedder], out_col: str = "embedding") -> DataFrame:
+    """(id, vector): the model is made once a task; null texts are empty ones."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, dims = None, None
+        for batch in batches:
+            if batch.num_rows:
+                model = model or make()
+                keys = batch.column("id").to_pylist()
+                made = checked(np.asarray(model.encode(batch.column("text").to_pylist()), float).tolist(), keys, dims)
+                dims = made.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(unit(made).tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+
+    return rows.mapInArrow(run, f"id {kind}, vec array<double>").withColumnsRenamed({"id": id_col, "vec": out_col})
+
+
+def _blocks(df: DataFrame, id_col: str, vec_col: str, side: str, size: int) -> DataFrame:
+    """(ids, matrix, dims) of each block; a block has rows of one partition."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        held: list = []
+        arrow = None
+
+        def block() -> pa.RecordBatch:
+            matrix = unit(checked(held[:size], ids[:size]))
+            out = pa.RecordBatch.from_arrays([pa.array([ids[:size]], pa.list_(arrow)), pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int64())], names=[f"{side}_ids", f"{side}_matrix", f"{side}_dims"])
+            del ids[:size], held[:size]
+            return out
+
+        for batch in batches:
+            arrow = batch.column("id").type
+            ids += batch.column("id").to_pylist()
+            held += batch.column("vec").to_pylist()
+            while len(ids) >= size:
+                yield block()
+        if ids:
+            yield block()
+
+    return rows.mapInArrow(run, f"{side}_ids array<{kind}>, {side}_matrix binary, {side}_dims long")
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query, node, score, rank); scores at six digits, ties by id."""
-    rows = corpus.select(F.col(id_col).alias("node"), F.col(vec_col).cast("array<double>").alias("vec"))
-    asked = queries.select(F.col(id_col).alias("query"), F.col(vec_col).cast("array<double>").alias("vec"))
-    n_blocks = -(-asked.count() // block)
-    kind = rows.schema["node"].dataType.simpleString()
-    parts = []
-    for number in range(n_blocks):
-        got = asked.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == number).collect()
-        if not got:
-            continue
-        names = [r["query"] for r in got]
-        matrix = unit(np.array([r["vec"] for r in got], float))
-
-        def best(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.array(batch.column("node").to_pylist(), object)
-                vectors = unit(np.array(batch.column("vec").to_pylist(), float))
-                order = np.argsort(ids, kind="stable")
-                scores = np.round(matrix @ vectors[order].T, 6)
+    """(query, node, score, rank); scores are shown at six digits, ties go by id."""
+    kind = dict(corpus.dtypes)[id_col]
+    asked = written(_blocks(queries, id_col, vec_col, "query", block), "query-blocks")
+    small = (asked.agg(F.sum(F.octet_length("query_matrix"))).first()[0] or 0) <= BROADCAST_BYTES
+    pairs = _blocks(corpus, id_col, vec_col, "node", block).crossJoin(F.broadcast(asked) if small else asked)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                nodes, names = (batch.column(f"{s}_ids")[row].values for s in ("node", "query"))
+                dims = [batch.column(f"{s}_dims")[row].as_py() for s in ("node", "query")]
+                if dims[0] != dims[1]:
+                    raise ValueError(f"vectors of {dims[0]} and of {dims[1]} numbers cannot be compared")
+                matrix, vectors = (np.frombuffer(batch.column(f"{s}_matrix")[row].as_buffer(), float).reshape(-1, dims[0]) for s in ("query", "node"))
+                order = np.argsort(np.array(nodes.to_pylist(), object), kind="stable")
+                scores = np.round(matrix @ vectors[order].T, WHOLE)
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                query = [n for n, row in zip(names, top, strict=True) for _ in row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query, batch.column("node").type), pa.array(ids[order][top].ravel().tolist(), batch.column("node").type), pa.array(np.take_along_axis(scores, top, 1).ravel())],
-                    names=["query", "node", "score"],
-                )
-
-        parts.append(rows.mapInArrow(best, f"query {kind}, node {kind}, score double"))
-    if not parts:
-        return first_k(rows.select(F.col("node").alias("query"), "node", F.lit(0.0).alias("score")).limit(0), k)
-    return first_k(reduce(DataFrame.union, parts), k)
+                repeat = np.repeat(np.arange(len(names)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(repeat)), nodes.take(pa.array(order[top].ravel())), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query", "node", "score"])
+
+    ranked = first_k(pairs.mapInArrow(best, f"query {kind}, node {kind}, score double"), k)
+    return ranked.withColumn("score", F.round("score", DIGITS))

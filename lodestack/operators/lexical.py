@@ -1,54 +1,84 @@
 """BM25 ranking over token postings.
 
-Only postings of the queries' terms are counted, so the shuffle grows with their hits.
-Ranks compare scores at six digits and break ties by id: the order of summation cannot
-change a ranking. Every query gets exactly min(k, N) rows: where fewer match, the
-smallest other ids follow with score 0. Null and empty texts have no terms."""
+The corpus is tokenised once, into a written table of tokens by document, which gives its
+size, its mean length and the postings of the terms that are asked for. Those terms are
+broadcast as long as there are few, so a frequent term's postings stay where they lie, and
+only sums by (query, document) are shuffled. Contributions are added in the order of a
+query's terms, so equal documents have equal scores whatever the plan. Every query gets
+exactly min(k, N) rows: where fewer match, the smallest other ids follow with score 0.
+Null and empty texts have no terms; null ids are no documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import search_tokens
+from lodestack.storage import written
+
+#: Query terms up to this number are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+DIGITS = 6
+
+
+@dataclass(frozen=True)
+class Index:
+    """``tokens`` has (node, dl, tokens), one row per document; two rows of an id are refused."""
+
+    tokens: DataFrame
+    n_docs: int
+    mean_length: float
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(node, term, tf, dl), of the given terms only where there are some."""
+        rows = self.tokens.select("node", "dl", F.explode("tokens").alias("term"))
+        if terms is not None:
+            rows = rows.join(_small(terms), "term", "left_semi")
+        return rows.groupBy("node", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
+    def first_ids(self, k: int) -> DataFrame:
+        return self.tokens.select("node").orderBy("node").limit(k)
 
-def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
-    """(node, term, tf, dl), of the given terms only where there are some."""
-    rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens"))
-    rows = rows.select("node", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy("node", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
+def _small(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
-def corpus_size(docs: DataFrame, text_col: str) -> tuple[int, float]:
-    """Number of documents and their mean number of tokens (0 where empty)."""
-    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size(search_tokens(text_col)))).first()
-    return n, mean or 0.0
 
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens")).where("node IS NOT NULL")
+    tokens = written(rows.select("node", F.size("tokens").alias("dl"), "tokens"), "tokens")
+    n, mean, repeated = tokens.agg(F.count(F.lit(1)), F.avg("dl"), F.count(F.lit(1)) - F.count_distinct("node")).first()
+    if repeated:
+        raise ValueError(f"{repeated} rows repeat an identifier")
+    return Index(tokens, n, mean or 0.0)
 
-def first_k(scored: DataFrame, k: int) -> DataFrame:
+
+def first_k(scored: DataFrame, k: int, score: str | Column = "score") -> DataFrame:
     """Rows (query, node, score, ...) of rank k and better, with ``rank``; limited before the shuffle."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    order = Window.partitionBy("query").orderBy(F.desc(score) if isinstance(score, str) else score.desc(), "node")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, node, score, rank)."""
-    n_docs, mean = corpus_size(docs, text_col)
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(search_tokens(query_text))).alias("term"))
-    found = postings(docs, id_col, text_col, asked.select("term").distinct())
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.col("dl") / mean if mean else F.lit(0.0)
+def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, node, score, rank): scores are shown at six digits, but ranked whole."""
+    asked = queries.select(F.col(query_id).alias("query"), F.posexplode(F.array_distinct(search_tokens(query_text))).alias("place", "term"))
+    asked = written(asked, "asked-terms")
+    found = index.postings(asked.select("term").distinct())
+    found = written(found, "postings")
+    weighed = found.join(_small(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
+    weight = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.col("dl") / index.mean_length if index.mean_length else F.lit(0.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scored = asked.join(df, "term").join(found, "term").groupBy("query", "node").agg(F.round(F.sum(part), 6).alias("score"))
+    parts = weighed.join(_small(asked), "term").groupBy("query", "node").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))).alias("parts"))
+    scored = parts.select("query", "node", F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["part"]).alias("score"))
     best = first_k(scored, k)
-    least = [r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col).limit(k).collect()]
-    if not least:
-        return best
-    kind = dict(docs.dtypes)[id_col]
-    padding = queries.select(F.col(query_id).alias("query"), F.explode(F.array(*map(F.lit, least)).cast(f"array<{kind}>")).alias("node"))
+    padding = queries.select(F.col(query_id).alias("query")).crossJoin(F.broadcast(index.first_ids(k)))
     padding = padding.join(best, ["query", "node"], "left_anti").select("query", "node", F.lit(0.0).alias("score"))
-    return first_k(best.drop("rank").union(padding), k)
+    return first_k(best.drop("rank").union(padding), k).withColumn("score", F.round("score", DIGITS))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25_rank`` over an index of ``docs`` built for it."""
+    return bm25_rank(build_index(docs, id_col, text_col), queries, k, query_id, query_text, k1, b)

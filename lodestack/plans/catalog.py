@@ -1,215 +1,19 @@
-"""Queries over the test tables, and the same in DuckDB SQL.
+"""All queries over the test tables, and the same in DuckDB SQL where it can say them.
 
-Stand-ins: ``documents`` for the corpus, ``benchmark`` for the queries, containment for
-gold links, ``embeddings`` for model vectors (queries: ids divisible by 20)."""
+Without SQL: markup (``clean_html``, ``html_sections``, ``structure_stats``), and passages
+bounded by headings with what follows from them (``passages``, ``evidence_counts``,
+``evidence_candidates``); tests hold those against fixtures."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from lodestack.plans import checks, passages, ranking, texts
 
-from lodestack.functions.text import evidence_terms, search_tokens, stable_id
-from lodestack.operators import chunks, dense, evaluate, fusion, lexical
-from lodestack.operators.titles import title_filter
-
-K = 20
-REPLICATES = 500
-RULES = dict(internship=[r"\bsmall\b"], ambiguous=[r"\bhot\s+gear\b"], families={"ring": ([r"\bring\b"], [r"\bred\b"]), "tool": ([r"\bwidget\b", r"\bgear\b"], []), "metal": ([r"\bbolt\b", r"\bblue\b"], [])})
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _bm25(spark: SparkSession, sf_dir: str, low: bool = False, k: int = K) -> DataFrame:
-    queries = _table(spark, sf_dir, "benchmark")
-    if low:
-        tokens = search_tokens("text")
-        half = F.floor(F.size(tokens) / 2).cast("int")
-        queries = queries.select("item_id", F.array_join(F.slice(tokens, half + 1, F.size(tokens)), " ").alias("text"))
-    return lexical.bm25_topk(_table(spark, sf_dir, "documents"), queries, k, "doc_id", "text", "item_id", "text")
-
-
-def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.containment_qrels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-
-
-def _scores(spark: SparkSession, sf_dir: str, low: bool = False) -> DataFrame:
-    return evaluate.score_rankings(_bm25(spark, sf_dir, low, 5), _qrels(spark, sf_dir))
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired_outcomes(_scores(spark, sf_dir), _scores(spark, sf_dir, low=True))
-
-
-def _dense(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, dims).alias("embedding"))
-    return dense.dense_topk(vectors, vectors.where(F.col("vec_id") % 20 == 0), K)
-
-
-def tokenize_counts(spark, sf_dir):
-    tokens = _table(spark, sf_dir, "documents").select(F.explode(search_tokens("text")).alias("term"))
-    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def document_frequency(spark, sf_dir):
-    tokens = _table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(search_tokens("text"))).alias("term"))
-    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def doc_length_stats(spark, sf_dir):
-    n = F.size(search_tokens("text")).cast("long")
-    return _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("tokens"), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("mean_length"))
-
-
-def evidence_terms_df(spark, sf_dir):
-    terms = _table(spark, sf_dir, "documents").select(F.explode(evidence_terms("text")).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir)
-
-
-def containment_qrels(spark, sf_dir):
-    return _qrels(spark, sf_dir)
-
-
-def bm25_eval_hit_mrr(spark, sf_dir):
-    return _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr_at_5"))
-
-
-def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir)
-
-
-def rrf_fusion(spark, sf_dir):
-    fused = fusion.rrf(_dense(spark, sf_dir), _dense(spark, sf_dir, 32), K)
-    return fused.select("query", "node", F.round("score", 9).alias("score"), "first_rank", "second_rank", "rank")
-
-
-def rerank_candidates(spark, sf_dir):
-    return fusion.rerank_candidates(_dense(spark, sf_dir), _dense(spark, sf_dir, 32))
-
-
-def rerank_standin(spark, sf_dir):
-    score = F.pmod(F.col("node") * 31 + F.col("query") * 17, F.lit(101)) / 100.0
-    return fusion.rerank(rerank_candidates(spark, sf_dir), score)
-
-
-def paired_outcomes(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("high_rr", "low_rr", "rr_drop")})
-
-
-def transition_summary(spark, sf_dir):
-    return evaluate.transition_summary(_pairs(spark, sf_dir))
-
-
-def bootstrap_ci(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    n = max(1, pairs.count())
-    draws = spark.range(REPLICATES * n).select(F.floor(F.col("id") / n).alias("replicate"), F.pmod(F.col("id") * 48271 + F.floor(F.col("id") / n) * 7919, F.lit(n)).alias("idx"))
-    return evaluate.bootstrap_interval(pairs, draws, "hit_drop")
-
-
-def title_rules(spark, sf_dir):
-    found = title_filter(F.col("p_name"), F.col("p_type"), **RULES)
-    return _table(spark, sf_dir, "part").select("p_partkey", found.alias("found")).select("p_partkey", "found.status", "found.family")
-
-
-def stable_ids(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", stable_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("stable_id"))
-
-
-def chunk_ranges(spark, sf_dir):
-    return chunks.chunks(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start", "end", F.md5("content").alias("content_md5"))
-
-
-_QUERIES = (
-    tokenize_counts, document_frequency, doc_length_stats, evidence_terms_df, bm25_topk, containment_qrels, bm25_eval_hit_mrr, dense_topk, rrf_fusion,
-    rerank_candidates, rerank_standin, paired_outcomes, transition_summary, bootstrap_ci, title_rules, stable_ids, chunk_ranges,
-)
+_PARTS = (texts, passages, ranking, checks)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
-
-
-_TOKENS = "list_transform(regexp_extract_all(coalesce({}, ''), '[A-Za-z0-9]+(?:[._/+:-][A-Za-z0-9]+)*'), lambda x: lower(x))"
-_STOP = "a an and are as at be by can do for from have in is it of on or our the their this to with will you your we work working role team teams experience skills ability able knowledge strong excellent required requirements good including using use develop support build provide manage across ensure within about position candidate candidates job years year plus must should preferred"
-
-
-def _bm25_ctes(name: str, k: int, low: bool = False) -> str:
-    items = f"SELECT item_id AS query, {_TOKENS.format('text')} AS toks FROM benchmark"
-    if low:
-        items = f"SELECT query, toks[(len(toks) // 2 + 1):] AS toks FROM ({items})"
-    return f"""
-{name}_d AS (SELECT doc_id AS node, {_TOKENS.format("text")} AS toks FROM documents),
-{name}_n AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM {name}_d),
-{name}_p AS (SELECT node, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT node, len(toks) AS dl, unnest(toks) AS term FROM {name}_d) GROUP BY ALL),
-{name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
-{name}_q AS (SELECT DISTINCT query, unnest(toks) AS term FROM ({items})),
-{name}_s AS (SELECT query, node, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score
-  FROM {name}_q JOIN {name}_f USING (term) JOIN {name}_p USING (term), {name}_n GROUP BY query, node),
-{name}_a AS (SELECT b.item_id AS query, d.doc_id AS node, coalesce(s.score, 0.0) AS score FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents) d
-  LEFT JOIN {name}_s s ON s.query = b.item_id AND s.node = d.doc_id),
-{name} AS (SELECT query, node, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM {name}_a QUALIFY rank <= {k})"""
-
-
-_QRELS = "qrels AS (SELECT b.item_id AS query, d.doc_id AS node FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
-
-
-def _score_cte(name: str, ranking: str) -> str:
-    return f"""{name} AS (SELECT query, (first_rank IS NOT NULL)::BIGINT AS hit, coalesce(1.0 / first_rank, 0.0) AS rr FROM
-  (SELECT g.query, min(r.rank) AS first_rank FROM qrels g LEFT JOIN {ranking} r ON r.query = g.query AND r.node = g.node AND r.rank <= 5 GROUP BY g.query))"""
-
-
-_PAIR_CTES = f"""WITH {_bm25_ctes("high", 5)}, {_bm25_ctes("low", 5, True)}, {_QRELS}, {_score_cte("hs", "high")}, {_score_cte("ls", "low")},
-pairs AS (SELECT hs.query AS pair, hs.hit AS high_hit, ls.hit AS low_hit, hs.hit - ls.hit AS hit_drop, hs.rr AS high_rr, ls.rr AS low_rr, hs.rr - ls.rr AS rr_drop,
-  CASE WHEN hs.hit = 1 THEN 'hit' ELSE 'miss' END || '→' || CASE WHEN ls.hit = 1 THEN 'hit' ELSE 'miss' END AS transition FROM hs JOIN ls USING (query))"""
-
-
-def _dense_cte(name: str, dims: int) -> str:
-    v = f"(SELECT vec_id, embedding[1:{dims}]::DOUBLE[] AS v FROM embeddings)"
-    return f"""{name} AS (SELECT query, node, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM
-  (SELECT q.vec_id AS query, c.vec_id AS node, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM {v} q JOIN {v} c ON q.vec_id % 20 = 0) QUALIFY rank <= {K})"""
-
-
-_TWO = f"{_dense_cte('a', 64)}, {_dense_cte('b', 32)}"
-_CANDIDATES = """c AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY source, r) AS position FROM
-  (SELECT query, node, min(source) AS source, arg_min(rank, source) AS r FROM (SELECT query, node, rank, 0 AS source FROM a UNION ALL SELECT query, node, rank, 1 FROM b) GROUP BY query, node))"""
+    return {f.__name__: f for part in _PARTS for f in part.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    toks = _TOKENS.format("text")
-    return {
-        "tokenize_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({toks}) AS term FROM documents) GROUP BY term",
-        "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({toks})) AS term FROM documents) GROUP BY term",
-        "doc_length_stats": f"SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, max(n)::BIGINT AS longest, round(avg(n), 6) AS mean_length FROM (SELECT len({toks}) AS n FROM documents)",
-        "evidence_terms_df": f"""SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, lower(term) AS term FROM
-  (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9+.#/\\-]*')) AS term FROM documents) WHERE length(term) >= 3)
-  WHERE NOT list_contains(string_split('{_STOP}', ' '), term) GROUP BY term""",
-        "bm25_topk": f"WITH {_bm25_ctes('r', K)} SELECT query, node, score, rank FROM r",
-        "containment_qrels": f"WITH {_QRELS} SELECT DISTINCT query, node FROM qrels",
-        "bm25_eval_hit_mrr": f"WITH {_bm25_ctes('r', 5)}, {_QRELS}, {_score_cte('s', 'r')} SELECT count(*) AS queries, round(avg(hit), 6) AS hit_at_5, round(avg(rr), 6) AS mrr_at_5 FROM s",
-        "dense_topk": f"WITH {_dense_cte('a', 64)} SELECT query, node, score, rank FROM a",
-        "rrf_fusion": f"""WITH {_TWO}, f AS (SELECT coalesce(a.query, b.query) AS query, coalesce(a.node, b.node) AS node, a.rank AS first_rank, b.rank AS second_rank,
-  coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0) AS s FROM a FULL JOIN b ON a.query = b.query AND a.node = b.node)
-SELECT query, node, round(s, 9) AS score, first_rank, second_rank, row_number() OVER (PARTITION BY query ORDER BY s DESC, node) AS rank FROM f QUALIFY rank <= {K}""",
-        "rerank_candidates": f"WITH {_TWO}, {_CANDIDATES} SELECT query, node, position FROM c",
-        "rerank_standin": f"""WITH {_TWO}, {_CANDIDATES}, s AS (SELECT query, node, position, ((node * 31 + query * 17) % 101)::DOUBLE / 100.0::DOUBLE AS score FROM c)
-SELECT query, node, position, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM s""",
-        "paired_outcomes": f"{_PAIR_CTES} SELECT pair, high_hit, low_hit, hit_drop, round(high_rr, 6) AS high_rr, round(low_rr, 6) AS low_rr, round(rr_drop, 6) AS rr_drop, transition FROM pairs",
-        "transition_summary": f"""{_PAIR_CTES} SELECT t.transition, count(p.pair) AS pairs, round(count(p.pair)::DOUBLE / (SELECT count(*) FROM pairs), 6) AS share
-FROM (VALUES ('hit→hit'), ('hit→miss'), ('miss→hit'), ('miss→miss')) t(transition) LEFT JOIN pairs p USING (transition) GROUP BY t.transition""",
-        "bootstrap_ci": f"""{_PAIR_CTES}, i AS (SELECT row_number() OVER (ORDER BY pair) - 1 AS idx, hit_drop::DOUBLE AS value FROM pairs), n AS (SELECT count(*) AS n FROM pairs),
-d AS (SELECT range // n AS replicate, (range * 48271 + (range // n) * 7919) % n AS idx FROM range({REPLICATES} * (SELECT n FROM n)), n),
-m AS (SELECT replicate, round(avg(value), 9) AS mean FROM d JOIN i USING (idx) GROUP BY replicate)
-SELECT 'hit_drop' AS metric, (SELECT round(avg(value), 6) FROM i) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""",
-        "title_rules": r"""SELECT p_partkey, status, CASE WHEN status = 'accepted' THEN fits[1] END AS family FROM (SELECT *, CASE
-  WHEN regexp_matches(p_name, '(?i)\bsmall\b') OR regexp_matches(p_type, '(?i)\bsmall\b') THEN 'internship'
-  WHEN regexp_matches(p_name, '(?i)\bhot\s+gear\b') OR len(fits) > 1 THEN 'ambiguous' WHEN len(fits) = 1 THEN 'accepted' ELSE 'non_target' END AS status FROM
-  (SELECT p_partkey, p_name, p_type, list_filter([CASE WHEN regexp_matches(p_name, '(?i)\bring\b') AND NOT regexp_matches(p_name, '(?i)\bred\b') THEN 'ring' END,
-    CASE WHEN regexp_matches(p_name, '(?i)\b(widget|gear)\b') THEN 'tool' END, CASE WHEN regexp_matches(p_name, '(?i)\b(bolt|blue)\b') THEN 'metal' END], lambda x: x IS NOT NULL) AS fits FROM part))""",
-        "stable_ids": "SELECT doc_id, sha256(concat_ws(chr(31), trim(source), trim(lang), trim(doc_id::VARCHAR))) AS stable_id FROM documents",
-    }
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
