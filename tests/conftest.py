@@ -1,9 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
+    here = Path(__file__).resolve().parent
+    os.environ["PYTHONPATH"] = os.pathsep.join(map(str, (here.parent, here)))  # workers load stand-ins from the tests
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
