@@ -4,9 +4,9 @@ A turn is ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a lin
 Control strings inside roles and texts are escaped: every ``<``, backslashes, ``|``
 gets one more backslash, which undoing removes, so any text comes back as it was.
 
-Running sums of turn tokens choose the windows: each holds the opening system turn, a
-limited history of turns repeated from before, and as many new turns as the budget
-takes. Only new assistant texts are under the loss mask, so each is a target once. A
+Prefix sums of turn tokens choose the windows, aligned to turns: each holds the opening
+system turn, a limited history of turns repeated from before, and as many new turns as
+the budget takes, found by a search in the sums. Only new assistant texts are under the loss mask, so each is a target once. A
 turn above the budget gets a window of its own, whole.
 
 Rows of a conversation are brought together and sorted, then streamed: memory holds one
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -62,56 +64,55 @@ def turn_text(role: str, text: str) -> tuple[str, int]:
 
 
 class Windows:
-    """Takes the turns of one conversation in order and gives its windows."""
+    """The windows of one conversation, whose turns come in order, some at a time."""
 
     def __init__(self, budget: int, history_turns: int, history_tokens: int):
         self.budget, self.history_turns, self.history_tokens = budget, history_turns, history_tokens
-        self.system: tuple[str, str, int] | None = None
-        self.recent: list[tuple[str, str, int]] = []
+        self.system: list[tuple[str, str, int]] = []
+        self.past: list[tuple[str, str, int]] = []
         self.turns: list[tuple[str, str, int]] = []
-        self.repeated = self.tokens = self.number = 0
-        self.started = False
-
-    def add(self, role: str, text: str, tokens: int) -> Iterator[dict]:
-        turn = (role, text, tokens + TURN_TOKENS)
-        if len(self.turns) > self.repeated and self.tokens + turn[2] > self.budget:
-            yield self.close()
-        if not self.turns and self.started:
-            self._repeat(turn[2])
-        if not self.started and role == "system":
-            self.system = turn
-        else:
-            self.recent = [*self.recent, turn][-self.history_turns :] if self.history_turns else []
-        self.started = True
-        self.turns.append(turn)
-        self.tokens += turn[2]
-
-    def _repeat(self, needed: int) -> None:
-        """Open a window with the system turn and the history that fits beside the next turn."""
-        self.turns = [self.system] if self.system else []
-        room = min(self.history_tokens, self.budget - needed - sum(t[2] for t in self.turns))
-        kept: list[tuple[str, str, int]] = []
-        for turn in reversed(self.recent):
-            if turn[2] > room:
+        self.number = 0
+
+    def add(self, turns: list[tuple[str, str, int]], last: bool) -> Iterator[dict]:
+        """Takes (role, text, tokens) turns and gives the windows that no further turn can change; all of them if it is the last time.
+
+        ``sums`` are the prefix sums of the turns held: where the room of a window ends in them, its span ends."""
+        self.turns += turns
+        sums = np.concatenate([[0], np.cumsum([n + TURN_TOKENS for *_, n in self.turns], dtype=np.int64)])
+        at = 0
+        while at < len(self.turns):
+            first = self.number == 0 and at == 0
+            repeated = [] if first else self._repeated(int(sums[at + 1] - sums[at]))
+            room = self.budget - sum(n + TURN_TOKENS for *_, n in repeated)
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + room, "right")) - 1)
+            if end == len(self.turns) and not last:
                 break
-            room -= turn[2]
-            kept.insert(0, turn)
-        self.turns += kept
-        self.repeated = len(self.turns)
-        self.tokens = sum(t[2] for t in self.turns)
-
-    def close(self) -> dict:
+            yield self._window(repeated, self.turns[at:end])
+            if first and self.turns[0][0] == "system":
+                self.system = self.turns[:1]
+            fresh = self.turns[at + bool(first and self.system) : end]
+            self.past = [*self.past, *fresh][-self.history_turns :] if self.history_turns else []
+            at = end
+        self.turns = self.turns[at:]
+
+    def _repeated(self, needed: int) -> list[tuple[str, str, int]]:
+        """The system turn, and the last turns that fit in the history's budget and beside the next turn."""
+        room = min(self.history_tokens, self.budget - needed - sum(n + TURN_TOKENS for *_, n in self.system))
+        back = np.cumsum([n + TURN_TOKENS for *_, n in reversed(self.past)], dtype=np.int64)
+        kept = int(np.searchsorted(back, room, "right"))
+        return self.system + (self.past[-kept:] if kept else [])
+
+    def _window(self, repeated: list, fresh: list) -> dict:
         parts, spans, at = [], [], 0
-        for k, (role, text, _) in enumerate(self.turns):
+        for k, (role, text, _) in enumerate([*repeated, *fresh]):
             shown, begin = turn_text(role, text)
-            if role == "assistant" and k >= self.repeated:
+            if role == "assistant" and k >= len(repeated):
                 spans.append({"start": at + begin, "end": at + len(shown) - len(CLOSE) - 1})
             parts.append(shown)
             at += len(shown)
-        out = {"window": self.number, "text": "".join(parts), "n_repeated": self.repeated, "n_tokens": self.tokens, "loss_spans": spans}
+        tokens = sum(n + TURN_TOKENS for *_, n in [*repeated, *fresh])
         self.number += 1
-        self.turns, self.repeated, self.tokens = [], 0, 0
-        return out
+        return {"window": self.number - 1, "text": "".join(parts), "n_repeated": len(repeated), "n_tokens": tokens, "loss_spans": spans}
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -143,16 +144,17 @@ def format_chats(
             for piece in slices(batch, "text"):
                 columns = [piece.column(c).to_pylist() for c in ("conv_id", "role", "text")]
                 counts = np.diff(encode(piece.column("text"))[1]).tolist()
-                for key, role, text, n in zip(*columns, counts, strict=True):
+                for key, rows in groupby(zip(*columns, counts, strict=True), itemgetter(0)):
                     if windows is None or key != conv:
-                        if windows is not None and windows.turns:
-                            out.append({"conv_id": conv, **windows.close()})
+                        if windows is not None:
+                            out.extend({"conv_id": conv, **w} for w in windows.add([], True))
                         conv, windows = key, Windows(budget, history_turns, history_tokens)
-                    out.extend({"conv_id": conv, **w} for w in windows.add(role, text, n))
-                yield flush()
-                out.clear()
-        if windows is not None and windows.turns:
-            out.append({"conv_id": conv, **windows.close()})
+                    out.extend({"conv_id": conv, **w} for w in windows.add([r[1:] for r in rows], False))
+                if out:
+                    yield flush()
+                    out.clear()
+        if windows is not None:
+            out.extend({"conv_id": conv, **w} for w in windows.add([], True))
             yield flush()
 
     return mapped(together, run, _SCHEMA.format(kind=kind))

@@ -1,12 +1,10 @@
-"""Shared pieces: the shared folder, written tables, Arrow batching and folds."""
+"""Shared pieces: Arrow batching, samples and folds."""
 
 from __future__ import annotations
 
 import ctypes
 import math
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,27 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.storage import delete_path, discard, new_path, shared_dir, written
+
+__all__ = ["delete_path", "discard", "new_path", "shared_dir", "written"]
+
 #: White space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows and bytes of a batch to Python, and bytes of the pieces it is worked on in.
 BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 500, 4 << 20, 1 << 20
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-    return _own_dir["dir"]
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -43,33 +30,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd", bag: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The path is added to ``bag``, for ``discard`` once nothing reads the table any more."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    if bag is not None:
-        bag.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, bag: list[str]) -> None:
-    """Deletes the written tables of ``bag`` and empties it."""
-    while bag:
-        delete_path(spark, bag.pop())
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fold_of(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(folds))

@@ -12,42 +12,83 @@ a scan over the blocks of a document, then all blocks together inside. That is e
 and a text of any length costs as many numpy calls as a short one, but for the scan.
 
 Fitted on about ``per_language`` labelled documents of each language at most (chosen by hash),
-cut into windows, half of which splice two documents so that switches are learned.
-Defined results: ``und`` with score 0 where the text is null or has no letter. Extra
-columns are ignored.
+cut into windows, half of which splice two documents so that switches are learned; every
+word of a sampled text is in some window. Defined results: ``und`` with score 0 where the
+text is null or has no letter (numerals such as ½ are none), and for every text where
+nothing could be learned, as from an empty or unlabelled table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import fold_of, hash_share, share_kept, text_udf
 
 PER_LANGUAGE = 600
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # as many as 16 bits tell
 BLOCK = 64
 WINDOW = 32
-LONG = 1 << 14  # features of a word that are summed at once
+LETTERS = 1 << 20  # letters of words that are worked on together
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-
-
-def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    """Buckets of the word's affixes, n-grams and, if frequent, of itself."""
-    marked = f"^{word}$"
-    names = [f"p{word[:k]}" for k in (1, 2, 3, 4)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
+_LETTERS = regex.compile(r"\p{L}+")
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters, in lower case; numerals that are no digits end a run."""
+    found = _WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
+
+
+def feature_parts(words: list[str], lexicon: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, words): the hashed affixes, n-grams and, if frequent, wholes of all words, by kind, as numbers of ``words``."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(sizes + 2)
+    starts, owner = ends - sizes - 2, np.repeat(np.arange(len(words)), sizes + 2)
+
+    def bucket(kind: int, letters: list[np.ndarray]) -> np.ndarray:
+        total = np.array([kind], np.uint64) * _FACTORS[-1:]
+        for factor, letter in zip(_FACTORS, letters, strict=False):
+            total = total + letter * factor
+        return ((total ^ (total >> np.uint64(29))) * _FACTORS[0] >> np.uint64(48)).astype(np.int64)
+
+    for k in (2, 3):
+        at = np.flatnonzero(np.arange(len(codes)) <= (ends - k)[owner])
+        yield bucket(k, [codes[at + j] for j in range(k)]), owner[at]
+    every = np.arange(len(words))
+    for kind, first, step in ((10, starts + 1, 1), (20, ends - 2, -1)):
+        letters: list[np.ndarray] = []
+        for k in range(4):
+            letters.append(np.where(k < sizes, codes[np.clip(first + k * step, 0, len(codes) - 1)], np.uint64(0)))
+            yield bucket(kind + k, letters), every
+    whole = [(k, number) for k, w in enumerate(words) if (number := lexicon.get(w)) is not None]
+    if whole:
+        at, number = np.array(whole).T
+        yield bucket(30, [number.astype(np.uint64)]), at
+
+
+def word_buckets(words: list[str], lexicon: dict[str, int], together: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words one after another, and how many each has."""
+    buckets, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for low in range(0, len(words), together):
+        some = words[low : low + together]
+        parts = list(feature_parts(some, lexicon))
+        owners = np.concatenate([o for _, o in parts])
+        buckets.append(np.concatenate([b for b, _ in parts])[np.argsort(owners, kind="stable")].astype(np.uint16))
+        sizes.append(np.bincount(owners, minlength=len(some)))
+    return np.concatenate(buckets), np.concatenate(sizes)
 
 
 @dataclass
@@ -55,13 +96,24 @@ class Crf:
     languages: list[str]
     weights: np.ndarray  # buckets by languages
     transitions: np.ndarray
-    lexicon: frozenset[str]
-
-    def emissions(self, word: str) -> np.ndarray:
-        f = features(word, self.lexicon)
-        if len(f) <= LONG:
-            return self.weights[f].sum(0) / np.sqrt(len(f))
-        return sum(self.weights[f[i : i + LONG]].sum(0) for i in range(0, len(f), LONG)) / np.sqrt(len(f))
+    lexicon: dict[str, int]
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The score of each word for each language; words are worked on a million letters at a time."""
+        out, low = np.zeros((len(words), len(self.languages))), 0
+        while low < len(words):
+            high, letters = low, 0
+            while high < len(words) and (high == low or letters + len(words[high]) <= LETTERS):
+                letters += len(words[high])
+                high += 1
+            counts = np.zeros(high - low)
+            for buckets, owners in feature_parts(words[low:high], self.lexicon):
+                counts += np.bincount(owners, minlength=high - low)
+                for k in range(out.shape[1]):
+                    out[low:high, k] += np.bincount(owners, self.weights[buckets, k], high - low)
+            out[low:high] /= np.sqrt(counts)[:, None]
+            low = high
+        return out
 
 
 class Scorer:
@@ -71,21 +123,21 @@ class Scorer:
         self.crf, self.limit = crf, entries
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(crf.languages)), np.float32)
-        self.step = np.exp(crf.transitions - crf.transitions.max()).astype(np.float32)
-
-    def rows(self, words: list[str]) -> list[int]:
-        index, out = self.index, []
-        for w in words:
-            k = index.get(w)
-            if k is None:
-                k = len(index)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                e = self.crf.emissions(w)
-                self.table[k] = np.exp(e - e.max())
-                index[w] = k
-            out.append(k)
-        return out
+        self.step = np.exp(crf.transitions - crf.transitions.max()).astype(np.float32) if crf.languages else None
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' places in the table; each distinct one is looked up once."""
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), self.index
+        new = [w for w in distinct if w not in index]
+        if new:
+            have = len(index)
+            while have + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            e = self.crf.emissions(new)
+            self.table[have : have + len(new)] = np.exp(e - e.max(1, keepdims=True))
+            index.update(zip(new, range(have, have + len(new)), strict=True))
+        return np.array([index[w] for w in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         return [(lang, score) for lang, score, _ in self.judge(texts)]
@@ -94,12 +146,13 @@ class Scorer:
         """Language, its mean marginal, and the mean of each word's largest marginal."""
         if len(self.index) > self.limit:
             self.index.clear()
-        found = [self.rows(_WORDS.findall(t.lower())) if t else [] for t in texts]
+        found = [words_of(t) if t and self.crf.languages else [] for t in texts]
         out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         filled = [i for i, r in enumerate(found) if r]
         if not filled:
             return out
-        means, certain = doc_marginals(self.table, [np.array(found[i]) for i in filled], self.step)
+        at = self.rows([w for i in filled for w in found[i]])
+        means, certain = doc_marginals(self.table, np.split(at, np.cumsum([len(found[i]) for i in filled])[:-1]), self.step)
         best = means.argmax(1)
         for i, k, m, c in zip(filled, best, means, certain, strict=True):
             out[i] = (self.crf.languages[k], float(min(1.0, m[k])), float(min(1.0, c)))
@@ -160,26 +213,21 @@ def doc_marginals(table: np.ndarray, docs: list[np.ndarray], step: np.ndarray) -
     return np.add.reduceat(sums, first, axis=0) / sizes[:, None], np.add.reduceat(tops, first) / sizes
 
 
-def _windows(rows: list[tuple[str, int]], seed: int) -> tuple[list[list[str]], np.ndarray]:
-    """Windows of words with a label for each word; every other one is spliced from two documents."""
-    pieces = []
-    for text, y in rows:
-        words = _WORDS.findall(text.lower())
-        pieces += [(words[i : i + WINDOW], y) for i in range(0, len(words), WINDOW) if len(words) - i >= 4 or i == 0]
-    pieces = [p for p in pieces if p[0]]
-    order = np.random.default_rng(seed).permutation(len(pieces))
-    windows, labels = [], np.full((len(pieces), WINDOW), -1)
+def _windows(docs: list[tuple[np.ndarray, int]], seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Windows of words (numbers) with a label for each word; every other pair of windows swaps its ends, so both switch within."""
+    pieces = [(words[i : i + WINDOW], y) for words, y in docs for i in range(0, len(words), WINDOW)]
+    order = np.random.default_rng(seed).permutation(len(pieces)).tolist()
+    windows, labels = [pieces[k][0] for k in order], np.full((len(pieces), WINDOW), -1, np.int16)
     for n, k in enumerate(order):
-        words, y = pieces[k]
-        other, z = pieces[order[n - 1]]
-        if n % 2:
-            cut = 1 + (n * 7919) % max(1, min(len(words), WINDOW - 1))
-            head, tail = words[:cut], other[: WINDOW - cut]
-            windows.append(head + tail)
-            labels[n, : len(head)], labels[n, len(head) : len(head) + len(tail)] = y, z
-        else:
-            windows.append(words)
-            labels[n, : len(words)] = y
+        labels[n, : len(windows[n])] = pieces[k][1]
+    for n in range(0, len(windows) - 1, 4):
+        (one, two), (y, z) = windows[n : n + 2], labels[n : n + 2, 0].tolist()
+        cut = 1 + (n * 7919) % max(1, min(len(one), len(two)) - 1)
+        windows[n : n + 2] = np.concatenate([one[:cut], two[cut:]]), np.concatenate([two[:cut], one[cut:]])
+        labels[n : n + 2] = -1
+        for row, words, first, rest in zip(labels[n : n + 2], windows[n : n + 2], (y, z), (z, y), strict=True):
+            row[: len(words)] = rest
+            row[: min(cut, len(words))] = first
     return windows, labels
 
 
@@ -188,25 +236,26 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 192, rate: fl
     languages = sorted({y for _, y in rows})
     at = {y: k for k, y in enumerate(languages)}
     n_lang = len(languages)
-    counts = Counter(w for t, _ in rows for w in _WORDS.findall(t.lower()))
-    lexicon = frozenset(w for w, n in counts.most_common(lexicon_size) if n >= 5)
+    place: dict[str, int] = {}
+    docs = [(np.array([place.setdefault(w, len(place)) for w in words_of(t)], np.int32), at[y]) for t, y in rows]
+    counts = np.bincount(np.concatenate([d for d, _ in docs])) if place else np.zeros(0, np.int64)
+    names = list(place)
+    frequent = np.lexsort((np.arange(len(names)), -counts))[:lexicon_size]
+    lexicon = {names[k]: n for n, k in enumerate(frequent.tolist()) if counts[k] >= 5}
     crf = Crf(languages, np.zeros((BUCKETS, n_lang)), np.zeros((n_lang, n_lang)), lexicon)
-    windows, labels = _windows([(t, at[y]) for t, y in rows], seed)
-    known: dict[str, np.ndarray] = {}
+    windows, labels = _windows(docs, seed)
+    buckets, sizes = word_buckets(names, lexicon)
+    begins = np.cumsum(sizes) - sizes
     squares, square_t = np.full_like(crf.weights, 1e-3), np.full_like(crf.transitions, 1e-3)
     for _ in range(epochs if n_lang > 1 else 0):
         for low in range(0, len(windows), batch):
             some, y = windows[low : low + batch], labels[low : low + batch]
             mask = y >= 0
-            words = [w for x in some for w in x]
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(features(w, lexicon))
-            feats = [known[w] for w in words]
-            n_feats = np.array([len(f) for f in feats])
-            flat = np.concatenate(feats)
+            words = np.concatenate(some)
+            n_feats = sizes[words]
+            starts = np.cumsum(n_feats) - n_feats
+            flat = buckets[np.repeat(begins[words] - starts, n_feats) + np.arange(n_feats.sum())]
             scale = 1 / np.sqrt(n_feats)
-            starts = np.cumsum([0, *n_feats[:-1]])
             scores = np.zeros((*y.shape, n_lang))
             scores[mask] = np.add.reduceat(crf.weights[flat], starts, axis=0) * scale[:, None]
             gamma, expected = _expectations(scores, crf.transitions, mask)

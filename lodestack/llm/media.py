@@ -29,6 +29,7 @@ from lodestack.llm.common import map_arrow
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 UNIT = 64
 RATE = 8000
+BLOCK = 256  # bytes of an ADPCM block
 #: Step sizes and index changes of IMA ADPCM.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173,
@@ -90,7 +91,7 @@ def read_wave(raw: bytes) -> dict:
 
 
 def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """Samples of all whole blocks; blocks advance together."""
+    """Samples of all whole blocks, of one file or of several; blocks advance together."""
     raw = np.frombuffer(data, np.uint8)
     blocks = raw[: len(raw) // block * block].reshape(-1, block)
     if not len(blocks):
@@ -112,9 +113,21 @@ def decode_adpcm(data: bytes, block: int) -> np.ndarray:
 
 def encode_adpcm(samples: np.ndarray, block: int = 256) -> bytes:
     """The nearest codes, block by block together; the last block repeats the last sample."""
+    return encode_adpcm_files([samples], block)[0]
+
+
+def encode_adpcm_files(files: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
+    """``encode_adpcm`` of several files, the blocks of all of them together."""
     width = (block - 4) * 2 + 1
-    n = max(1, -(-len(samples) // width))
-    padded = np.pad(samples.astype(np.int32), (0, n * width - len(samples)), mode="edge" if len(samples) else "constant").reshape(n, width)
+    counts = [max(1, -(-len(f) // width)) for f in files]
+    whole = [np.pad(f.astype(np.int32), (0, n * width - len(f)), mode="edge" if len(f) else "constant") for f, n in zip(files, counts, strict=True)]
+    data = _encode_blocks(np.concatenate(whole).reshape(-1, width)) if files else b""
+    ends = block * np.cumsum([0, *counts])
+    return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def _encode_blocks(padded: np.ndarray) -> bytes:
+    n, width = padded.shape
     value, index = padded[:, 0].copy(), np.zeros(n, np.int32)
     codes = np.zeros((n, width - 1), np.uint8)
     for k in range(width - 1):
@@ -195,27 +208,66 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def decoded_column(df: DataFrame, media_col: str = "media", rate: int = 2 * RATE) -> DataFrame:
     """Replaces ``media_col`` by 16-bit PCM WAVE files at ``rate``; all other columns stay."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return convert_column(df, "pcm", media_col, rate=rate)
+
+
+def as_pcm(media: list[bytes], rate: int) -> list[bytes]:
+    """16-bit PCM files at ``rate`` of files of any format; ADPCM blocks of all files are decoded together."""
+    found = [read_wave(m) for m in media]
+    joint: dict[int, list[int]] = {}
+    for k, x in enumerate(found):
+        if x["tag"] == IMA_ADPCM:
+            joint.setdefault(x["block"], []).append(k)
+    samples: dict[int, np.ndarray] = {}
+    for block, files in joint.items():
+        whole = [found[k]["data"][: len(found[k]["data"]) // block * block] for k in files]
+        decoded = decode_adpcm(b"".join(whole), block)
+        ends = np.cumsum([0, *(len(w) // block * ((block - 4) * 2 + 1) for w in whole)])
+        samples |= {k: decoded[i:j][: found[k]["samples"]] for k, i, j in zip(files, ends, ends[1:], strict=False)}
+    out = []
+    for k, x in enumerate(found):
+        sound = samples[k] if k in samples else decode(media[k])[0]
+        out.append(wave(PCM, rate, resample(sound, x["rate"], rate).astype("<i2").tobytes(), 2, 16))
+    return out
+
+
+def as_adpcm(media: list[bytes]) -> list[bytes]:
+    """ADPCM files of files of any format, at their own rates; blocks of all files are encoded together."""
+    sounds = [decode(m) for m in media]
+    made = encode_adpcm_files([s for s, _ in sounds], BLOCK)
+    return [wave(IMA_ADPCM, rate, data, BLOCK, 4, len(s), (BLOCK - 4) * 2 + 1) for data, (s, rate) in zip(made, sounds, strict=True)]
+
+
+def convert_column(df: DataFrame, to: str, media_col: str = "media", out_col: str | None = None, rate: int = 2 * RATE) -> DataFrame:
+    """Appends ``out_col`` (or replaces ``media_col``): its files as ``pcm`` at ``rate`` or as ``adpcm``; nulls stay null."""
+    name = out_col or media_col
+    rows = df if name == media_col else df.drop(name)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != name)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for raw in batch.column(media_col).to_pylist():
-                if raw is not None:
-                    samples, source = decode(raw)
-                    raw = wave(PCM, rate, resample(samples, source, rate).astype("<i2").tobytes(), 2, 16)
-                out.append(raw)
-            k = batch.schema.get_field_index(media_col)
-            return batch.set_column(k, media_col, pa.array(out, pa.binary()))
+            files = batch.column(media_col).to_pylist()
+            real = [k for k, m in enumerate(files) if m is not None]
+            made = as_pcm([files[k] for k in real], rate) if to == "pcm" else as_adpcm([files[k] for k in real])
+            out: list[bytes | None] = [None] * len(files)
+            for k, m in zip(real, made, strict=True):
+                out[k] = m
+            names = [n for n in batch.schema.names if n != name]
+            return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, name])
 
         return each
 
-    return map_arrow(df, make, fields, media_col)
+    return map_arrow(rows, make, f"{fields}, `{name}` binary", media_col)
+
 
+def describe_column(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", more: tuple[str, ...] = ()) -> DataFrame:
+    """Reads the stored files back: sizes, digests and features of the decoded, resampled audio.
 
-def describe_column(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Reads the stored files back: sizes, digests and features of the decoded, resampled audio."""
+    Of every column of ``more``: the size, the digest and the feature of its file as it is stored."""
     kind = df.schema[id_col].dataType.simpleString()
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    extra = [f"{m}_{n}" for m in more for n in ("bytes", "sha256", "feature")]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(raw: bytes) -> tuple:
@@ -224,17 +276,25 @@ def describe_column(df: DataFrame, id_col: str = "doc_id", media_col: str = "med
             return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(resample(samples, rate, 2 * rate))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols = [list(c) for c in zip(*map(one, batch.column("media").to_pylist()), strict=True)]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [pa.array(c, k) for c, k in zip(cols or [[]] * 6, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *arrays], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            columns = [list(c) for c in zip(*map(one, batch.column("media").to_pylist()), strict=True)] or [[]] * len(names)
+            for m in more:
+                files = batch.column(m).to_pylist()
+                sounds = [decode(p)[0] for p in as_pcm(files, 2 * RATE)]
+                columns += [[len(f) for f in files], [hashlib.sha256(f).hexdigest() for f in files], [feature(s) for s in sounds]]
+            all_kinds = kinds + [pa.int64(), pa.string(), pa.string()] * len(more)
+            arrays = [pa.array(c, k) for c, k in zip(columns, all_kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *arrays], names=["id", "n_bytes", *names, *extra])
 
         return each
 
-    rows = df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"))
+    rows = df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"), *more)
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema += "".join(f", {n} {'long' if n.endswith('_bytes') else 'string'}" for n in extra)
     return map_arrow(rows, make, schema, "media").withColumnRenamed("id", id_col)
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    return describe_column(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The stored mu-law files described, and beside them what is stored of the same audio as ADPCM and as resampled PCM decoded from that."""
+    stored = media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    both = convert_column(convert_column(stored, "adpcm", out_col="adpcm"), "pcm", "adpcm", "pcm")
+    return describe_column(both, more=("adpcm", "pcm"))

@@ -106,7 +106,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, bi
     """Second-order boosting of the logistic loss on histograms, level by level."""
     weights = np.ones(len(y)) if weights is None else weights
     n_features = x.shape[1]
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(n_features)]
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(n_features)]
     binned = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]).astype(np.int64) if len(x) else np.zeros((0, n_features), np.int64)
     share = float(np.clip((weights * y).sum() / max(weights.sum(), 1e-9), 0.01, 0.99)) if len(y) else 0.5
     bias = float(np.log(share / (1 - share)))

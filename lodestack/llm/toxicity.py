@@ -40,7 +40,7 @@ LOOKALIKES = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e"}
 #: Read as letters only between two letters.
 BETWEEN = {"!": "i", "|": "l", "+": "t"}
-_NEXT_TO = re.compile("(?<=[a-z])[0134578-9@$€]{1,3}(?![0-9])|(?<![0-9])[0134578-9@$€]{1,3}(?=[a-z])")
+_NEXT_TO = re.compile("(?<=[a-z])[0134578-9@$€]+(?![0-9])|(?<![0-9@$€])[0134578-9@$€]+(?=[a-z])")
 _BETWEEN = re.compile(r"(?<=[a-z])[!|+](?=[a-z])")
 _MAYBE = re.compile("[0-9@$€!|+]")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -125,7 +125,7 @@ def measures(automaton, text: str | None) -> tuple[float, float]:
     if not text:
         return 0.0, 0.0
     weight = matches(automaton, fold(text))
-    words = text.count(" ") + text.count("\n") + 1
+    words = len(text.split())
     return float(np.log1p(weight)), float(np.log1p(100.0 * weight / (words + 20)))
 
 
