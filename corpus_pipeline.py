@@ -9,7 +9,8 @@ Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 2. toxicity: documents scored 0.5 or more go.
 3. exact dedup: of equal texts the row with the smallest id stays.
 4. near dup: of each group linked by five-word shingles at a similarity of 0.8 or more,
-   the document with the smallest id stays; texts without a word stay.
+   one row stays, of the smallest id; rows that share an id are told apart by their
+   texts. Texts without a word stay.
 5. packing: the rest becomes sequences of at most 2048 tokens.
 
 Defined results: null texts go in stage 1; a null id is a document of its own; empty
@@ -22,30 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import exact_dedup, language, ngram_join, packing, toxicity
-from lodestack.llm.common import written
+from lodestack.llm.common import free_name, written
 
 #: Under this mean of each word's largest marginal the words are worse than a coin toss between two languages.
 LEAST_CERTAINTY = 0.5
 
 
-def _free_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     crf = language.train(docs, language.held_out("doc_id"))
-    found = _free_name(docs, "language_found")
+    found = free_name(docs, "language_found")
     scored = docs.withColumn(found, language.language_of(F.col("text"), crf))
     return scored.where((F.col(found)["lang"] != language.UNKNOWN) & (F.col(found)["certainty"] >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.held_out("doc_id"))
-    score = _free_name(docs, "toxicity_score")
+    score = free_name(docs, "toxicity_score")
     return docs.withColumn(score, toxicity.toxicity_of(F.col("text"), lexicon)).where(F.col(score) < 0.5).select(*docs.columns)
 
 
@@ -54,9 +47,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.ngram_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    return ngram_join.drop_near_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +62,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned models and the tokenizer are beyond SQL; no test runs all stages together, and of the stages as such only language has one.
+#: Learned models and the tokenizer are beyond SQL; tests/llm holds every stage, and run() as a whole, against plain Python.
 ORACLE_SQL = None
 
 
