@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any, Protocol
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import seeded_key
 from lodestack.operators.evaluate import KINDS, enclosing, require_none
 from lodestack.operators.pairs import FLAGS, JOB_FIELDS, family_shortfall, pair_errors, semantic_errors
+from lodestack.sources.files import write_jsonl
 from lodestack.sources.settings import FAMILIES
 
 
@@ -184,6 +186,22 @@ def build_benchmark(jobs: DataFrame, nodes: DataFrame, candidates: DataFrame, ma
     }
 
 
+def review_sample(queries: DataFrame, seed: int, most: int) -> DataFrame:
+    """The questions of the pairs that ``sample_by_seed`` takes."""
+    return queries.join(F.broadcast(sample_by_seed(queries, seed, "pair_id", most)), "pair_id", "left_semi")
+
+
+def write_benchmark(queries: DataFrame, qrels: DataFrame, folder: str | Path, per_family: int, families: Sequence[str] = FAMILIES, overwrite: bool = False) -> tuple[str, str]:
+    """Questions and gold links as JSON lines, if every family has its quota; what is there is not replaced unless told so."""
+    require_complete(queries, per_family, families)
+    paths = [str(Path(folder) / f"{name}.jsonl") for name in ("queries", "qrels")]
+    if not overwrite and any(Path(p).exists() for p in paths):
+        raise FileExistsError(paths[0])
+    for table, path in zip((queries, qrels), paths, strict=True):
+        write_jsonl(table.orderBy("query_id"), path, overwrite)
+    return paths[0], paths[1]
+
+
 def require_complete(queries: DataFrame, per_family: int, families: Sequence[str] = FAMILIES) -> None:
     """Raises where some family has not its quota of distinct sources."""
     require_none(family_shortfall(queries, per_family, tuple(families)))

@@ -21,7 +21,7 @@ KINDS = ("high_lexical_overlap", "low_lexical_overlap")
 METRICS = ("high_hit", "low_hit", "hit_drop", "high_rr", "low_rr", "rr_drop")
 DROPS = ("hit_drop", "rr_drop")
 COMPARED = (("hybrid", "bm25"), ("hybrid", "dense"), ("dense", "bm25"))
-#: Words of the window that a containing text must share; shorter items have no inner window.
+#: Words of the window that a containing text must share, as far as an item has inner words.
 ANCHOR = 3
 #: Items up to this number are broadcast; beyond, joined by a shuffle.
 BROADCAST_ITEMS = 200_000
@@ -31,26 +31,30 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
     """(query, node) where the document's text contains the item's.
 
     An item's inner words are whole words of any text that contains it, so an equi-join on
-    the hash of three of them finds the candidates and ``contains`` decides. Windows of a
-    text that no item asks for are dropped before anything is shuffled, as far as the items
-    may be broadcast. Items of fewer than five words have no inner window: a stated query
-    set, compared with all rows."""
+    the hash of up to three of them finds the candidates and ``contains`` decides. Windows of
+    a text that no item asks for are dropped before anything is shuffled, as far as the items
+    may be broadcast. Items of one or two words have no inner word: they are a stated set of
+    queries, compared with all rows."""
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_id).alias("query"), F.col(item_text).alias("item")).where("item IS NOT NULL")
-    asked = asked.withColumn("words", F.split("item", r"\s+"))
-    long = F.size("words") >= ANCHOR + 2
-    middle = F.floor(F.size("words") / 2).cast("int")
-    anchored = asked.where(long).select("query", "item", F.xxhash64(F.slice("words", middle, ANCHOR)).alias("anchor"))
-    words = texts.withColumn("words", F.split("text", r"\s+")).where(F.size("words") >= ANCHOR)
-    starts = F.sequence(F.lit(1), F.size("words") - (ANCHOR - 1))
-    windows = words.select("node", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, ANCHOR))))).alias("anchor"))
-    if items.count() <= BROADCAST_ITEMS:
-        found = windows.join(F.broadcast(anchored), "anchor").where(F.contains("text", "item")).select("query", "node")
-    else:
-        found = windows.drop("text").join(anchored, "anchor").join(texts, "node").where(F.contains("text", "item")).select("query", "node")
-    short = asked.where(~long).select("query", "item")
-    few = texts.join(short, F.contains(F.col("text"), F.col("item"))).select("query", "node")
-    return found.union(few).distinct()
+    asked = asked.withColumn("words", F.split("item", r"\s+")).withColumn("inner", F.least(F.size("words") - 2, F.lit(ANCHOR)))
+    sizes = {r["inner"]: r["n"] for r in asked.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = texts.select("node", F.split("text", r"\s+").alias("words"))
+    found = None
+    for size in sorted(n for n in sizes if n > 0):
+        middle = F.greatest(F.lit(2), F.floor(F.size("words") / 2).cast("int"))
+        anchored = asked.where(F.col("inner") == size).select("query", "item", F.xxhash64(F.slice("words", middle, size)).alias("anchor"))
+        starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
+        hashed = F.array_distinct(F.transform(starts, lambda i, size=size: F.xxhash64(F.slice("words", i, size))))
+        windows = words.where(F.size("words") >= size).select("node", F.explode(hashed).alias("anchor"))
+        candidates = windows.join(F.broadcast(anchored) if sizes[size] <= BROADCAST_ITEMS else anchored, "anchor").select("node", "query", "item")
+        some = candidates.join(texts, "node").where(F.contains("text", "item")).select("query", "node")
+        found = some if found is None else found.union(some)
+    bare = asked.where("inner <= 0").select("query", "item")
+    few = texts.join(bare, F.contains(F.col("text"), F.col("item"))).select("query", "node")
+    if not any(n <= 0 for n in sizes):
+        few = few.limit(0)
+    return (few if found is None else found.union(few)).distinct()
 
 
 def enclosing(spans: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import search_tokens
 from lodestack.operators import dense, fusion, lexical
 from lodestack.operators.evaluate import RERANKED, require_none
 from lodestack.operators.pairs import duplicates, ranking_errors
@@ -113,7 +112,7 @@ def rerank_queries(results: DataFrame, queries: DataFrame, nodes: DataFrame, mak
     )
 
 
-def term_overlap(question: Column, text: Column) -> Column:
-    """A stand-in for a scorer: the share of the question's distinct tokens that the text has, 0 for a question without any."""
-    asked = F.array_distinct(search_tokens(question))
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, search_tokens(text))) / F.size(asked)).otherwise(0.0)
+def term_overlap(asked: Column, have: Column) -> Column:
+    """A stand-in for a scorer: the share of the question's distinct tokens among those of a text, 0 for a question without any."""
+    distinct = F.array_distinct(asked)
+    return F.when(F.size(distinct) > 0, F.size(F.array_intersect(distinct, have)) / F.size(distinct)).otherwise(0.0)

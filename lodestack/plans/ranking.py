@@ -39,9 +39,9 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _rankings(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: lexical.Index | None = None) -> DataFrame:
     """(method, query, node, rank) of all three methods, over one index; written, since several steps read it."""
-    index, questions = _index(spark, sf_dir), written(_questions(spark, sf_dir).select("query", "text"), "questions")
+    index, questions = index or _index(spark, sf_dir), written(_questions(spark, sf_dir).select("query", "text"), "questions")
     ranked = {m: written(lexical.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
     ranked["hybrid"] = fusion.rrf(ranked["bm25"], ranked["dense"], k)
     out = None
@@ -107,12 +107,12 @@ def rerank_candidates(spark, sf_dir):
 
 def rerank_standin(spark, sf_dir):
     """Candidates of two rankings by the share of the question's tokens that they have."""
-    ranked = _rankings(spark, sf_dir, 10)
+    index = _index(spark, sf_dir)
+    ranked = _rankings(spark, sf_dir, 10, index)
     listed = fusion.rerank_candidates(ranked.where("method = 'bm25'"), ranked.where("method = 'dense'"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("text").alias("passage"))
-    asked = _questions(spark, sf_dir).select("query", F.col("text").alias("question"))
-    rows = listed.join(texts, "node").join(F.broadcast(asked), "query")
-    found = fusion.rerank(rows, term_overlap(F.col("question"), F.col("passage")))
+    asked = _questions(spark, sf_dir).select("query", search_tokens("text").alias("asked"))
+    rows = listed.join(index.tokens.select("node", F.col("tokens").alias("have")), "node").join(asked, "query")
+    found = fusion.rerank(rows, term_overlap(F.col("asked"), F.col("have")))
     return found.select("query", "node", "position", F.round("score", 6).alias("score"), "rank")
 
 

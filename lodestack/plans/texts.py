@@ -11,7 +11,9 @@ from lodestack.functions.text import (
 from lodestack.operators import build, chunks, headings
 from lodestack.operators.titles import title_filter
 from lodestack.plans.tables import SQL_AFTER, SQL_BEFORE, SQL_LETTER, sql_numbers, sql_tokens, table
+from lodestack.sources.files import read_jsonl, write_jsonl
 from lodestack.sources.settings import load_heading_types
+from lodestack.storage import new_path
 
 SEED = 20260927
 RULES = dict(internship=[r"\bsmall\b"], ambiguous=[r"\bhot\s+gear\b"], families={"ring": ([r"\bring\b"], [r"\bred\b"]), "tool": ([r"\bwidget\b", r"\bgear\b"], []), "metal": ([r"\bbolt\b", r"\bblue\b"], [])})
@@ -93,9 +95,17 @@ def structure_stats(spark, sf_dir):
     return headings.structure_stats(html_sections(spark, sf_dir), "page_id")
 
 
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as JSON lines and read back."""
+    docs = table(spark, sf_dir, "documents")
+    back = read_jsonl(spark, write_jsonl(docs, new_path(spark, "jsonl")), docs.schema)
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 QUERIES = (
     tokenize_counts, document_frequency, doc_length_stats, evidence_terms_df, text_measures, phrase_hits, page_hosts, utc_times,
     title_rules, stable_ids, node_ids, seeded_order, seeded_sample, clean_html, html_sections, structure_stats,
+    jsonl_round_trip,
 )
 
 _TOKENS = sql_tokens("text")
@@ -125,6 +135,7 @@ chunks AS (SELECT doc_id, chunk_index::BIGINT AS chunk_index, start, stop::BIGIN
 
 
 SQL = {
+    "jsonl_round_trip": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     "tokenize_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM documents) GROUP BY term",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term",
     "doc_length_stats": f"SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, max(n)::BIGINT AS longest, round(avg(n), 6) AS mean_length FROM (SELECT len({_TOKENS}) AS n FROM documents)",

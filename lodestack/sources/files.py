@@ -93,6 +93,9 @@ def write_csv(path: str | Path, rows: Iterable[Mapping[str, Any]], columns: Sequ
 
 
 def file_sha256(path: str | Path) -> str:
+    """The digest of a file, or of a folder: of the digests of its data files in the order of their names."""
+    if Path(path).is_dir():
+        return object_sha256([file_sha256(p) for p in sorted(Path(path).iterdir()) if not p.name.startswith(("_", "."))])
     digest = hashlib.sha256()
     with open(path, "rb") as f:
         while block := f.read(_BLOCK):
@@ -111,7 +114,9 @@ def copy_frozen(sources: Mapping[str, str | Path], folder: str | Path) -> dict[s
     for name, source in sources.items():
         target = Path(folder) / name
         if not target.exists():
-            write_bytes(target, Path(source).read_bytes())
+            for part in sorted(Path(source).iterdir()) if Path(source).is_dir() else [Path(source)]:
+                if not part.name.startswith("."):
+                    write_bytes(target / part.name if Path(source).is_dir() else target, part.read_bytes())
         if file_sha256(target) != file_sha256(source):
             raise ValueError(f"{target} differs from {source}")
         made[name] = target

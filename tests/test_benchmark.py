@@ -9,7 +9,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import build, chunks, evaluate, evidence, pairs, report, retrieval
+from lodestack import stages
+from lodestack.operators import build, chunks, evaluate, evidence, models, pairs, report, retrieval
 from lodestack.sources import contracts, files, settings
 from test_operators import Letters, Overlap
 
@@ -281,6 +282,81 @@ def test_stored_run_is_held_to_its_manifests(spark, built, tmp_path):
         contracts.load_run(spark, bench, run)
 
 
+class Talker:
+    """Answers as a model would: fenced JSON; the first answer about a source is no JSON."""
+
+    def __call__(self, instructions, content):
+        given = json.loads(content)
+        if "high_query" in given:
+            return "```json\n" + json.dumps(dict.fromkeys(pairs.FLAGS, True) | {"reason": "fine"}) + "\n```"
+        words = given["evidence"].split()
+        if "last_attempt_failed" not in given and words[0].endswith("3"):
+            return "I think that"
+        return "```" + json.dumps({"high_query": f"Which role asks to {' '.join(words[:-2])}?", "low_query": f"Which role wants {words[2]} of some other thing entirely?", "anchor_term": words[1]}) + "```"
+
+
+def talker():
+    return models.JsonGenerator(Talker(), "talker", "1")
+
+
+def test_answers_of_models():
+    assert models.read_answer(' {"a": 1} ') == models.read_answer('```json {"a": 1}```') == models.read_answer('```\n{"a": 1}\n```') == {"a": 1}
+    for bad in ("", "[1]", "no", "```json```"):
+        with pytest.raises(ValueError):
+            models.read_answer(bad)
+    models.check_scorer(type("Bare", (), {"compute_score": lambda self, p: Overlap().compute_score([(q.replace("?", ""), t.replace(".", "")) for q, t in p])})())
+    with pytest.raises(ValueError):
+        models.check_scorer(type("Flat", (), {"compute_score": lambda self, p: [1.0, 1.0]})())
+    with pytest.raises(ValueError):
+        models.check_embedder(type("Zero", (), {"encode": lambda self, t: [[0.0]] * 3})())
+    models.check_embedder(type("Words", (), {"encode": lambda self, t: [[1.0, x.count("of") + x.count("years")] for x in t]})())
+    with pytest.raises(ValueError, match="no pair"):
+        models.check_generator(models.JsonGenerator(lambda i, c: "{}", "none"))
+    assert models.loaded("json:dumps") is json.dumps
+
+
+def test_stages_from_corpus_to_report(spark, tmp_path):
+    rows = []
+    for k in range(8):
+        facts = [f"operate{k} kafka{k} {k + 2} clusters with strict latency goals for payments traffic in several places here", f"maintain{k} engine{k} {k + 9} for archives in distant places and for many other needs"]
+        rows.append({"id": f"j{k}", "job_family": settings.FAMILIES[k % 4], "company": "Acme Ltd", "title": "Some Role", "url": f"https://x.org/{k}", "source_job_id": f"g{k}", "description_clean": "Requirements:\n- " + "\n- ".join(facts) + "\nFiller " * 30})
+    (tmp_path / "jobs.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    config = {
+        "experiment_version": "jd_v2", "dataset_sha256": files.file_sha256(tmp_path / "jobs.jsonl"), "corpus_per_family": 2, "seed": 3,
+        "paths": {"corpus": "jobs.jsonl", "benchmark_dir": "bench", "runs_dir": "runs", "report_dir": "reports"},
+        "chunk": {"chunk_size": 120, "chunk_overlap": 20, "heading_config": str(settings.CONFIG / "section_headings.yaml"), "include_heading_in_retrieval": True},
+        "evidence": {"min_chars": 40, "max_chars": 420, "min_words": 8, "max_words": 70, "max_document_frequency": 0.35},
+        "benchmark": {"per_family": 1, "max_attempts_per_candidate": 3, "max_candidates_per_job": 8, "review_sample_size": 2, "prompt_version": "p"},
+        "models": RUN["models"], "retrieval": RUN["retrieval"] | {"bm25_k1": 1.5, "bm25_b": 0.75}, "evaluation": {"top_k": 5, "bootstrap_samples": 100, "bootstrap_confidence": 0.95, "failure_case_limit": 3},
+    }
+    x = stages.Experiment(spark, config, tmp_path)
+    made = stages.prepare(x)
+    assert made["node_count"] >= 20 and stages.prepare(x) == made
+    with pytest.raises(settings.SettingsError, match="prepared with"):
+        stages.benchmark(stages.Experiment(spark, config | {"seed": 4}, tmp_path), talker)
+    frozen = stages.benchmark(x, talker)
+    assert frozen["pair_count"] == 4 and stages.benchmark(x, talker) == frozen and stages.validate(x) == (made["node_count"], 8)
+    assert len({json.loads(line)["pair_id"] for p in (tmp_path / "bench" / "review_sample.jsonl").glob("part-*") for line in p.read_text().splitlines()}) == 2
+    folder = stages.retrieve(x, Letters, "run-1")
+    with pytest.raises(settings.SettingsError, match="exists"):
+        stages.retrieve(x, Letters, "run-1")
+    paths = stages.make_report(x, "run-1")
+    assert "report_files" in json.loads((folder / "manifest.json").read_text()) and len(json.loads(paths["analysis"].read_text())["main_table"]) == 3
+    rerank = {
+        "experiment_version": "jd_v3_rerank_1", "run_id": "again", "candidate": {"methods": ["bm25", "dense"], "top_k_per_method": 20, "deduplicate_by": "node_id"}, "evaluation": {"top_k": 5, "bootstrap_samples": 100, "bootstrap_confidence": 0.95, "seed": 3},
+        "reranker": {"model_id": "BAAI/bge-reranker-v2-m3", "revision": "a" * 40, "normalize": False, "batch_size": 16, "max_length": 1024}, "source": {"benchmark_dir": "bench", "run_dir": "runs/run-1"},
+        "paths": {"benchmark_snapshot_dir": "copy", "runs_dir": "reranked", "reports_dir": "reports2"},
+    }
+    again = stages.rerank(spark, settings.check_rerank_settings(rerank, tmp_path), Overlap, tmp_path)
+    about = json.loads((again / "manifest.json").read_text())
+    assert about["result_row_count"] == 8 and set(about["input_snapshot"]) == {"source_manifest.json", "nodes.jsonl", "queries.jsonl", "qrels.jsonl"}
+    next((tmp_path / "bench" / "qrels.jsonl").glob("part-*")).write_text("")
+    with pytest.raises(settings.SettingsError, match="digest"):
+        stages.make_report(x, "run-1")
+    with pytest.raises(SystemExit):
+        stages.main(["report"])
+
+
 def test_corpus_contract(spark, tmp_path):
     rows = [(f"j{k}", "fa", "text") for k in range(3)]
     good = spark.createDataFrame(rows, "id string, job_family string, description_clean string")

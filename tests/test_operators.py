@@ -118,6 +118,16 @@ def test_rrf_and_candidates(spark):
     assert [r["node"] for r in listed] == ["a", "b", "c", "d"]
 
 
+def test_containment_of_short_and_long_items(spark):
+    texts = ["one two three four five six", "xone two threex", "two", "a one  two three", None, "", "seven eight nine ten"]
+    items = ["two", "one two", "one two three", "two three four five", "one two three four five six", "eight nine", "", None, "nine te"]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "d long, t string"), spark.createDataFrame(list(enumerate(items)), "i long, t string")
+    want = {(q, n) for q, item in enumerate(items) for n, text in enumerate(texts) if item is not None and text is not None and item in text}
+    got = evaluate.containment_qrels(docs, asked, "d", "t", "i", "t").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert evaluate.containment_qrels(docs, asked.limit(0), "d", "t", "i", "t").count() == 0
+
+
 def test_score_rankings(spark):
     ranked = spark.createDataFrame([("m", 1, n, k + 1) for k, n in enumerate(["x", "y", "g1", "z", "g2"])] + [("m", 2, "x", 1), ("m", 2, "g1", 6)], "method string, query long, node string, rank long")
     gold = spark.createDataFrame([(1, "g1"), (1, "g2"), (2, "g1")], "query long, node string")
