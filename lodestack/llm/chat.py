@@ -9,8 +9,9 @@ system turn, a limited history of turns repeated from before, and as many new tu
 the budget takes, found by a search in the sums. Only new assistant texts are under the loss mask, so each is a target once. A
 turn above the budget gets a window of its own, whole.
 
-Rows of a conversation are brought together and sorted, then streamed: memory holds one
-window, however long a conversation is. Defined results: null texts and roles are empty;
+Turns are tokenised where they lie; only then are the rows of a conversation brought
+together and sorted, to be streamed: memory holds one window, however long a conversation
+is, and what is left to do for one that holds a third of all rows is to sum and to write. Defined results: null texts and roles are empty;
 rows of one turn number come in order of role and text, repeated rows are repeated
 turns; a null conversation id is a conversation. Extra columns are ignored.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import default_vocabulary, tokenizer
-from lodestack.llm.common import mapped, slices
+from lodestack.llm.common import map_arrow, mapped, slices
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
@@ -127,10 +128,15 @@ def format_chats(
     path = vocabulary or default_vocabulary()
     slim = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["conv_id"].dataType.simpleString()
-    together = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
+        return lambda batch: batch.append_column("n", pa.array(np.diff(encode(batch.column("text"))[1]).astype(np.int64)))
+
+    counted = map_arrow(slim, count, f"conv_id {kind}, turn {slim.schema['turn'].dataType.simpleString()}, role string, text string, n long", "text")
+    together = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, windows, out = None, None, []
         id_type = None
 
@@ -142,9 +148,8 @@ def format_chats(
         for batch in batches:
             id_type = batch.column("conv_id").type
             for piece in slices(batch, "text"):
-                columns = [piece.column(c).to_pylist() for c in ("conv_id", "role", "text")]
-                counts = np.diff(encode(piece.column("text"))[1]).tolist()
-                for key, rows in groupby(zip(*columns, counts, strict=True), itemgetter(0)):
+                columns = [piece.column(c).to_pylist() for c in ("conv_id", "role", "text", "n")]
+                for key, rows in groupby(zip(*columns, strict=True), itemgetter(0)):
                     if windows is None or key != conv:
                         if windows is not None:
                             out.extend({"conv_id": conv, **w} for w in windows.add([], True))

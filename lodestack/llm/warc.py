@@ -211,11 +211,16 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", payload_col: st
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload"), "guard": F.xxhash64("payload")})
     same = ["digest", "size", "guard"]
-    groups = rows.where(F.col("size") >= revisit_from).groupBy(*same).agg(F.max("key").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = rows.where(F.col("size") >= revisit_from).groupBy(*same).agg(F.max("key").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = written(groups, "warc-repeats")
+    shown = ["key", "url", "payload", "keep"]
     if groups.count() <= _MOST_BROADCAST:
-        groups = F.broadcast(groups)
-    return rows.join(groups, same, "left").select("key", "url", "payload", "keep")
+        return rows.join(F.broadcast(groups.drop("n")), same, "left").select(*shown)
+    total = groups.agg(F.sum("n")).first()[0]
+    common = F.col("n") > total // _MOST_BROADCAST  # so many payloads at most: their pages are not shuffled
+    hot = F.broadcast(groups.where(common).drop("n"))
+    rest = rows.join(hot.drop("keep"), same, "left_anti").join(groups.where(~common).drop("n"), same, "left")
+    return rows.join(hot, same).select(*shown).union(rest.select(*shown))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_from: int = 1000, archive_bytes: int = 32 << 20) -> DataFrame:

@@ -238,6 +238,14 @@ def test_warc_round_trip(spark):
     assert warc.write_warc(pages.limit(0), common.new_path(spark, "warc-test")).count() == 0
 
 
+def test_more_repeats_than_may_be_broadcast(spark, monkeypatch):
+    rows = [(k, "u", "payload " * 200 + str(k % 7 if k < 40 else 100 + k // 2)) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(tuple, warc.with_record_types(pages).collect()))
+    monkeypatch.setattr(warc, "_MOST_BROADCAST", 20)
+    assert sorted(map(tuple, warc.with_record_types(pages).collect())) == few
+
+
 def test_broken_archives_are_refused():
     records = [warc.make_record(k, "http://x", f"payload {k} ".encode() * 200) for k in range(40)]
     ((data, count),) = warc.archives(iter(records), 1 << 30)
