@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import discard, free_name, give_back, mapped, slices, written
-from lodestack.llm.components import connected
+from lodestack.llm.components import connected, leads
 from lodestack.llm.shingles import class_keys, shingle_sets
 
 _FLUSH = 1_000_000  # emitted tokens of a task's rows that are dealt out together
@@ -330,7 +330,8 @@ def meeting_groups(groups: DataFrame, rule: Rule, bag: list) -> DataFrame:
     spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
     several = matrix.select("gid", "token").join(spread, "token").groupBy("gid").agg(F.collect_list(F.struct("token", "spread")).alias("t")).select("gid", F.col("t.token").alias("others"), F.col("t.spread").alias("spread"))
     alone = groups.where(F.exists(F.arrays_zip("ns", "ms"), lambda x: rule.asked(x["ns"]) > x["ms"])).select("gid")
-    several = several.join(alone, "gid", "full").select("gid", F.coalesce("others", F.array(F.lit(_LEAST))).alias("others"), F.coalesce("spread", F.array(F.lit(0).cast("long"))).alias("spread"))
+    if alone.limit(1).count():
+        several = several.join(alone, "gid", "full").select("gid", F.coalesce("others", F.array(F.lit(_LEAST))).alias("others"), F.coalesce("spread", F.array(F.lit(0).cast("long"))).alias("spread"))
     asked = written(_asking(groups, several, rule), "asked-tokens", bag=bag)
     fits = (F.col("low") <= F.col("qh")) & (F.col("high") * rule.den >= F.col("ql") * rule.num)
     met = asked.where("req > 0").join(matrix, "token").where((F.col("gid") != F.col("gq")) & fits)
@@ -388,24 +389,6 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _leads(names: list[int], pairs: np.ndarray) -> list[int]:
-    """The least name that each position reaches by the pairs of positions."""
-    over = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while over[x] != x:
-            over[x] = over[over[x]]
-            x = over[x]
-        return x
-
-    for i, j in pairs.tolist():
-        i, j = top(i), top(j)
-        if i != j:
-            i, j = (i, j) if names[i] < names[j] else (j, i)
-            over[j] = i
-    return [names[top(k)] for k in range(len(names))]
-
-
 def token_groups(sets: DataFrame, rule: Rule) -> DataFrame:
     """One row per group: gid, its members (cids, sizes, found), the token union, and each member's lead among the links inside."""
     together = sets.repartition("gid").sortWithinPartitions("gid", "cid")
@@ -415,7 +398,7 @@ def token_groups(sets: DataFrame, rule: Rule) -> DataFrame:
         sizes = np.array([len(x) for x in found])
         linked = np.argwhere(np.triu(rule.linked(_common(found, found), sizes, sizes), 1)) if len(cids) > 1 else np.zeros((0, 2), np.int64)
         whole = np.concatenate(found)
-        return [gid, cids, sizes.tolist(), _leads(cids, linked), whole.tobytes(), np.unique(whole).tobytes()]
+        return [gid, cids, sizes.tolist(), leads(cids, linked.tolist()), whole.tobytes(), np.unique(whole).tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cids, found = None, [], []
@@ -476,7 +459,7 @@ def opened(pairs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
                 at = np.argwhere(rule.linked(_common(left, right), np.array(n_lo), np.array(n_hi)[some]))
                 links = np.unique(np.stack([np.array(l_lo)[at[:, 0]], l_right[at[:, 1]]], 1), axis=0) if len(at) else at
                 ends, where = np.unique(links, return_inverse=True)
-                for name, lead in zip(ends.tolist(), _leads(ends.tolist(), where.reshape(-1, 2)), strict=True):
+                for name, lead in zip(ends.tolist(), leads(ends.tolist(), where.reshape(-1, 2).tolist()), strict=True):
                     if lead != name:
                         a.append(name)
                         b.append(lead)
@@ -501,8 +484,8 @@ def linked_classes(keyed: DataFrame, candidates: DataFrame, rule: Rule) -> DataF
     some = written(qualifying(pairs, blobs, rule), "qualifying", bag=bag)
     links = written(opened(some, blobs, rule), "links", bag=bag)
     labels = connected(links, bag)
-    leads = blobs.select(F.explode(F.arrays_zip("cids", "leads")).alias("r")).select(F.col("r.cids").alias("cid"), F.col("r.leads").alias("node"))
-    named = candidates.select("cid").join(leads, "cid", "left").withColumn("node", F.coalesce("node", "cid")).join(labels, "node", "left")
+    led = blobs.select(F.explode(F.arrays_zip("cids", "leads")).alias("r")).select(F.col("r.cids").alias("cid"), F.col("r.leads").alias("node"))
+    named = candidates.select("cid").join(led, "cid", "left").withColumn("node", F.coalesce("node", "cid")).join(labels, "node", "left")
     out = written(named.select("cid", F.coalesce("label", "node").alias("label")), "labels")
     discard(keyed.sparkSession, bag)
     return out
@@ -540,16 +523,31 @@ def _components(keyed: DataFrame, rule: Rule) -> DataFrame:
     discard(spark, bag)
     labels = linked_classes(keyed, candidates, rule)
     labelled = candidates.select("cls", "check", "cid", "first").join(labels, "cid")
-    least = labelled.groupBy("label").agg(F.min("first").alias("least"))
-    changed = labelled.join(least, "label").select("cls", "check", "least")
-    by_class = classes.select("cls", "check", "first", "copies").join(changed, ["cls", "check"], "left").select("cls", "check", "copies", F.coalesce("least", "first").alias("least"))
-    by_class = written(by_class, "by-class")
+    least = labelled.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    changed = labelled.join(_small(least), "label").select("cls", "check", "least")
+    by_class = classes.select("cls", "check", "first", "copies").join(_small(changed), ["cls", "check"], "left")
+    by_class = by_class.where("copies > 1 OR least IS NOT NULL").select("cls", "check", "copies", F.coalesce("least", "first").alias("least"))
+    out = _with_classes(docs, written(by_class, "by-class"), n_rows)
+    alone = F.col("least").isNull()
+    return out.select("id", "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), (alone | (F.col("row_key") == F.col("least.row_key"))).alias("kept"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
+def _with_classes(docs: DataFrame, by_class: DataFrame, n_rows: int) -> DataFrame:
+    """``docs`` with ``least`` of their classes, null for those that are their class's only row and link with nothing.
+
+    Few classes are broadcast; of many, those with very many rows are, whose rows then are not shuffled."""
+    keys = ["cls", "check"]
+    if by_class.count() <= _BROADCAST_ROWS:
+        return docs.join(F.broadcast(by_class.drop("copies")), keys, "left")
     common = F.col("copies") > max(_COMMON_ROWS, n_rows // _COMMON_CLASSES)  # so many classes at most, whatever the table
     hot = F.broadcast(by_class.where(common).drop("copies"))
-    rest = docs.join(hot.drop("least"), ["cls", "check"], "left_anti").join(by_class.where(~common).drop("copies"), ["cls", "check"], "left")
-    out = rest.unionByName(docs.join(hot, ["cls", "check"]))
-    alone = F.col("cls").isNull()
-    return out.select("id", "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), (alone | (F.col("row_key") == F.col("least.row_key"))).alias("kept"))
+    rest = docs.join(hot.drop("least"), keys, "left_anti").join(by_class.where(~common).drop("copies"), keys, "left")
+    return rest.unionByName(docs.join(hot, keys))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

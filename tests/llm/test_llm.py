@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestack.llm import bpe, exact_dedup, language, media, ngram_join, packing
+from lodestack.llm import bpe, components, exact_dedup, language, media, ngram_join, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string"
 TEXTS = [None, "", "a b  c", "a b\tc", "Hello, WORLD! naïve cafés 12345", "x" * 3000, "<|endoftext|> it's", " ".join(f"w{i}" for i in range(5000)), "日本語 текст"]
@@ -212,3 +212,29 @@ def test_ngram_components_defined_cases(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f"), (3, "q r s t u v"), (None, "a b c d e f"), (None, "only here five words now"), (4, None)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (4, 4)], key=str)
+
+
+@pytest.mark.parametrize("few", [components.FEW_EDGES, 0])
+def test_components_against_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = np.random.default_rng(7)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(500, 500), (9, 8), (9, 8)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (150, 2))]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r["node"]: r["label"] for r in components.connected(df, []).collect()} == label
+    assert components.connected(df.limit(0), []).count() == 0
+
+
+@pytest.mark.parametrize("most", [ngram_join._BROADCAST_ROWS, 0])
+def test_classes_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "_BROADCAST_ROWS", most)
+    monkeypatch.setattr(ngram_join, "_COMMON_ROWS", 20)
+    monkeypatch.setattr(ngram_join, "_COMMON_CLASSES", 4)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words)] * 90 + [" ".join([*words, "more"])] * 3 + [" ".join(f"z{i}x{k}" for k in range(20)) for i in range(30)] * 2 + [None, "", "one"]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sizes, want = components_by_brute_force(texts, 5, 80)
+    assert got == {i: (want[i], want[i] == i) for i in range(len(texts))} and len(sizes) == len(got)
