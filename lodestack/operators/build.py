@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import seeded_key
 from lodestack.operators.evaluate import KINDS, enclosing, require_none
+from lodestack.operators.numbering import numbered
 from lodestack.operators.pairs import FLAGS, JOB_FIELDS, family_shortfall, pair_errors, semantic_errors
 from lodestack.sources.files import write_jsonl
 from lodestack.sources.settings import FAMILIES
@@ -48,8 +49,8 @@ class Quotas:
 
 def job_order(jobs: DataFrame, seed: int, id_col: str = "id", family_col: str = "job_family") -> DataFrame:
     """``jobs`` with ``place``: the seeded order within each family."""
-    order = Window.partitionBy(family_col).orderBy(seeded_key(seed, F.col(id_col)), F.col(id_col).cast("string"))
-    return jobs.withColumn("place", F.row_number().over(order).cast("long"))
+    keyed = jobs.withColumns({"_key": seeded_key(seed, F.col(id_col)), "_id": F.col(id_col).cast("string")})
+    return numbered(keyed, family_col, ["_key", "_id"], "place").drop("_key", "_id")
 
 
 def candidate_order(candidates: DataFrame, seed: int, most: int) -> DataFrame:
@@ -162,8 +163,8 @@ def build_benchmark(jobs: DataFrame, nodes: DataFrame, candidates: DataFrame, ma
     for more in waves[1:]:
         asked = asked.union(more)
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
-    numbered = asked.where("reasons IS NULL").withColumn("number", F.row_number().over(Window.orderBy(number, "place")))
-    pairs = numbered.join(candidates.drop("source_job_id", "source_job_family"), "candidate_id").withColumn("pair_id", F.format_string("pair_%03d", "number"))
+    in_order = asked.where("reasons IS NULL").withColumn("number", F.row_number().over(Window.orderBy(number, "place")))
+    pairs = in_order.join(candidates.drop("source_job_id", "source_job_family"), "candidate_id").withColumn("pair_id", F.format_string("pair_%03d", "number"))
     flags = F.struct(*(F.lit(True).alias(f) for f in FLAGS))
     named = pairs.withColumnsRenamed({"family": "source_job_family"}).withColumns({
         "generator_model": F.lit(generator_name), "generator_revision": F.lit(generator_revision).cast("string"), "prompt_version": F.lit(prompt_version),

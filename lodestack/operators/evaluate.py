@@ -27,6 +27,10 @@ ANCHOR = 3
 BROADCAST_ITEMS = 200_000
 
 
+def _window_hashes(starts: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, size))))
+
+
 def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
     """(query, node) where the document's text contains the item's.
 
@@ -45,8 +49,7 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
         middle = F.greatest(F.lit(2), F.floor(F.size("words") / 2).cast("int"))
         anchored = asked.where(F.col("inner") == size).select("query", "item", F.xxhash64(F.slice("words", middle, size)).alias("anchor"))
         starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
-        hashed = F.array_distinct(F.transform(starts, lambda i, size=size: F.xxhash64(F.slice("words", i, size))))
-        windows = words.where(F.size("words") >= size).select("node", F.explode(hashed).alias("anchor"))
+        windows = words.where(F.size("words") >= size).select("node", F.explode(_window_hashes(starts, size)).alias("anchor"))
         candidates = windows.join(F.broadcast(anchored) if sizes[size] <= BROADCAST_ITEMS else anchored, "anchor").select("node", "query", "item")
         some = candidates.join(texts, "node").where(F.contains("text", "item")).select("query", "node")
         found = some if found is None else found.union(some)

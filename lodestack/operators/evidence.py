@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import TERM, evidence_terms, one_line, python_round
-from lodestack.operators.evaluate import enclosing
+from lodestack.storage import written
 
 #: List marks, headings, ends of sentences, sections that say nothing of the role, and phrases of templates.
 MARK = re.compile(r"\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)")
@@ -122,33 +122,33 @@ def evidence_rows(jobs: DataFrame, nodes: DataFrame, limits: Limits = Limits())
     """Every span with its final reason (null where it is accepted) and what a candidate needs.
 
     ``jobs``: (id, job_family, company, description_clean); ``nodes``: passages of them with job_id."""
-    n_jobs = max(1, jobs.count())
-    spans = evidence_spans(jobs, limits)
+    n_jobs, keys = max(1, jobs.count()), ["job", "start", "end"]
+    spans = written(evidence_spans(jobs, limits), "spans")
+    open_spans = spans.where("reason IS NULL").select(*keys, "text", "words")
     ranges = nodes.select(F.col("job_id").alias("job"), "node_id", "start_offset", "end_offset", "canonical_section", "section_heading")
-    open_spans = spans.where("reason IS NULL").select("job", "start", "end", "text", "words")
-    held = enclosing(open_spans, ranges)
     inside = (F.col("start_offset") <= F.col("start")) & (F.col("end_offset") >= F.col("end"))
-    first = open_spans.select("job", "start", "end").join(ranges, "job").where(inside).groupBy("job", "start", "end").agg(F.min(F.struct("start_offset", "end_offset", "canonical_section", "section_heading")).alias("node"))
-    held = held.join(first, ["job", "start", "end"], "left")
-    section = F.coalesce(F.nullif("node.canonical_section", F.lit("")), F.lit("unsectioned"))
-    heading = F.coalesce("node.section_heading", F.lit(""))
-    held = held.withColumns({"section": section, "heading": heading})
+    first = F.min(F.struct("start_offset", "end_offset", "canonical_section", "section_heading")).alias("node")
+    around = open_spans.select(*keys).join(ranges, "job").where(inside).groupBy(*keys).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"), first)
     rare = document_frequency(jobs).where(F.col("df") / n_jobs <= limits.max_document_frequency).select("term")
-    terms = held.select("job", "start", "end", F.explode(evidence_terms("text")).alias("term")).join(rare, "term")
-    terms = terms.groupBy("job", "start", "end").agg(F.array_sort(F.collect_list("term")).alias("distinctive_terms"))
-    held = held.join(terms, ["job", "start", "end"], "left").withColumn("distinctive_terms", F.coalesce("distinctive_terms", F.array().cast("array<string>")))
+    terms = open_spans.select(*keys, F.explode(evidence_terms("text")).alias("term")).join(rare, "term")
+    terms = terms.groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("distinctive_terms"))
+    none = F.array().cast("array<string>")
+    section = F.coalesce(F.nullif("node.canonical_section", F.lit("")), F.lit("unsectioned"))
+    held = open_spans.join(around, keys, "left").join(terms, keys, "left").withColumns({
+        "section": section, "heading": F.coalesce("node.section_heading", F.lit("")), "node_ids": F.coalesce("node_ids", none),
+        "distinctive_terms": F.coalesce("distinctive_terms", none), "alike": F.md5(F.lower(one_line("text")).cast("binary")),
+    })
     other = F.col("section").isin(*OTHER_SECTIONS) | (F.col("section").isin("unsectioned", "unmapped") & F.col("heading").rlike(OTHER_HEADING))
     reason = (
         F.when(F.size("node_ids") == 0, "no_complete_node").when(other, "non_role_section")
         .when((F.size("distinctive_terms") == 0) & ~F.col("text").rlike(STATED_NUMBER), "generic_corpus_vocabulary")
     )
-    held = held.withColumn("reason", reason)
-    alike = Window.partitionBy(F.lower(one_line("text")))
-    repeats = F.count(F.when(F.col("reason").isNull(), 1)).over(alike)
-    held = held.withColumn("repeats", repeats).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("repeats") > MOST_REPEATS), "repeated_across_jobs").otherwise(F.col("reason")))
+    held = written(held.withColumn("reason", reason).drop("node"), "open-spans")
+    repeated = held.where("reason IS NULL").groupBy("alike").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_REPEATS).select("alike", F.lit("repeated_across_jobs").alias("often"))
+    held = held.join(repeated, "alike", "left").withColumn("reason", F.coalesce("reason", "often"))
     score = F.size("distinctive_terms") / F.greatest(F.sqrt("words"), F.lit(1.0)) + F.when(F.col("text").rlike(ANY_NUMBER), 1.0).otherwise(0.0) + F.when(F.col("section").isin(*CORE_SECTIONS), 0.5).otherwise(0.0)
-    extra = held.select("job", "start", "end", F.col("reason").alias("later"), "node_ids", "section", "heading", "distinctive_terms", python_round(score, 3).alias("score"))
-    return spans.join(extra, ["job", "start", "end"], "left").withColumn("reason", F.coalesce("reason", "later")).drop("later")
+    extra = held.select(*keys, F.col("reason").alias("later"), "node_ids", "section", "heading", "distinctive_terms", python_round(score, 3).alias("score"))
+    return spans.join(extra, keys, "left").withColumn("reason", F.coalesce("reason", "later")).drop("later")
 
 
 def evidence_candidates(jobs: DataFrame, rows: DataFrame) -> DataFrame:

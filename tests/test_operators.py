@@ -5,14 +5,15 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestack.functions.text import search_tokens, stable_id
 from lodestack.operators import dense, evaluate, fusion, lexical, retrieval
+from lodestack.operators.numbering import numbered
+from lodestack.operators.titles import title_filter
 from lodestack.plans import catalog
 from lodestack.sources.settings import load_title_rules
-from lodestack.operators.titles import title_filter
-from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "embeddings", "part", "pages", "events")
@@ -118,6 +119,18 @@ def test_rrf_and_candidates(spark):
     assert [r["node"] for r in listed] == ["a", "b", "c", "d"]
 
 
+def test_numbers_within_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", "a", "a", "b", None][int(rng.integers(0, 5))], int(v)) for v in rng.permutation(2000)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(7)
+    want, last = {}, {}
+    for g, v in sorted(rows, key=lambda r: r[1]):
+        last[g] = want[g, v] = last.get(g, 0) + 1
+    got = numbered(df, "g", ["v"], "n")
+    assert got.columns == ["g", "v", "n"] and {(r["g"], r["v"]): r["n"] for r in got.collect()} == want
+    assert numbered(df.limit(0), "g", ["v"], "n").count() == 0
+
+
 def test_containment_of_short_and_long_items(spark):
     texts = ["one two three four five six", "xone two threex", "two", "a one  two three", None, "", "seven eight nine ten"]
     items = ["two", "one two", "one two three", "two three four five", "one two three four five six", "eight nine", "", None, "nine te"]
