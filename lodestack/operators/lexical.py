@@ -3,8 +3,9 @@
 The corpus is tokenised once, into a written table of tokens by document, which gives its
 size, its mean length and the postings of the terms that are asked for. Those terms are
 broadcast as long as there are few, so a frequent term's postings stay where they lie, and
-only sums by (query, document) are shuffled. Contributions are added in the order of a
-query's terms, so equal documents have equal scores whatever the plan. Every query gets
+only sums by (query, document) are shuffled. Contributions are added as whole numbers of
+10^-12, so a score does not depend on the order of its sum, and equal documents have equal
+scores whatever the plan. Every query gets
 exactly min(k, N) rows: where fewer match, the smallest other ids follow with score 0.
 Null and empty texts have no terms; null ids are no documents."""
 
@@ -21,6 +22,7 @@ from lodestack.storage import written
 #: Query terms up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 DIGITS = 6
+UNIT = 1e12
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def first_k(scored: DataFrame, k: int, score: str | Column = "score") -> DataFra
 
 def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, node, score, rank): scores are shown at six digits, but ranked whole."""
-    asked = queries.select(F.col(query_id).alias("query"), F.posexplode(F.array_distinct(search_tokens(query_text))).alias("place", "term"))
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(search_tokens(query_text))).alias("term"))
     asked = written(asked, "asked-terms")
     found = index.postings(asked.select("term").distinct())
     found = written(found, "postings")
@@ -71,8 +73,7 @@ def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_tex
     weight = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.col("dl") / index.mean_length if index.mean_length else F.lit(0.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    parts = weighed.join(_small(asked), "term").groupBy("query", "node").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))).alias("parts"))
-    scored = parts.select("query", "node", F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["part"]).alias("score"))
+    scored = weighed.withColumn("part", F.floor(part * UNIT)).join(_small(asked), "term").groupBy("query", "node").agg((F.sum("part") / UNIT).alias("score"))
     best = first_k(scored, k)
     padding = queries.select(F.col(query_id).alias("query")).crossJoin(F.broadcast(index.first_ids(k)))
     padding = padding.join(best, ["query", "node"], "left_anti").select("query", "node", F.lit(0.0).alias("score"))

@@ -177,14 +177,14 @@ _SIDES = f"""asked AS (SELECT item_id || '_high' AS query, item_id AS pair, '{ev
 
 
 def _bm25(name: str, items: str, k: int, k1: float = 1.5, b: float = 0.75) -> str:
-    """A ranking of all documents: contributions are added in the order of a query's terms."""
+    """A ranking of all documents: contributions are added as whole numbers of 10^-12."""
     return f"""
 {name}_d AS (SELECT doc_id AS node, {_TOKENS} AS toks FROM documents),
 {name}_n AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM {name}_d),
 {name}_p AS (SELECT node, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT node, len(toks) AS dl, unnest(toks) AS term FROM {name}_d) GROUP BY ALL),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
-{name}_q AS (SELECT query, term, min(place) AS place FROM (SELECT query, unnest(toks) AS term, generate_subscripts(toks, 1) AS place FROM ({items})) GROUP BY query, term),
-{name}_s AS (SELECT query, node, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1)::DOUBLE / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * (dl / mean))) ORDER BY place)) AS score
+{name}_q AS (SELECT DISTINCT query, unnest(toks) AS term FROM ({items})),
+{name}_s AS (SELECT query, node, sum(floor(1e12 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1)::DOUBLE / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * (dl / mean))))::HUGEINT)::DOUBLE / 1e12 AS score
   FROM {name}_q JOIN {name}_f USING (term) JOIN {name}_p USING (term), {name}_n GROUP BY query, node),
 {name}_a AS (SELECT i.query, d.doc_id AS node, coalesce(s.score, 0.0) AS score FROM (SELECT query FROM ({items})) i CROSS JOIN (SELECT doc_id FROM documents) d
   LEFT JOIN {name}_s s ON s.query = i.query AND s.node = d.doc_id),
