@@ -1,14 +1,16 @@
-import os
-from pathlib import Path
-
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
+def pytest_collection_finish(session):
+    """Stand-in models live in test modules, which the workers of a session made by others cannot import: they travel by value."""
+    for module in {item.module for item in session.items if hasattr(item, "module")}:
+        cloudpickle.register_pickle_by_value(module)
+
+
 @pytest.fixture(scope="session")
 def spark():
-    here = Path(__file__).resolve().parent
-    os.environ["PYTHONPATH"] = os.pathsep.join(map(str, (here.parent, here)))  # workers load stand-ins from the tests
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
