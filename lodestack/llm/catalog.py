@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, chat, exact_dedup, language, media, ngram_join, packing, quality, toxicity, warc
+from lodestack.llm import bpe, chat, exact_dedup, filter_audit, language, media, ngram_join, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_media": media.op9_media,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL, "op13_filter_audit": filter_audit.SQL}
