@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, chat, exact_dedup, filter_audit, language, media, ngram_join, packing, quality, toxicity, warc
+from lodestack.llm import bpe, chat, exact_dedup, filter_audit, language, media, ngram_join, packing, quality, quality_rules, repair, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_media": media.op9_media,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_repair": repair.op11_repair,
+        "op12_quality_rules": quality_rules.op12_quality_rules,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
