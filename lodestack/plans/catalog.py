@@ -6,9 +6,9 @@ bounded by headings with what follows from them (``passages``, ``evidence_counts
 
 from __future__ import annotations
 
-from lodestack.plans import checks, passages, ranking, texts
+from lodestack.plans import checks, passages, ranking, stored, texts
 
-_PARTS = (texts, passages, ranking, checks)
+_PARTS = (texts, passages, ranking, checks, stored)
 
 
 def queries() -> dict:

@@ -10,9 +10,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from lodestack.operators.evaluate import evaluate_results, require_none
 from lodestack.operators.pairs import duplicates, ranking_errors, require_valid
+from lodestack.sources.digests import ROWS, lines_digest
 from lodestack.sources.files import file_sha256, installed_versions, object_sha256, read_jsonl
 from lodestack.sources.settings import FAMILIES, PROVIDERS, model_record, need
 
@@ -56,8 +56,9 @@ def record_errors(jobs: DataFrame, classified: bool = True) -> DataFrame:
     return jobs.select(F.lit("job").alias("scope"), F.col("id" if classified else "source_job_id").alias("key"), F.explode(found).alias("error"))
 
 
-def same_digest(path: str | Path, expected: Any, name: str) -> str:
-    found = file_sha256(path)
+def same_digest(spark: SparkSession, path: str | Path, expected: Any, name: str) -> str:
+    """A digest of rows is made by tasks; a plain one, of a file as others pinned it, block by block."""
+    found = lines_digest(spark, str(path)) if str(expected).startswith(ROWS) else file_sha256(path)
     need(found == expected, f"{name} has digest {found}, not {expected}")
     return found
 
@@ -84,15 +85,15 @@ def settings_errors(config: Mapping[str, Any], manifest: Mapping[str, Any], head
 
 def load_corpus(spark: SparkSession, path: str, digest: str | None = None, per_family: int = 60) -> DataFrame:
     if digest is not None:
-        same_digest(path, digest, "the corpus")
-    jobs = read_jsonl(spark, path, JOBS)
+        same_digest(spark, path, digest, "the corpus")
+    jobs = read_jsonl(spark, path, JOBS, check=True)
     require_none(corpus_errors(jobs, per_family))
     return jobs
 
 
 def load_nodes(spark: SparkSession, path: str, manifest: Mapping[str, Any]) -> DataFrame:
-    same_digest(path, manifest.get("nodes_sha256"), "the table of passages")
-    nodes = read_jsonl(spark, path, NODES)
+    same_digest(spark, path, manifest.get("nodes_sha256"), "the table of passages")
+    nodes = read_jsonl(spark, path, NODES, check=True)
     need(nodes.count() == manifest.get("node_count"), "the number of passages is not the manifest's")
     return nodes
 
@@ -103,8 +104,8 @@ def load_frozen(spark: SparkSession, folder: str | Path, jobs: DataFrame, nodes:
     tables = []
     for name, schema in (("queries", QUERIES), ("qrels", QRELS)):
         path = Path(folder) / f"{name}.jsonl"
-        same_digest(path, manifest.get(f"{name}_sha256"), name)
-        tables.append(read_jsonl(spark, str(path), schema))
+        same_digest(spark, path, manifest.get(f"{name}_sha256"), name)
+        tables.append(read_jsonl(spark, str(path), schema, check=True))
     require_valid(jobs, nodes, *tables, expected_pairs=per_family * len(families), expected_per_family=per_family, families=tuple(families))
     return tables[0], tables[1]
 
@@ -116,11 +117,11 @@ def load_run(spark: SparkSession, benchmark: str | Path, run: str | Path, top_k:
     need(frozen.get("benchmark_version") == "jd_v2" and frozen.get("frozen") is True, "the benchmark is not a frozen one")
     tables = {name: read_jsonl(spark, str(benchmark / f"{name}.jsonl"), schema) for name, schema in (("nodes", NODES), ("queries", QUERIES), ("qrels", QRELS))}
     for name in tables:
-        digest = same_digest(benchmark / f"{name}.jsonl", frozen.get(f"{name}_sha256"), name)
+        digest = same_digest(spark, benchmark / f"{name}.jsonl", frozen.get(f"{name}_sha256"), name)
         need(ran.get(f"{name}_sha256") == digest, f"the run used other {name}")
     need(ran.get("benchmark_manifest_sha256") == file_sha256(benchmark / "manifest.json"), "the run used another manifest")
     need(ran.get("dataset_sha256") == frozen.get("dataset_sha256"), "the run used another corpus")
-    same_digest(run / "retrieval_results.jsonl", ran.get("retrieval_results_sha256"), "the results")
+    same_digest(spark, run / "retrieval_results.jsonl", ran.get("retrieval_results_sha256"), "the results")
     need(ran.get("run_id") == run.name and isinstance(ran.get("config_sha256"), str), "the run's identity is not its folder's")
     results = read_jsonl(spark, str(run / "retrieval_results.jsonl"), RESULTS)
     n = {name: table.count() for name, table in (*tables.items(), ("results", results))}
@@ -133,8 +134,8 @@ def load_run(spark: SparkSession, benchmark: str | Path, run: str | Path, top_k:
     return tables | {"results": results, "benchmark_manifest": frozen, "run_manifest": ran}
 
 
-def run_manifest(run_id: str, config: Mapping[str, Any], manifest: Mapping[str, Any], manifest_path: str | Path, results_path: str | Path, rows: int, model_files: Mapping[str, Any]) -> dict[str, Any]:
+def run_manifest(spark: SparkSession, run_id: str, config: Mapping[str, Any], manifest: Mapping[str, Any], manifest_path: str | Path, results_path: str | Path, rows: int, model_files: Mapping[str, Any]) -> dict[str, Any]:
     """What a run was made of and with."""
     same = {k: manifest.get(k) for k in ("dataset_sha256", "nodes_sha256", "queries_sha256", "qrels_sha256")}
-    own = {"run_id": run_id, "config_sha256": object_sha256(config), "benchmark_manifest_sha256": file_sha256(manifest_path), "retrieval_results_sha256": file_sha256(results_path), "result_row_count": rows}
+    own = {"run_id": run_id, "config_sha256": object_sha256(config), "benchmark_manifest_sha256": file_sha256(manifest_path), "retrieval_results_sha256": lines_digest(spark, str(results_path)), "result_row_count": rows}
     return own | same | {"retrieval": config["retrieval"], "dense_model": model_record(config["models"]["dense"]), "dense_snapshot": dict(model_files), "dependencies": installed_versions()}

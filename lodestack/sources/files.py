@@ -12,26 +12,80 @@ import io
 import json
 import os
 import tempfile
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from importlib import metadata
 from pathlib import Path
 from typing import Any
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from lodestack.operators.numbering import BROADCAST_OFFSETS
+from lodestack.sources.digests import lines_digest
+from lodestack.storage import delete_path, path_exists, rename_path, written
 
 #: Kinds of model files that count, and folders that do not.
 MODEL_FILES = (".json", ".safetensors", ".bin", ".pt", ".model", ".txt")
 MODEL_SKIPS = ("onnx", "imgs", ".git", ".cache")
 _BLOCK = 1 << 20
+_CORRUPT, _OBJECT = "_not_of_the_schema", r"^\s*\{"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, id, value): every line with its file, the first byte of its split, and its place among all lines of its task."""
+    recover(spark, path)
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def _splits(rows: DataFrame, *more: Column) -> DataFrame:
+    """(file, start, first, n, ...) of every split, with ``before``: the lines of the file before it, and ``rows_before``: all lines before it, files by name."""
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *more)
+    splits = written(splits, "splits")
+    own = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    files = splits.groupBy("file").agg(F.sum("n").alias("size"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select(F.col("file").alias("of"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("files_before"))
+    return splits.join(files, F.col("file") == F.col("of")).drop("of").withColumn("rows_before", F.col("before") + F.col("files_before"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, row, value): all lines with their number in their file and among all files by name, from 1; blank ones count.
+
+    Lines are read and numbered split by split and written once, then splits' counts are summed up to offsets."""
+    rows = written(_lines(spark, path), "lines")
+    splits = written(_splits(rows).select(F.col("file").alias("of"), F.col("start").alias("at"), "first", "before", "rows_before"), "offsets")
+    small = F.broadcast(splits) if splits.count() <= BROADCAST_OFFSETS else splits
+    place = F.col("id") - F.col("first") + 1
+    joined = rows.join(small, (F.col("file") == F.col("of")) & (F.col("start") == F.col("at")))
+    return joined.select("file", (place + F.col("before")).alias("line"), (place + F.col("rows_before")).alias("row"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line, excerpt): of every split that has any, the first line that is no JSON object or does not fit the schema. One pass."""
+    kinds = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    whole = StructType([*kinds.fields, StructField(_CORRUPT, StringType())])
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})[_CORRUPT].isNotNull()
+    bad = (F.trim("value") != "") & (~F.col("value").rlike(_OBJECT) | parsed)
+    rows = _lines(spark, path).select("file", "start", "id", F.when(bad, F.struct("id", F.substring("value", 1, 80).alias("excerpt"))).alias("bad"))
+    found = _splits(rows, F.min("bad").alias("bad")).where("bad IS NOT NULL")
+    return found.select("file", (F.col("bad.id") - F.col("first") + 1 + F.col("before")).alias("line"), "bad.excerpt")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One row per line that is not blank. A line that is no JSON object, or does not fit the schema, fails the read."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    whole = F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))))
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, check: bool = False) -> DataFrame:
+    """One row per line that is not blank. A line that is no JSON object, or does not fit the schema, fails the read.
+
+    ``check`` looks through all lines first and names the first bad one by file and number; without it the
+    read fails as it gets there, with the file's name."""
+    if check and (found := bad_lines(spark, path, schema).orderBy("file", "line").first()):
+        raise ValueError(f"{found['file']}:{found['line']}: no JSON object of the schema: {found['excerpt']}")
+    recover(spark, path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    refused = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(": "), F.substring("value", 1, 80)))
+    whole = F.when(F.col("value").rlike(_OBJECT), F.col("value")).otherwise(refused)
     return lines.select(F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
@@ -49,15 +103,46 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False, sort_keys: bo
     """One JSON object per row, nulls too, keys in order unless told otherwise; an existing path is refused unless ``overwrite``."""
     fields = sorted(df.schema.fields, key=lambda f: f.name) if sort_keys else df.schema.fields
     rows = df.select(*(_in_order(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields)) if sort_keys else df
+    return publish(rows, path, lambda df, at: df.write.option("ignoreNullFields", "false").json(at), overwrite)
+
+
+def publish(df: DataFrame, path: str, write: Callable[[DataFrame, str], None], overwrite: bool = False) -> str:
+    """``df`` written aside and then renamed, so that a reader sees the old table or the new one, whole.
+
+    A replaced table steps aside before the new one comes; if a run stops between, ``recover`` brings it back."""
+    spark = df.sparkSession
+    recover(spark, path)
+    if path_exists(spark, path) and not overwrite:
+        raise FileExistsError(path)
+    new, old = f"{_aside(path)}.new-{uuid.uuid4().hex[:12]}", f"{_aside(path)}.old"
     try:
-        rows.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
-    except AnalysisException as error:
-        if "PATH_ALREADY_EXISTS" in str(error):
-            raise FileExistsError(path) from error
+        write(df, new)
+    except BaseException:
+        delete_path(spark, new)
         raise
+    if path_exists(spark, path):
+        if not overwrite:
+            delete_path(spark, new)
+            raise FileExistsError(path)
+        delete_path(spark, old)
+        rename_path(spark, path, old)
+    rename_path(spark, new, path)
+    delete_path(spark, old)
     return path
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Brings back a table that stepped aside for one that never came."""
+    old = f"{_aside(path)}.old"
+    if path_exists(spark, old) and not path_exists(spark, path):
+        rename_path(spark, old, path)
+
+
+def _aside(path: str) -> str:
+    folder, _, name = str(path).rstrip("/").rpartition("/")
+    return f"{folder}/.{name}" if folder or str(path).startswith("/") else f".{name}"
+
+
 def write_bytes(path: str | Path, data: bytes, overwrite: bool = False) -> Path:
     """All of it or nothing: another name first, flushed to the disk, then renamed."""
     path = Path(path)
@@ -108,16 +193,25 @@ def object_sha256(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def copy_frozen(sources: Mapping[str, str | Path], folder: str | Path) -> dict[str, Path]:
-    """Copies of the named files; one that is there already must hold the same bytes."""
-    made = {}
+def copy_frozen(sources: Mapping[str, str | Path], folder: str | Path, spark: SparkSession | None = None) -> dict[str, Path]:
+    """Copies of the named files and tables; what is there already must hold the same.
+
+    Tables (folders of lines) are copied and compared by tasks, line by line; single files are small, and copied whole."""
+    made: dict[str, Any] = {}
     for name, source in sources.items():
-        target = Path(folder) / name
-        if not target.exists():
-            for part in sorted(Path(source).iterdir()) if Path(source).is_dir() else [Path(source)]:
-                if not part.name.startswith("."):
-                    write_bytes(target / part.name if Path(source).is_dir() else target, part.read_bytes())
-        if file_sha256(target) != file_sha256(source):
+        at = f"{str(folder).rstrip('/')}/{name}"
+        target = at if "://" in at else Path(at)
+        if "://" not in str(source) and not Path(source).is_dir():
+            if not Path(at).exists():
+                write_bytes(at, Path(source).read_bytes())
+            same = file_sha256(at) == file_sha256(source)
+        else:
+            spark = spark or SparkSession.active()
+            recover(spark, at)
+            if not path_exists(spark, at):
+                publish(spark.read.text(str(source)), at, lambda df, path: df.write.text(path))
+            same = lines_digest(spark, at) == lines_digest(spark, str(source))
+        if not same:
             raise ValueError(f"{target} differs from {source}")
         made[name] = target
     return made

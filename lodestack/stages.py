@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import build, evaluate, evidence, models, pairs, report, retrieval
 from lodestack.operators.chunks import passages
 from lodestack.sources import contracts, files, settings
+from lodestack.sources.digests import lines_digest
 from lodestack.storage import written
 
 NODE_ORDER = ("job_id", "start_offset")
@@ -72,7 +73,7 @@ def prepare(x: Experiment) -> dict[str, Any]:
     cut = passages(jobs, "id", "description_clean", settings.load_heading_types(x.rules), chunk["chunk_size"], chunk["chunk_overlap"], keep, chunk["include_heading_in_retrieval"])
     nodes = cut.withColumnRenamed("id", "job_id").orderBy(*NODE_ORDER)
     _kept(nodes, x.bench / "nodes.jsonl", contracts.NODES)
-    digest, count = files.file_sha256(x.bench / "nodes.jsonl"), files.read_jsonl(x.spark, str(x.bench / "nodes.jsonl"), contracts.NODES).count()
+    digest, count = lines_digest(x.spark, str(x.bench / "nodes.jsonl")), files.read_jsonl(x.spark, str(x.bench / "nodes.jsonl"), contracts.NODES).count()
     made = contracts.base_manifest(x.config, x.config["dataset_sha256"], digest, count, x.rules)
     if (x.bench / "manifest.json").exists():
         old = contracts.read_manifest(x.bench)
@@ -109,7 +110,7 @@ def benchmark(x: Experiment, make_generator: Callable[[], build.PairGenerator],
     pairs.require_valid(jobs, nodes, queries, qrels, expected_pairs=quotas.per_family * len(settings.FAMILIES), expected_per_family=quotas.per_family, families=settings.FAMILIES)
     files.write_jsonl(build.review_sample(queries, config["seed"], quotas.review_sample), str(x.bench / "review_sample.jsonl"), overwrite=True)
     build.write_benchmark(queries, qrels, x.bench, quotas.per_family)
-    digests = {f"{n}_sha256": files.file_sha256(x.bench / f"{n}.jsonl") for n in ("evidence_candidates", "queries", "qrels")}
+    digests = {f"{n}_sha256": lines_digest(x.spark, str(x.bench / f"{n}.jsonl")) for n in ("evidence_candidates", "queries", "qrels")}
     n = queries.count()
     manifest |= digests | {"frozen": True, "frozen_at_utc": dt.datetime.now(dt.UTC).isoformat(), "evidence_counts": counts, "benchmark_counts": made["counts"], "generator_snapshot": model_files, "query_count": n, "pair_count": n // 2, "dependencies": files.installed_versions()}
     files.write_json(x.bench / "manifest.json", manifest, overwrite=True)
@@ -139,7 +140,7 @@ def retrieve(x: Experiment, make_embedder: Callable[[], Any], run_id: str | None
     evaluate.evaluate_results(results, qrels, queries, x.config["evaluation"]["top_k"])
     path = folder / "retrieval_results.jsonl"
     files.write_jsonl(results.orderBy("query_id", "method"), str(path))
-    made = contracts.run_manifest(folder.name, x.config, manifest, x.bench / "manifest.json", path, results.count(), model_files or {})
+    made = contracts.run_manifest(x.spark, folder.name, x.config, manifest, x.bench / "manifest.json", path, results.count(), model_files or {})
     files.write_json(folder / "manifest.json", made)
     return folder
 
@@ -175,17 +176,18 @@ def rerank(spark: SparkSession, config: Mapping[str, Any], make_scorer: Callable
     reranked = written(retrieval.rerank_queries(run["results"], run["queries"], run["nodes"], make_scorer, name, digest, config["candidate"]["top_k_per_method"]), "reranked")
     draws = _draws(spark, run["queries"], own["bootstrap_samples"], own["seed"])
     tables = evaluate.analyze_reranked(run["results"], reranked, run["queries"], run["qrels"], draws, own["bootstrap_samples"], own["bootstrap_confidence"])
-    copies = files.copy_frozen({"source_manifest.json": bench / "manifest.json"} | {f"{n}.jsonl": bench / f"{n}.jsonl" for n in ("nodes", "queries", "qrels")}, root / config["paths"]["benchmark_snapshot_dir"])
+    copies = files.copy_frozen({"source_manifest.json": bench / "manifest.json"} | {f"{n}.jsonl": bench / f"{n}.jsonl" for n in ("nodes", "queries", "qrels")}, root / config["paths"]["benchmark_snapshot_dir"], spark)
     path = folder / "reranked_results.jsonl"
     files.write_jsonl(reranked.orderBy("query_id"), str(path))
     made = report.write_rerank_report(tables, shown, own["bootstrap_samples"], own["bootstrap_confidence"])
-    digests = lambda paths: {n: {"path": str(p), "sha256": files.file_sha256(p)} for n, p in paths.items()}
+    digest_of = lambda p: lines_digest(spark, str(p)) if Path(p).is_dir() else files.file_sha256(p)
+    digests = lambda paths: {n: {"path": str(p), "sha256": digest_of(p)} for n, p in paths.items()}
     about = {
         "experiment_version": config["experiment_version"], "run_id": name, "saved_utc": dt.datetime.now(dt.UTC).isoformat(), "config_sha256": digest,
         "source_run_id": run["run_manifest"]["run_id"], "source_manifest_sha256": files.file_sha256(bench / "manifest.json"), "source_run_manifest_sha256": files.file_sha256(source / "manifest.json"),
-        "source_results_sha256": files.file_sha256(source / "retrieval_results.jsonl"), "source_dataset_sha256": run["benchmark_manifest"].get("dataset_sha256"), "input_snapshot": digests(copies),
+        "source_results_sha256": lines_digest(spark, str(source / "retrieval_results.jsonl")), "source_dataset_sha256": run["benchmark_manifest"].get("dataset_sha256"), "input_snapshot": digests(copies),
         "candidate": config["candidate"], "reranker": settings.model_record(config["reranker"]), "reranker_snapshot": model_files, "evaluation": own, "dependencies": files.installed_versions(),
-        "reranked_results_sha256": files.file_sha256(path), "result_row_count": reranked.count(), "report_files": digests(made),
+        "reranked_results_sha256": lines_digest(spark, str(path)), "result_row_count": reranked.count(), "report_files": digests(made),
     }
     files.write_json(folder / "manifest.json", about)
     return folder

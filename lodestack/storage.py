@@ -43,6 +43,36 @@ def discard(spark: SparkSession, bag: list[str]) -> None:
         delete_path(spark, bag.pop())
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def rename_path(spark: SparkSession, source: str, target: str) -> None:
+    """Fails where ``target`` is there: a folder would move into it."""
+    system, old = _file_system(spark, source)
+    new = _file_system(spark, target)[1]
+    if system.exists(new):
+        raise FileExistsError(target)
+    if not system.rename(old, new):
+        raise OSError(f"{source} cannot be renamed to {target}")
+
+
+def files_of(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of files, in the order of their paths."""
+    out = []
+    for path in sorted(paths):
+        system, target = _file_system(spark, path)
+        found = system.getFileStatus(target)
+        out.append((path, found.getLen(), found.getModificationTime()))
+    return out

@@ -267,7 +267,7 @@ def test_stored_run_is_held_to_its_manifests(spark, built, tmp_path):
     files.write_json(bench / "manifest.json", digests | {"benchmark_version": "jd_v2", "frozen": True, "dataset_sha256": "d", "node_count": nodes.count(), "query_count": n, "pair_count": n // 2})
     found = one_file(results, run / "retrieval_results.jsonl")
     config = RUN | {"x": 1}
-    whole = contracts.run_manifest("run-1", config, contracts.read_manifest(bench), bench / "manifest.json", run / "retrieval_results.jsonl", 3 * n, {})
+    whole = contracts.run_manifest(spark, "run-1", config, contracts.read_manifest(bench), bench / "manifest.json", run / "retrieval_results.jsonl", 3 * n, {})
     assert whole["retrieval_results_sha256"] == found
     files.write_json(run / "manifest.json", whole | {"config_sha256": "hash"})
     loaded = contracts.load_run(spark, bench, run)
