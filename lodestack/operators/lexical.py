@@ -37,14 +37,14 @@ class Index:
         """(node, term, tf, dl), of the given terms only where there are some."""
         rows = self.tokens.select("node", "dl", F.explode("tokens").alias("term"))
         if terms is not None:
-            rows = rows.join(_small(terms), "term", "left_semi")
+            rows = rows.join(small(terms), "term", "left_semi")
         return rows.groupBy("node", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
     def first_ids(self, k: int) -> DataFrame:
         return self.tokens.select("node").orderBy("node").limit(k)
 
 
-def _small(terms: DataFrame) -> DataFrame:
+def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
@@ -63,21 +63,25 @@ def first_k(scored: DataFrame, k: int, score: str | Column = "score") -> DataFra
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def padded(best: DataFrame, queries: DataFrame, first_ids: DataFrame, k: int) -> DataFrame:
+    """``best`` (query, node, score, rank), with the smallest other ids at score 0 where a query has fewer than ``k``."""
+    padding = queries.crossJoin(F.broadcast(first_ids)).join(best, ["query", "node"], "left_anti").select("query", "node", F.lit(0.0).alias("score"))
+    return first_k(best.drop("rank").union(padding), k)
+
+
 def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, node, score, rank): scores are shown at six digits, but ranked whole."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(search_tokens(query_text))).alias("term"))
     asked = written(asked, "asked-terms")
     found = index.postings(asked.select("term").distinct())
     found = written(found, "postings")
-    weighed = found.join(_small(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
+    weighed = found.join(small(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
     weight = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.col("dl") / index.mean_length if index.mean_length else F.lit(0.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scored = weighed.withColumn("part", F.floor(part * UNIT)).join(_small(asked), "term").groupBy("query", "node").agg((F.sum("part") / UNIT).alias("score"))
-    best = first_k(scored, k)
-    padding = queries.select(F.col(query_id).alias("query")).crossJoin(F.broadcast(index.first_ids(k)))
-    padding = padding.join(best, ["query", "node"], "left_anti").select("query", "node", F.lit(0.0).alias("score"))
-    return first_k(best.drop("rank").union(padding), k).withColumn("score", F.round("score", DIGITS))
+    scored = weighed.withColumn("part", F.floor(part * UNIT)).join(small(asked), "term").groupBy("query", "node").agg((F.sum("part") / UNIT).alias("score"))
+    ranked = padded(first_k(scored, k), queries.select(F.col(query_id).alias("query")), index.first_ids(k), k)
+    return ranked.withColumn("score", F.round("score", DIGITS))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import search_tokens
-from lodestack.operators import dense, evaluate, fusion, lexical, report
+from lodestack.operators import dense, evaluate, fusion, kept_index, lexical, report
 from lodestack.operators.retrieval import term_overlap
 from lodestack.plans.tables import sql_tokens, table
 from lodestack.storage import written
@@ -35,14 +35,15 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("_", "item_id", "s.end").alias("query"), F.col("item_id").alias("pair"), "s.kind", (F.col("item_id") % 4).cast("string").alias("family"), "s.text")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _index(spark: SparkSession, sf_dir: str) -> kept_index.KeptIndex:
+    """Built by the first query that needs it, and kept for the others."""
+    return kept_index.kept_index(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: lexical.Index | None = None) -> DataFrame:
+def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: kept_index.KeptIndex | None = None) -> DataFrame:
     """(method, query, node, rank) of all three methods, over one index; written, since several steps read it."""
     index, questions = index or _index(spark, sf_dir), written(_questions(spark, sf_dir).select("query", "text"), "questions")
-    ranked = {m: written(lexical.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
+    ranked = {m: written(kept_index.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
     ranked["hybrid"] = fusion.rrf(ranked["bm25"], ranked["dense"], k)
     out = None
     for method, rows in ranked.items():
@@ -72,7 +73,12 @@ def _dense(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFra
 
 
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25_rank(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")
+    return kept_index.bm25_rank(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")
+
+
+def bm25_blocks(spark, sf_dir):
+    """Blocks of postings that each item's ranking has, and those that were scored."""
+    return kept_index.search(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")[1]
 
 
 def containment_qrels(spark, sf_dir):
@@ -165,7 +171,7 @@ def failure_cases(spark, sf_dir):
 
 
 QUERIES = (
-    bm25_topk, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
+    bm25_topk, bm25_blocks, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
     main_table, transition_summary, family_descriptive, bootstrap_ci, bootstrap_differences, candidate_coverage, failure_cases,
 )
 
