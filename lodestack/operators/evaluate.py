@@ -60,14 +60,31 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
     return (few if found is None else found.union(few)).distinct()
 
 
-def enclosing(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``spans`` (job, start, end, ...) with the sorted ids of the passages that hold all of each, none where there are none.
+def enclosing_pairs(spans: DataFrame, nodes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(job, start, end, node_id, ...): every passage that holds all of a span, with its columns ``keep``.
+
+    ``nodes`` has (job, node_id, start_offset, end_offset). A passage whose length is at most 2^level lies in
+    one or two buckets of that width; a span asks for the bucket of its start at every level that
+    there is, so spans and passages meet by (job, level, bucket) and the work is in proportion to
+    both and to what is found, whatever the length of the job's text. Null jobs and places, and passages that end
+    before they start hold nothing."""
+    length = F.col("end_offset") - F.col("start_offset")
+    level = F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
+    bucket = lambda place, level: F.floor(place / F.pow(F.lit(2.0), level)).cast("long")
+    ranges = nodes.select("job", "node_id", "start_offset", "end_offset", *(c for c in keep if c not in ("start_offset", "end_offset"))).where(length >= 0).withColumn("_level", level)
+    levels = sorted(r[0] for r in ranges.select("_level").distinct().collect())
+    first, last = (bucket(F.col(c), F.col("_level")) for c in ("start_offset", "end_offset"))
+    ranges = ranges.select("*", F.explode(F.sequence(first, last)).alias("_bucket"))
+    asked = spans.select("job", "start", "end").where((F.col("start") <= F.col("end")) & F.col("job").isNotNull()).distinct()
+    asked = asked.select("*", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("_level")).withColumn("_bucket", bucket(F.col("start"), F.col("_level")))
+    inside = (F.col("start_offset") <= F.col("start")) & (F.col("end_offset") >= F.col("end"))
+    return asked.join(ranges, ["job", "_level", "_bucket"]).where(inside).drop("_level", "_bucket")
+
 
-    ``nodes`` has (job, node_id, start_offset, end_offset); the range is checked within a job."""
+def enclosing(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``spans`` (job, start, end, ...) with the sorted ids of the passages that hold all of each, none where there are none."""
     keys = ["job", "start", "end"]
-    ranges = nodes.select("job", "node_id", "start_offset", "end_offset")
-    inside = (F.col("start_offset") <= F.col("start")) & (F.col("end_offset") >= F.col("end"))
-    found = spans.select(*keys).distinct().join(ranges, "job").where(inside).groupBy(*keys).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
+    found = enclosing_pairs(spans, nodes).groupBy(*keys).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
     return spans.join(found, keys, "left").withColumn("node_ids", F.coalesce("node_ids", F.array().cast("array<string>")))
 
 

@@ -11,11 +11,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import TERM, evidence_terms, one_line, python_round
+from lodestack.operators.evaluate import enclosing_pairs
 from lodestack.storage import written
 
 #: List marks, headings, ends of sentences, sections that say nothing of the role, and phrases of templates.
@@ -38,6 +40,11 @@ CORE_SECTIONS = ("qualifications", "responsibilities")
 #: Passages of the same words that many sources repeat are no evidence.
 MOST_REPEATS = 3
 LEAST_COMPANY = 3
+#: Spans times characters up to which spans are searched for one by one.
+SEARCHED = 1 << 24
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PASS = 1 << 20
 _TEMPLATE, _TERM = re.compile(TEMPLATE, re.I), re.compile(TERM)
 
 
@@ -74,15 +81,62 @@ def span_ranges(text: str, max_chars: int) -> Iterator[tuple[int, int]]:
                 yield a, b
 
 
+def stand_once(text: str, spans: list[tuple[int, int]]) -> list[bool]:
+    """Of each span, whether its text stands only once in ``text``, not counting places that overlap the first.
+
+    A few spans are searched for. Many are told by one pass: places that begin like any span (the hash of
+    as many characters as the shortest has) are the only ones that can repeat one, and hashes of any length
+    come from the same running sums. What a hash calls a repeat is compared."""
+    longest = max((b - a for a, b in spans), default=0)
+    if not longest:
+        return [False] * len(spans)
+    if len(spans) * len(text) <= SEARCHED:
+        return [text.find(text[a:b], text.find(text[a:b]) + b - a) < 0 for a, b in spans]
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.full(len(letters), _BASE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers)])
+    back = np.cumprod(np.full(len(letters), _INVERSE, np.uint64))
+    hashes = lambda at, size: (sums[at + size] - sums[at]) * back[at]
+    starts, sizes = (np.array(x, np.int64) for x in zip(*((a, b - a) for a, b in spans), strict=True))
+    width = int(sizes.min())
+    heads, label = np.unique(hashes(starts, width), return_inverse=True)
+    every = np.concatenate([_labels(heads, hashes(np.arange(at, min(at + _PASS, len(letters) - width + 1)), width)) for at in range(0, len(letters) - width + 1, _PASS)])
+    places = np.flatnonzero(every >= 0)
+    places = places[np.argsort(every[places], kind="stable")]
+    ends = np.searchsorted(every[places], np.arange(len(heads) + 1))
+    once = np.ones(len(spans), bool)
+    order = np.lexsort((sizes, label))
+    for group in np.split(order, np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(sizes[order]) != 0)) + 1):
+        size, own = int(sizes[group[0]]), places[ends[label[group[0]]] : ends[label[group[0]] + 1]]
+        own = own[own + size <= len(letters)]
+        if len(own) < 2:
+            continue
+        values, which = np.unique(hashes(own, size), return_inverse=True)
+        least, most = np.full(len(values), len(letters)), np.zeros(len(values), np.int64)
+        np.minimum.at(least, which, own)
+        np.maximum.at(most, which, own)
+        at = np.searchsorted(values, hashes(starts[group], size))
+        for k, first, last in zip(group[most[at] >= least[at] + size].tolist(), *(x[at][most[at] >= least[at] + size].tolist() for x in (least, most)), strict=True):
+            a, b = spans[k]
+            same = text.startswith(text[a:b], first) and text.startswith(text[a:b], last)
+            once[k] = text.find(text[a:b], text.find(text[a:b]) + b - a) < 0 if not same else False
+    return once.tolist()
+
+
+def _labels(heads: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash among ``heads``, -1 where it is none of them."""
+    at = np.minimum(np.searchsorted(heads, hashes), len(heads) - 1)
+    return np.where(heads[at] == hashes, at, -1)
+
+
 def local_gates(text: str, company: str | None, limits: Limits) -> Iterator[tuple[int, int, str, int, str | None]]:
     """(start, end, span, words, reason): the reason of the first gate that closes, of those that the text itself answers."""
     name = (company or "").strip()
     named = re.compile(rf"(?<!\w){re.escape(name)}(?!\w)", re.I) if len(name) >= LEAST_COMPANY else None
-    seen: set[str] = set()
+    told: list[tuple[int, int, str, int, str | None]] = []
     for a, b in span_ranges(text, limits.max_chars):
         span = text[a:b]
         words = len(_TERM.findall(span))
-        normal = re.sub(r"\s+", " ", span).casefold()
         if not limits.min_chars <= len(span) <= limits.max_chars:
             reason = "length_chars"
         elif not limits.min_words <= words <= limits.max_words:
@@ -91,11 +145,18 @@ def local_gates(text: str, company: str | None, limits: Limits) -> Iterator[tupl
             reason = "template_or_non_role_fact"
         elif named and named.search(span):
             reason = "mentions_source_company"
-        elif normal in seen or text.count(span) != 1:
-            reason = "ambiguous_or_duplicate_source_text"
         else:
             reason = None
-            seen.add(normal)
+        told.append((a, b, span, words, reason))
+    once = iter(stand_once(text, [(a, b) for a, b, _, _, reason in told if reason is None]))
+    seen: set[str] = set()
+    for a, b, span, words, reason in told:
+        if reason is None:
+            normal = re.sub(r"\s+", " ", span).casefold()
+            if not next(once) or normal in seen:
+                reason = "ambiguous_or_duplicate_source_text"
+            else:
+                seen.add(normal)
         yield a, b, span, words, reason
 
 
@@ -125,10 +186,10 @@ def evidence_rows(jobs: DataFrame, nodes: DataFrame, limits: Limits = Limits())
     n_jobs, keys = max(1, jobs.count()), ["job", "start", "end"]
     spans = written(evidence_spans(jobs, limits), "spans")
     open_spans = spans.where("reason IS NULL").select(*keys, "text", "words")
-    ranges = nodes.select(F.col("job_id").alias("job"), "node_id", "start_offset", "end_offset", "canonical_section", "section_heading")
-    inside = (F.col("start_offset") <= F.col("start")) & (F.col("end_offset") >= F.col("end"))
-    first = F.min(F.struct("start_offset", "end_offset", "canonical_section", "section_heading")).alias("node")
-    around = open_spans.select(*keys).join(ranges, "job").where(inside).groupBy(*keys).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"), first)
+    sections = ["start_offset", "end_offset", "canonical_section", "section_heading"]
+    ranges = nodes.select(F.col("job_id").alias("job"), "node_id", *sections)
+    first = F.min(F.struct(*sections)).alias("node")
+    around = enclosing_pairs(open_spans, ranges, sections).groupBy(*keys).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"), first)
     rare = document_frequency(jobs).where(F.col("df") / n_jobs <= limits.max_document_frequency).select("term")
     terms = open_spans.select(*keys, F.explode(evidence_terms("text")).alias("term")).join(rare, "term")
     terms = terms.groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("distinctive_terms"))
