@@ -102,6 +102,13 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir)
 
 
+def dense_products(spark, sf_dir):
+    """All products of a query and a vector; those made are fewer where vectors lie in groups, and never more."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = dense.products(vectors, vectors.where(F.col("vec_id") % 20 == 0), K)
+    return found.select("whole", F.col("made").between(0, F.col("whole")).alias("made_within"))
+
+
 def rrf_fusion(spark, sf_dir):
     fused = fusion.rrf(_dense(spark, sf_dir), _dense(spark, sf_dir, 32), K)
     return fused.select("query", "node", F.round("score", 9).alias("score"), "first_rank", "second_rank", "rank")
@@ -171,7 +178,7 @@ def failure_cases(spark, sf_dir):
 
 
 QUERIES = (
-    bm25_topk, bm25_blocks, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
+    bm25_topk, bm25_blocks, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, dense_products, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
     main_table, transition_summary, family_descriptive, bootstrap_ci, bootstrap_differences, candidate_coverage, failure_cases,
 )
 
@@ -243,6 +250,7 @@ _SHORT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _FOUND = "SELECT r.query, r.method, min(CASE WHEN g.node IS NOT NULL THEN r.rank END) AS gold, min(CASE WHEN r.node % 50 = o.source THEN r.rank END) AS source FROM ranked r JOIN own o USING (query) LEFT JOIN gold g ON g.query = r.query AND g.node = r.node GROUP BY ALL"
 
 SQL = {
+    "dense_products": "SELECT count(*) FILTER (vec_id % 20 = 0) * count(*) AS whole, true AS made_within FROM embeddings",
     "bm25_topk": f"WITH {_bm25('r', _ITEMS, K)} SELECT query, node, round(score, 6) AS score, rank FROM r",
     "containment_qrels": f"WITH {_LINKS} SELECT item AS query, node FROM links",
     "bm25_eval_hit_mrr": f"""WITH {_bm25('r', _ITEMS, 5)}, {_LINKS}, s AS (SELECT l.item, min(r.rank) AS first FROM links l LEFT JOIN r ON r.query = l.item AND r.node = l.node GROUP BY l.item)

@@ -100,6 +100,24 @@ def test_dense_against_numpy(spark):
     assert dense.dense_topk(df, df.limit(0), 6).count() == 0 and dense.dense_topk(df.limit(0), df, 6).count() == 0
 
 
+def test_dense_products_are_spared(spark):
+    """Vectors in groups: the same rows as all products give, with a part of them."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 16))
+    rows = np.concatenate([c + 0.05 * rng.normal(size=(400, 16)) for c in centers])
+    rows[100], rows[4000] = rows[5], rows[5]
+    rng.shuffle(rows)
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    scores = np.round(unit[::40] @ unit.T, 12)
+    want = {(40 * q, int(n)): r + 1 for q, row in enumerate(scores) for r, n in enumerate(np.lexsort((np.arange(len(rows)), -row))[:7])}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(2)
+    asked = df.where("vec_id % 40 = 0")
+    assert {(r["query"], r["node"]): r["rank"] for r in dense.dense_topk(df, asked, 7, block=256).collect()} == want
+    made, whole = dense.products(df, asked, 7, block=256).first()
+    assert whole == len(rows) * len(scores) and made < whole / 2
+    assert dense.products(df.limit(0), asked, 7).first() == (0, 0)
+
+
 @pytest.mark.parametrize("bad, error", [(None, "null"), ([1.0], "length"), ([float("nan"), 1.0], "not_finite"), ([0.0, 0.0], "zero"), ([None, 1.0], "not_finite")])
 def test_bad_vectors_are_named(spark, bad, error):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (77, bad)], "vec_id long, embedding array<double>").coalesce(1)
