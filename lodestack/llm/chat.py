@@ -6,8 +6,10 @@ gets one more backslash, which undoing removes, so any text comes back as it was
 
 Prefix sums of turn tokens choose the windows, aligned to turns: each holds the opening
 system turn, a limited history of turns repeated from before, and as many new turns as
-the budget takes, found by a search in the sums. Only new assistant texts are under the loss mask, so each is a target once. A
-turn above the budget gets a window of its own, whole.
+the budget takes, found by a search in the sums. Only new assistant texts are under the
+loss mask, so each is a target once. A turn above the budget gets a window of its own,
+whole. A system turn that takes more than ``SYSTEM_SHARE`` of the budget stands in the first
+window only, so what is written stays in proportion to the conversation.
 
 Turns are tokenised where they lie; only then are the rows of a conversation brought
 together and sorted, to be streamed: memory holds one window, however long a conversation
@@ -36,6 +38,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
+#: Of the budget, what a system turn may take to be repeated.
+SYSTEM_SHARE = 0.75
 TURN_TOKENS = 4  # of the marks around a text
 _TO_ESCAPE = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -89,9 +93,10 @@ class Windows:
             if end == len(self.turns) and not last:
                 break
             yield self._window(repeated, self.turns[at:end])
-            if first and self.turns[0][0] == "system":
+            opening = first and self.turns[0][0] == "system"
+            if opening and self.turns[0][2] + TURN_TOKENS <= SYSTEM_SHARE * self.budget:
                 self.system = self.turns[:1]
-            fresh = self.turns[at + bool(first and self.system) : end]
+            fresh = self.turns[at + opening : end]
             self.past = [*self.past, *fresh][-self.history_turns :] if self.history_turns else []
             at = end
         self.turns = self.turns[at:]

@@ -224,7 +224,10 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", payload_col: st
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_from: int = 1000, archive_bytes: int = 32 << 20) -> DataFrame:
-    """Write archives below ``folder`` (a URI every executor reaches); one row (path, records, bytes) for each."""
+    """Write archives below ``folder`` (a URI every executor reaches); one row (path, records, bytes) for each.
+
+    Archives are named by the attempt that wrote them, and the rows are a written table, which holds one attempt of
+    every task: archives of an attempt that was lost, or ran beside another, are in no row and are not read."""
     rows = with_record_types(pages, id_col, payload_col, url_col, revisit_from)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +240,21 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_c
                         yield make_record(key, url, payload.encode("utf-8"), keep, keep is not None and key != keep)
 
         for k, (data, count) in enumerate(archives(records(), archive_bytes)):
-            path = _store(folder, f"part-{context.partitionId():06d}-{k:05d}.warc.zst", data, context.taskAttemptId())
+            path = _store(folder, f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{k:05d}.warc.zst", data, context.taskAttemptId())
             yield pa.RecordBatch.from_pylist([{"path": path, "records": count, "bytes": len(data)}], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return mapped(rows, run, "path string, records long, bytes long")
+    return written(mapped(rows, run, "path string, records long, bytes long"), "warc-list")
 
 
-def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """Records of all archives below ``folder``: key, url, record_type, payload_bytes, payload_digest, refers_to, payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+def read_warc(spark: SparkSession, folder: str, listed: DataFrame | None = None, with_payload: bool = True) -> DataFrame:
+    """Records of all archives below ``folder``, or of those ``listed`` (path, ...): key, url, record_type, payload_bytes, payload_digest, refers_to, payload."""
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+    if listed is not None:
+        names = listed.select(name(F.col("path")).alias("name")).distinct()
+        few = names.count() <= _MOST_BROADCAST
+        files = files.withColumn("name", name(F.col("path"))).join(F.broadcast(names) if few else names, "name", "left_semi")
+    files = files.select("content")
     schema = pa.schema([("key", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +292,9 @@ FROM g
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = new_path(spark, "warc")
-    listed = write_warc(pages, folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    listed = write_warc(pages, folder)
     kind = pages.schema["page_id"].dataType.simpleString()
-    if not listed:
+    if not listed.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]:
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
-    back = read_warc(spark, folder, with_payload=False)
+    back = read_warc(spark, folder, listed, with_payload=False)
     return back.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
