@@ -8,11 +8,15 @@ get running numbers."""
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.numbering import numbered
+
 #: Names of the outcomes, methods, kinds of query, metrics and compared methods.
 TRANSITIONS = ("hit→hit", "hit→miss", "miss→hit", "miss→miss")
 METHODS = ("bm25", "dense", "hybrid")
@@ -21,6 +25,8 @@ KINDS = ("high_lexical_overlap", "low_lexical_overlap")
 METRICS = ("high_hit", "low_hit", "hit_drop", "high_rr", "low_rr", "rr_drop")
 DROPS = ("hit_drop", "rr_drop")
 COMPARED = (("hybrid", "bm25"), ("hybrid", "dense"), ("dense", "bm25"))
+#: Numbers of a twister's state, and draws of a batch.
+_STATE, _DRAWS = 625, 10_000
 #: Words of the window that a containing text must share, as far as an item has inner words.
 ANCHOR = 3
 #: Items up to this number are broadcast; beyond, joined by a shuffle.
@@ -140,9 +146,9 @@ def long_metrics(outcomes: DataFrame, methods: Sequence[str] | None = None) -> D
 
 
 def numbered_pairs(outcomes: DataFrame) -> DataFrame:
-    """(pair, idx): the sorted pairs counted from 0. Pairs are a small table of ids."""
-    pairs = outcomes.select("pair").distinct()
-    return pairs.select("pair", (F.row_number().over(Window.orderBy("pair")) - 1).cast("long").alias("idx"))
+    """(pair, idx): the sorted pairs counted from 0, however many there are."""
+    pairs = outcomes.select("pair").distinct().withColumn("_all", F.lit(0))
+    return numbered(pairs, "_all", ["pair"], "_number").select("pair", (F.col("_number") - 1).alias("idx"))
 
 
 def hashed_draws(spark: SparkSession, n_pairs: int, replicates: int, seed: int = 0) -> DataFrame:
@@ -153,10 +159,26 @@ def hashed_draws(spark: SparkSession, n_pairs: int, replicates: int, seed: int =
 
 
 def twister_draws(spark: SparkSession, n_pairs: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, idx) as Python's Mersenne twister gives them, one replicate after another from one seed."""
-    twister = random.Random(seed)
-    rows = [(r, twister.randrange(n_pairs)) for r in range(replicates) for _ in range(n_pairs)]
-    return spark.createDataFrame(rows, "replicate long, idx long")
+    """(replicate, idx) as Python's Mersenne twister gives them, one replicate after another from one seed.
+
+    The driver steps through the sequence and keeps the generator's state at the start of each replicate
+    (2.5 KB); tasks take the draws up from there, a few thousand at a time."""
+    twister, states = random.Random(seed), []
+    for r in range(replicates):
+        states.append((r, struct.pack(f"<{_STATE}I", *twister.getstate()[1])))
+        for _ in range(n_pairs):
+            twister.randrange(n_pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, state in zip(batch.column("replicate").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                own = random.Random()
+                own.setstate((3, struct.unpack(f"<{_STATE}I", state), None))
+                for at in range(0, n_pairs, _DRAWS):
+                    drawn = [own.randrange(n_pairs) for _ in range(min(_DRAWS, n_pairs - at))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r] * len(drawn), pa.int64()), pa.array(drawn, pa.int64())], names=["replicate", "idx"])
+
+    return spark.createDataFrame(states, "replicate long, state binary").mapInArrow(run, "replicate long, idx long")
 
 
 def _check_bootstrap(replicates: int, confidence: float) -> None:

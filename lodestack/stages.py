@@ -135,7 +135,7 @@ def retrieve(x: Experiment, make_embedder: Callable[[], Any], run_id: str | None
     queries, qrels = x.frozen(jobs, nodes, manifest)
     folder = x.path(x.config["paths"]["runs_dir"]) / _new_run_id(x, run_id)
     settings.need(not folder.exists(), f"{folder} exists")
-    results = written(retrieval.run_retrieval(nodes, queries, make_embedder, folder.name, x.digest, own["top_k"], own["rrf_k"], own["bm25_k1"], own["bm25_b"]), "results")
+    results = written(retrieval.run_retrieval(nodes, queries, make_embedder, folder.name, x.digest, own["top_k"], own["rrf_k"], own["bm25_k1"], own["bm25_b"], x.config["models"]["dense"]["model_id"]), "results")
     evaluate.require_none(pairs.ranking_errors(results, nodes, own["top_k"]))
     evaluate.evaluate_results(results, qrels, queries, x.config["evaluation"]["top_k"])
     path = folder / "retrieval_results.jsonl"

@@ -1,6 +1,7 @@
 """Operators of rankings and their evaluation on fixtures, and every query that has SQL against DuckDB."""
 
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -211,6 +212,10 @@ def test_bootstrap_against_numpy(spark, make):
 def test_twister_draws_are_pythons(spark):
     first = [r["idx"] for r in evaluate.twister_draws(spark, 80, 100, 20260927).limit(8).collect()]
     assert first == [30, 62, 40, 15, 9, 9, 63, 51]
+    twister = random.Random(5)
+    want = [(r, twister.randrange(33)) for r in range(100) for _ in range(33)]
+    got = evaluate.twister_draws(spark, 33, 100, 5).collect()
+    assert sorted((r["replicate"], r["idx"]) for r in got) == sorted(want) and [tuple(r) for r in got] == want
 
 
 class Overlap:
@@ -244,6 +249,10 @@ def run(spark):
 
 def test_run_is_complete_and_scored(spark, run):
     nodes, queries, qrels, results, reranked = run
+    times = {r["method"]: r for r in results.collect()}
+    own = {m: r["elapsed_ms"] for m, r in times.items()}
+    assert 0 < own["bm25"] and 0 < own["dense"] and own["hybrid"] > own["bm25"] + own["dense"]
+    assert own["dense"] == pytest.approx((times["dense"]["dense_query_encoding_batch_ms"] + times["dense"]["dense_ranking_batch_ms"]) / 16) and min(times["bm25"]["bm25_index_ms"], times["bm25"]["dense_corpus_encoding_ms"]) > 0
     assert results.count() == 3 * 16 and {len(r["ranked_node_ids"]) for r in results.collect()} == {20}
     scores = evaluate.evaluate_results(results, qrels, queries)
     assert [r["method"] for r in scores.limit(3).collect()] == list(evaluate.METHODS)
