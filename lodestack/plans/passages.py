@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import TERM
+from lodestack.functions.text import STOP_WORDS, TERM
 from lodestack.operators import chunks, evaluate, evidence
 from lodestack.plans.tables import table
-from lodestack.plans.texts import chunk_ctes
+from lodestack.plans.texts import LIST, WORDS, chunk_ctes
 from lodestack.sources.settings import load_heading_types
 
 
@@ -60,8 +60,10 @@ def evidence_counts(spark, sf_dir):
 
 
 def evidence_candidates(spark, sf_dir):
+    """Candidates, with their lists as texts."""
     jobs = _jobs(spark, sf_dir)
-    return evidence.evidence_candidates(jobs, evidence.evidence_rows(jobs, _nodes(spark, sf_dir)))
+    found = evidence.evidence_candidates(jobs, evidence.evidence_rows(jobs, _nodes(spark, sf_dir)))
+    return found.withColumns({c: F.array_join(c, " ") for c in ("evidence_node_ids", "distinctive_terms")})
 
 
 QUERIES = (chunk_ranges, chunk_ranges_apart, passages, enclosing_passages, span_lines, evidence_gates, evidence_counts, evidence_candidates)
@@ -84,7 +86,47 @@ _LOCAL = f"""gates AS (SELECT doc_id, start, span, CASE WHEN length(span) NOT BE
   WHEN (length(text) - length(replace(text, span, ''))) // length(span) <> 1 THEN 'ambiguous_or_duplicate_source_text' END AS reason FROM spans),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(span, '\\s+', ' ', 'g')), reason IS NULL ORDER BY start) AS place FROM gates)"""
 
+_TITLES = "coalesce(text, '') AS text, coalesce(lang, 'none') AS job_family, source AS company, source AS title FROM documents"
+_HEAD = "trim(regexp_replace(line, '\\r+$', ''), ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+#: Sections open at lines that end in a colon or are in capitals (the tables hold no known heading and no Markdown); each is cut into passages for itself.
+_PASSAGES = f"""texts AS (SELECT doc_id::VARCHAR AS doc_id, {_TITLES}),
+text_rows AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM texts),
+at_lines AS (SELECT doc_id, {_HEAD} AS head, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS pos FROM text_rows),
+counted AS (SELECT *, len(regexp_extract_all(head, '{WORDS}')) AS words FROM at_lines WHERE length(head) BETWEEN 1 AND 120 AND NOT regexp_matches(line, '^\\s*(?:[-*•][ \\t]+|\\d+[.)][ \\t]+)')),
+heads AS (SELECT doc_id, pos, head FROM counted WHERE words > 0 AND NOT contains(head, '://') AND (
+  (right(head, 1) = ':' AND length(head) <= 100 AND words <= 12)
+  OR (regexp_matches(head, '\\p{{Lu}}') AND NOT regexp_matches(head, '\\p{{Ll}}') AND right(head, 1) <> '.' AND length(head) <= 80 AND words BETWEEN 2 AND 10 AND length(regexp_replace(head, '\\P{{L}}', '', 'g')) >= 4))),
+opened AS (SELECT doc_id, pos, head, 'unmapped' AS kind, 1 AS n FROM heads UNION ALL SELECT doc_id, 0, NULL, 'unsectioned', 0 FROM texts),
+sections AS (SELECT o.doc_id, o.pos, o.head, o.kind, coalesce(lead(o.pos) OVER (PARTITION BY o.doc_id ORDER BY o.pos, o.n), length(t.text)) AS stop, t.text FROM opened o JOIN texts t ON o.doc_id = t.doc_id),
+keyed AS (SELECT doc_id AS job_id, doc_id || ':' || pos AS key, pos, head, kind, substr(text, pos + 1, stop - pos) AS body FROM sections WHERE stop > pos),
+{chunk_ctes(1000, 100, "SELECT key AS doc_id, body AS text FROM keyed")},
+nodes AS (SELECT sha256('["{chunks.NODE_VERSION}",' || to_json(job_id) || ',' || pos + start || ',' || pos + "end" || ',' || to_json(substr(body, start + 1, "end" - start)) || ']') AS node_id, job_id, head AS section_heading, kind AS canonical_section,
+  chunk_index, pos + start AS start_offset, pos + "end" AS end_offset, substr(body, start + 1, "end" - start) AS content_text FROM chunks JOIN keyed ON key = doc_id)"""
+#: Of the spans that the text's own gates leave open: passages around them, terms of the corpus, and repeats.
+_JUDGED = f"""own AS (SELECT doc_id, start, span, {_WORDS} AS words, CASE WHEN reason IS NULL AND place > 1 THEN 'ambiguous_or_duplicate_source_text' ELSE reason END AS reason FROM firsts),
+open_spans AS (SELECT doc_id, start, start + length(span) AS stop, span, words FROM own WHERE reason IS NULL),
+around AS (SELECT o.doc_id, o.start, list_sort(list(n.node_id)) AS ids, arg_min(n.canonical_section, struct_pack(a := start_offset, b := end_offset, c := canonical_section)) AS section,
+  arg_min(coalesce(n.section_heading, ''), struct_pack(a := start_offset, b := end_offset, c := canonical_section)) AS heading
+  FROM open_spans o JOIN nodes n ON n.job_id = o.doc_id AND n.start_offset <= o.start AND n.end_offset >= o.stop GROUP BY ALL),
+terms AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{TERM}'), lambda x: lower(x)), lambda x: length(x) >= 3 AND NOT list_contains({LIST(STOP_WORDS)}, x))) AS own FROM texts),
+frequent AS (SELECT term FROM (SELECT unnest(own) AS term FROM terms) GROUP BY term HAVING count(*) / (SELECT count(*) FROM texts) > 0.35),
+told AS (SELECT doc_id, start, list_distinct(list_filter(list_transform(regexp_extract_all(span, '{TERM}'), lambda x: lower(x)), lambda x: length(x) >= 3 AND NOT list_contains({LIST(STOP_WORDS)}, x))) AS said FROM open_spans),
+rare AS (SELECT doc_id, start, list_sort(list_filter(said, lambda x: NOT list_contains(common, x))) AS terms FROM told, (SELECT coalesce(list(term), []) AS common FROM frequent)),
+held AS (SELECT o.*, coalesce(a.ids, []) AS ids, coalesce(a.section, 'unsectioned') AS section, coalesce(a.heading, '') AS heading, r.terms, lower(trim(regexp_replace(span, '\\s+', ' ', 'g'))) AS alike
+  FROM open_spans o JOIN rare r ON o.doc_id = r.doc_id AND o.start = r.start LEFT JOIN around a ON o.doc_id = a.doc_id AND o.start = a.start),
+later AS (SELECT *, CASE WHEN len(ids) = 0 THEN 'no_complete_node' WHEN section IN ('about_company', 'benefits', 'additional_information') OR (section IN ('unsectioned', 'unmapped') AND regexp_matches(heading, '{evidence.OTHER_HEADING}')) THEN 'non_role_section'
+  WHEN len(terms) = 0 AND NOT regexp_matches(span, '{evidence.STATED_NUMBER}') THEN 'generic_corpus_vocabulary' END AS why FROM held),
+final AS (SELECT *, coalesce(why, CASE WHEN count(*) FILTER (why IS NULL) OVER (PARTITION BY alike) > 3 THEN 'repeated_across_jobs' END) AS reason FROM later)"""
+_EVIDENCE = f"{_WITH.replace('WITH jobs', 'WITH RECURSIVE jobs', 1)}, {_LOCAL}, {_PASSAGES}, {_JUDGED}"
+
 SQL = {
+    "passages": f"""WITH RECURSIVE {_PASSAGES} SELECT node_id, job_id, job_family, company, title, section_heading, canonical_section, chunk_index, start_offset, end_offset, content_text,
+  CASE WHEN section_heading IS NULL THEN content_text ELSE 'Section: ' || section_heading || chr(10) || content_text END AS retrieval_text FROM nodes JOIN texts ON job_id = doc_id""",
+    "evidence_counts": f"""{_EVIDENCE} SELECT outcome, count(*) AS spans FROM (SELECT 'rejected_' || reason AS outcome FROM own WHERE reason IS NOT NULL UNION ALL SELECT coalesce('rejected_' || reason, 'accepted_candidates') FROM final) GROUP BY outcome""",
+    "evidence_candidates": f"""{_EVIDENCE} SELECT substr(sha256(f.doc_id || chr(31) || start || chr(31) || stop || chr(31) || span), 1, 20) AS candidate_id, f.doc_id AS source_job_id, job_family AS source_job_family, span AS evidence_text,
+  start AS evidence_start, stop AS evidence_end, array_to_string(ids, ' ') AS evidence_node_ids, nullif(heading, '') AS section_heading, section AS canonical_section, array_to_string(terms, ' ') AS distinctive_terms,
+  round(len(terms) / greatest(sqrt(words), 1) + CASE WHEN regexp_matches(span, '{evidence.ANY_NUMBER}') THEN 1 ELSE 0 END + CASE WHEN section IN ('qualifications', 'responsibilities') THEN 0.5 ELSE 0 END, 3) AS distinctiveness_score
+  FROM final f JOIN texts t ON f.doc_id = t.doc_id WHERE reason IS NULL""",
     "chunk_ranges": f"""WITH RECURSIVE {chunk_ctes(1000, 100)} SELECT doc_id, chunk_index, start, "end", md5(substr(text, start + 1, "end" - start)) AS content_md5 FROM chunks JOIN source USING (doc_id)""",
     "chunk_ranges_apart": f"""WITH RECURSIVE {chunk_ctes(300, 0)} SELECT doc_id, chunk_index, start, "end" FROM chunks""",
     "enclosing_passages": f"""WITH RECURSIVE links AS (SELECT b.item_id AS query, d.doc_id, (strpos(d.text, b.text) - 1)::BIGINT AS start, (strpos(d.text, b.text) - 1 + length(b.text))::BIGINT AS "end" FROM documents d JOIN benchmark b ON contains(d.text, b.text)),

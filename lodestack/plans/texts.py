@@ -109,9 +109,9 @@ QUERIES = (
 )
 
 _TOKENS = sql_tokens("text")
-_LIST = lambda words: "string_split('" + " ".join(words) + "', ' ')"
+LIST = lambda words: "string_split('" + " ".join(words) + "', ' ')"
 _LINE = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
-_WORD = f"{SQL_LETTER}+(?:[’''-]{SQL_LETTER}+)*"
+WORDS = f"{SQL_LETTER}+(?:[’''-]{SQL_LETTER}+)*"
 
 
 def chunk_ctes(size: int, overlap: int, source: str = "SELECT doc_id, coalesce(text, '') AS text FROM documents") -> str:
@@ -141,10 +141,10 @@ SQL = {
     "doc_length_stats": f"SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, max(n)::BIGINT AS longest, round(avg(n), 6) AS mean_length FROM (SELECT len({_TOKENS}) AS n FROM documents)",
     "evidence_terms_df": f"""SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, lower(term) AS term FROM
   (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{TERM}')) AS term FROM documents) WHERE length(term) >= 3)
-  WHERE NOT list_contains({_LIST(STOP_WORDS)}, term) GROUP BY term""",
-    "text_measures": rf"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS words,
+  WHERE NOT list_contains({LIST(STOP_WORDS)}, term) GROUP BY term""",
+    "text_measures": rf"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS words,
   len(list_distinct({sql_numbers("coalesce(text, '')")})) AS numbers,
-  len(list_filter(list_distinct({_TOKENS}), lambda x: NOT list_contains({_LIST(QUESTION_STOP_WORDS)}, x))) AS terms,
+  len(list_filter(list_distinct({_TOKENS}), lambda x: NOT list_contains({LIST(QUESTION_STOP_WORDS)}, x))) AS terms,
   CASE WHEN length({_LINE}) <= 60 THEN {_LINE} ELSE rtrim(substr({_LINE}, 1, 59)) || '…' END AS short,
   length(nullif(CASE WHEN text IS NULL THEN NULL ELSE {_LINE} END, '')) AS line_chars FROM documents""",
     "phrase_hits": f"""SELECT doc_id, regexp_matches(text, '(?i){SQL_BEFORE}' || w || '{SQL_AFTER}') AS has, regexp_matches(reverse(text), '(?i){SQL_BEFORE}' || w || '{SQL_AFTER}') AS has_reversed
