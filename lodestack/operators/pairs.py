@@ -1,23 +1,23 @@
 """Checks of question pairs and of a whole benchmark.
 
 A pair is two questions for one piece of evidence: one that shares words with it, and one
-that says the same in others. Pairs are few and their checks want Python's letter classes
-and case folding, so a pair is checked in Python, inside Arrow batches; the checks of
-tables against each other are joins and aggregates that give rows (scope, key, error)."""
+that says the same in others. Tables of pairs are checked by expressions (``pair_error_column``);
+``pair_errors`` is the same for one pair that a generator has just made. The checks of tables
+against each other are joins and aggregates that give rows (scope, key, error)."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from functools import reduce
 from typing import Any
 from urllib.parse import urlsplit
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import NUMBER, QUESTION_STOP_WORDS, TOKEN
+from lodestack.functions.text import NUMBER, QUESTION_STOP_WORDS, SPACES, TOKEN, lexical_terms, numbers, one_line
+from lodestack.functions.text import has_phrase as phrase_in
 from lodestack.operators.evaluate import KINDS, enclosing, require_none
 
 #: Flags that a judge must set, fields that both questions share, and limits.
@@ -31,6 +31,7 @@ QUERY_CHARS, ANCHOR_CHARS, ANCHOR_WORDS, COMPANY_CHARS = (20, 320), (3, 80), 3,
 LINK = re.compile(r"(?:https?://|www\.|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s]+)", re.I)
 LEGAL_WORDS = frozenset("inc llc ltd limited corp corporation company group gmbh ag plc co the".split())
 RANKS = re.compile(r"(?:(?:senior|sr|junior|jr|principal|staff|lead|associate|mid.level|entry.level)\s+)+", re.I)
+HOST = r"\A(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?\[?((?<=\[)[^\]/?#]*|[^/?#:@\[\]]*)"
 GRADE = re.compile(r"\s+(?:I|II|III|IV|V)$")
 _TOKEN, _NUMBER = re.compile(TOKEN.replace("(?iU)", ""), re.I), re.compile(NUMBER.replace("(?U)", ""))
 
@@ -44,7 +45,7 @@ def has_phrase(text: str, phrase: str) -> bool:
     return bare != "" and re.search(rf"(?<!\w){re.escape(bare)}(?!\w)", text, re.I) is not None
 
 
-def lexical_terms(text: str) -> set[str]:
+def _terms(text: str) -> set[str]:
     return {t.casefold() for t in _TOKEN.findall(text)}.difference(QUESTION_STOP_WORDS)
 
 
@@ -78,8 +79,8 @@ def pair_errors(pair: Mapping[str, Any], evidence: str, job: Mapping[str, Any])
     if not all(isinstance(p, str) and p.strip() for p in parts):
         return ["missing_or_non_string_query_or_anchor"]
     high, low, anchor = (p.strip() for p in parts)
-    terms, asked, flat = lexical_terms(evidence), {"high": high, "low": low}, _flat(evidence).strip()
-    shared = {side: len(lexical_terms(q) & terms) for side, q in asked.items()}
+    terms, asked, flat = _terms(evidence), {"high": high, "low": low}, _flat(evidence).strip()
+    shared = {side: len(_terms(q) & terms) for side, q in asked.items()}
     fits = ANCHOR_CHARS[0] <= len(anchor) <= ANCHOR_CHARS[1] and len(anchor.split()) <= ANCHOR_WORDS
     checks = [
         ("query_length", not all(QUERY_CHARS[0] <= len(q) <= QUERY_CHARS[1] for q in asked.values())),
@@ -105,18 +106,67 @@ def semantic_errors(assessment: Mapping[str, Any]) -> list[str]:
 JOB_FIELDS = ("company", "title", "id", "source_job_id", "url")
 
 
-def pair_error_column(high: Column, low: Column, anchor: Column, evidence: Column, job: Mapping[str, Column]) -> Column:
-    """``pair_errors`` as an array of texts; ``job`` gives columns for some of JOB_FIELDS."""
-    names = [n for n in JOB_FIELDS if n in job]
+def _is(text: Column) -> Column:
+    """``text`` without white space at its ends, as Python strips it; null is empty."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\A(?U:[\s\x1c-\x1f])+|(?U:[\s\x1c-\x1f])+\z", "")
+
+
+def folded(text: Column) -> Column:
+    """``text`` without regard to case: lower case of its upper case, which spells out letters that have no other, and one small sigma.
+
+    The step between the two keeps the optimizer from dropping the first."""
+    return F.translate(F.lower(F.translate(F.upper(text), "\u03c2", "\u03c3")), "\u03c2", "\u03c3")
+
+
+def title_core_column(title: Column) -> Column:
+    """``title_core`` as an expression."""
+    ranked = F.regexp_replace(title, rf"\A(?iU:{RANKS.pattern})", "")
+    return F.regexp_replace(_is(F.regexp_extract(ranked, r"\A[^,]*", 0)), r"(?U:\s)+(?:I|II|III|IV|V)\z", "")
+
 
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for arrays in batches:
-            rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-            made = [pair_errors({"high_query": h, "low_query": w, "anchor_term": a}, e or "", dict(zip(names, j, strict=True))) for h, w, a, e, *j in rows]
-            yield pa.array(made, pa.list_(pa.string()))
+def company_words_column(company: Column) -> Column:
+    """``company_words`` as an expression."""
+    words = F.regexp_extract_all(company, F.lit(r"[A-Za-z][A-Za-z0-9-]*"), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) >= COMPANY_CHARS) & ~F.lower(w).isin(*sorted(LEGAL_WORDS)))
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<string>")(*(c.cast("string") for c in (high, low, anchor, evidence, *(job[n] for n in names))))
+
+def leak_columns(query: Column, job: Mapping[str, Column]) -> dict[str, Column]:
+    """``source_leaks`` as conditions, by name."""
+    value = {k: F.coalesce(job[k].cast("string"), F.lit("")) if k in job else F.lit("") for k in JOB_FIELDS}
+    core = title_core_column(value["title"])
+    found = {k: phrase_in(query, value[k]) for k in ("company", "id", "source_job_id", "title")}
+    found["company"] = found["company"] | F.exists(company_words_column(value["company"]), lambda w: phrase_in(query, w))
+    found["title"] = found["title"] | ((folded(core) != folded(value["title"])) & phrase_in(query, core))
+    host = F.lower(F.regexp_extract(value["url"], HOST, 1))
+    literal = F.concat(F.lit(r"(?iU)(?<![\w.])\Q"), host, F.lit(r"\E(?![\w.])"))
+    found["url"] = query.rlike(f"(?iU){LINK.pattern}") | ((host != "") & F.regexp(query, literal)) | ((value["url"] != "") & F.contains(folded(query), folded(value["url"])))
+    return found
+
+
+def pair_error_column(high: Column, low: Column, anchor: Column, evidence: Column, job: Mapping[str, Column]) -> Column:
+    """``pair_errors`` as an array of texts, in the same order; ``job`` gives columns for some of JOB_FIELDS. Expressions only."""
+    asked, said = {"high": _is(high), "low": _is(low)}, F.coalesce(evidence.cast("string"), F.lit(""))
+    anchor = _is(anchor)
+    terms, flat = lexical_terms(said), folded(one_line(said))
+    shared = {side: F.size(F.array_intersect(lexical_terms(q), terms)) for side, q in asked.items()}
+    fits = F.length(anchor).between(*ANCHOR_CHARS) & (F.size(F.split(anchor, SPACES)) <= ANCHOR_WORDS)
+    checks: list[tuple[Column, Column]] = [
+        (F.lit("query_length"), ~(F.length(asked["high"]).between(*QUERY_CHARS) & F.length(asked["low"]).between(*QUERY_CHARS))),
+        (F.lit("identical_questions"), folded(asked["high"]) == folded(asked["low"])),
+        (F.lit("anchor_absent_or_invalid"), ~fits | ~phrase_in(said, anchor)),
+        (F.lit("high_missing_anchor"), ~phrase_in(asked["high"], anchor)),
+        (F.lit("low_repeats_anchor"), phrase_in(asked["low"], anchor)),
+        (F.lit("low_not_lower_lexical_overlap"), shared["high"] <= shared["low"]),
+    ]
+    for side, query in asked.items():
+        lost = F.array_join(F.array_sort(F.array_except(numbers(said), numbers(query))), ",")
+        checks.append((F.lit(f"{side}_not_question"), ~F.endswith(query, F.lit("?"))))
+        checks.append((F.lit(f"{side}_copies_whole_evidence"), (flat != "") & F.contains(folded(one_line(query)), flat)))
+        checks += [(F.lit(f"{side}_leaks_{name}"), wrong) for name, wrong in sorted(leak_columns(query, job).items())]
+        checks.append((F.concat(F.lit(f"{side}_drops_numeric_constraint:"), lost), lost != ""))
+    missing = (asked["high"] == "") | (asked["low"] == "") | (anchor == "")
+    found = F.filter(F.array(*(F.when(wrong, name) for name, wrong in checks)), lambda e: e.isNotNull())
+    return F.when(missing, F.array(F.lit("missing_or_non_string_query_or_anchor"))).otherwise(found)
 
 
 def _rows(df: DataFrame, scope: str, key: Column, checks: Mapping[str, Column]) -> DataFrame:

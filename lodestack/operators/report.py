@@ -38,10 +38,7 @@ RENAMED = {
     "low": "ci_lower", "high": "ci_upper", "kind": "query_type", "covered": "source_evidence_in_candidates", "coverage": "source_evidence_candidate_coverage",
 } | SHOWN
 RENAMED_IN = {"method_drop_differences": {"difference": "drop_difference"}, "paired_differences": {"method_a": "new_method", "method_b": "baseline"}, "candidate_coverage": {"method": "candidate_source"}}
-JUDGMENT = (
-    "A method is counted as a source-evidence miss when none of its Top-5 node IDs belong to the frozen source evidence ID set. "
-    "Other retrieved JDs may be relevant but are not labeled by this benchmark."
-)
+JUDGMENT = "A miss: no passage that holds the question's own evidence is among the first five. Passages of other sources may answer it all the same; nobody has labeled them."
 LIMIT = "Only the originating evidence of a question is labeled: these numbers are neither recall nor precision nor answer quality."
 EXCERPT = 180
 

@@ -1,8 +1,7 @@
 """All queries over the test tables, and the same in DuckDB SQL where it can say them.
 
-Without SQL: markup (``clean_html``, ``html_sections``, ``structure_stats``) and
-bounded by headings with what follows from them (``passages``, ``evidence_counts``,
-``evidence_candidates``); tests hold those against fixtures."""
+Without SQL: markup (``clean_html``, ``html_sections``, ``structure_stats``) and the blocks
+that a ranking opens (``bm25_blocks``); tests hold those against fixtures."""
 
 from __future__ import annotations
 

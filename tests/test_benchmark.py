@@ -1,6 +1,7 @@
 """Question pairs, benchmarks, stored files, settings and reports."""
 
 import json
+import random
 import shutil
 import subprocess
 import sys
@@ -35,6 +36,23 @@ def test_pair_errors(spark, change, want):
     assert df.select(pairs.pair_error_column(F.col("h"), F.col("l"), F.col("a"), F.col("e"), {k: F.lit(v) for k, v in JOB.items()})).first()[0] == want
 
 
+def test_expressions_say_what_the_loop_says(spark):
+    """Pairs, evidence and sources of all kinds of parts, checked both ways."""
+    rng = random.Random(9)
+    bits = ["5", "3.5", "1,700", "Python", "STRASSE", "straße", "ΣΊΣΥΦΟΣ", "σίσυφος", "AWS", "aws?", "c++", "C#", "acme", "Analytics", "the", "data engineer", "Data Engineer II", "jobs.example.org", "www.x.y", "https://jobs.example.org/42", "a.b/c", "gh-42", "j1", "é", " ", "\t", "\u2003", "日本", "İstanbul", "node.js", "?", "(", "\\E", ".", "Müller"]
+    text = lambda n: None if rng.random() < 0.03 else " ".join(rng.choices(bits, k=rng.randrange(0, n))) + rng.choice(["", "?", "? ", ".", " ?"])
+    urls = ["https://jobs.example.org/42", "http://u:p@Jobs.Example.org:80/x?y", "//host.z", "no url", "", None, "https://[::1]:80/x", "mailto:x@y.z"]
+    titles = ["Senior Data Engineer II, Berlin", "sr. Principal AWS", "Lead  Staff Python III", "data engineer", "the", "", None, "Mid-level Müller V", "Senior"]
+    companies = ["Acme Analytics GmbH", "The AWS Company", "Müller", "a", "", None, "Example.org-jobs Inc"]
+    rows = [(k, text(9), text(9), rng.choice([*bits, "aws c++ the", "a b c d", None]), text(12), rng.choice(companies), rng.choice(titles), rng.choice(["j1", "", None]), rng.choice(["gh-42", "c++", None]), rng.choice(urls)) for k in range(1500)]
+    names = ["company", "title", "id", "source_job_id", "url"]
+    df = spark.createDataFrame(rows, "k long, h string, l string, a string, e string, " + ", ".join(f"{n} string" for n in names))
+    got = dict(df.select("k", pairs.pair_error_column(F.col("h"), F.col("l"), F.col("a"), F.col("e"), {n: F.col(n) for n in names})).collect())
+    for k, h, w, a, e, *job in rows:
+        want = pairs.pair_errors({"high_query": h, "low_query": w, "anchor_term": a}, e or "", dict(zip(names, job, strict=True)))
+        assert got[k] == want, (h, w, a, e, job)
+
+
 class Scripted:
     """Anchors on a word of the evidence. Its first answer about some evidence cannot be read; of some it accepts none."""
 
