@@ -11,9 +11,11 @@ import random
 import struct
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestack.operators.numbering import numbered
 
@@ -31,6 +33,8 @@ _STATE, _DRAWS = 625, 10_000
 ANCHOR = 3
 #: Items up to this number are broadcast; beyond, joined by a shuffle.
 BROADCAST_ITEMS = 200_000
+#: Short items that one machine looks for; more are dealt to several passes.
+SHORT_ITEMS = 50_000
 
 
 def _window_hashes(starts: Column, size: int) -> Column:
@@ -43,8 +47,8 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
     An item's inner words are whole words of any text that contains it, so an equi-join on
     the hash of up to three of them finds the candidates and ``contains`` decides. Windows of
     a text that no item asks for are dropped before anything is shuffled, as far as the items
-    may be broadcast. Items of one or two words have no inner word: they are a stated set of
-    queries, compared with all rows."""
+    may be broadcast. Items of one or two words have no inner word; they are looked for together,
+    by one machine that reads every text once, ``SHORT_ITEMS`` at a time."""
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_id).alias("query"), F.col(item_text).alias("item")).where("item IS NOT NULL")
     asked = asked.withColumn("words", F.split("item", r"\s+")).withColumn("inner", F.least(F.size("words") - 2, F.lit(ANCHOR)))
@@ -59,11 +63,42 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
         candidates = windows.join(F.broadcast(anchored) if sizes[size] <= BROADCAST_ITEMS else anchored, "anchor").select("node", "query", "item")
         some = candidates.join(texts, "node").where(F.contains("text", "item")).select("query", "node")
         found = some if found is None else found.union(some)
-    bare = asked.where("inner <= 0").select("query", "item")
-    few = texts.join(bare, F.contains(F.col("text"), F.col("item"))).select("query", "node")
-    if not any(n <= 0 for n in sizes):
-        few = few.limit(0)
-    return (few if found is None else found.union(few)).distinct()
+    n_short = sum(n for inner, n in sizes.items() if inner <= 0)
+    for part in range(-(-n_short // SHORT_ITEMS)):
+        own = F.pmod(F.xxhash64("item"), F.lit(-(-n_short // SHORT_ITEMS))) == part
+        some = short_links(texts, asked.where("inner <= 0").where(own).select("query", "item"))
+        found = some if found is None else found.union(some)
+    if found is None:
+        return texts.select(F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "node").limit(0)
+    return found.distinct()
+
+
+def short_links(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, node): every text (node, text) with the items (query, item) that it contains, all found in one pass over the text.
+
+    Equal items are one entry of the machine. The empty item is in every text; null texts contain nothing."""
+    kinds = {"query": items.schema["query"].dataType.simpleString(), "node": texts.schema["node"].dataType.simpleString()}
+    grouped = [(r["item"], r["queries"]) for r in items.groupBy("item").agg(F.collect_list("query").alias("queries")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, always = ahocorasick.Automaton(), []
+        for k, (item, queries) in enumerate(grouped):
+            if item:
+                machine.add_word(item, k)
+            else:
+                always = queries
+        machine.make_automaton()
+        for batch in batches:
+            made: tuple[list, list] = ([], [])
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                hits = {k for _, k in machine.iter(text)} if len(machine) else ()
+                queries = [*always, *(q for k in hits for q in grouped[k][1])]
+                made[0].extend(queries)
+                made[1].extend([row] * len(queries))
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], kind), batch.column("node").take(pa.array(made[1], pa.int64()))], names=["query", "node"])
+
+    kind = to_arrow_type(items.schema["query"].dataType)
+    return texts.where("text IS NOT NULL").select("node", "text").mapInArrow(run, f"query {kinds['query']}, node {kinds['node']}")
 
 
 def enclosing_pairs(spans: DataFrame, nodes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -160,6 +160,20 @@ def test_containment_of_short_and_long_items(spark):
     assert evaluate.containment_qrels(docs, asked.limit(0), "d", "t", "i", "t").count() == 0
 
 
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_short_items_against_every_text(spark, monkeypatch, most):
+    monkeypatch.setattr(evaluate, "SHORT_ITEMS", most)
+    rng = random.Random(1)
+    parts = ["ab", "b", "cé", "日本", "a", " ", "\n", "x y"]
+    texts = [(k, None if k == 3 else "".join(rng.choices(parts, k=rng.randrange(0, 12)))) for k in range(60)]
+    items = [(f"q{k}", "".join(rng.choices(parts, k=rng.randrange(0, 4)))) for k in range(80)] + [("none", None), ("same", "ab"), ("same", "ab")]
+    found = evaluate.containment_qrels(spark.createDataFrame(texts, "id long, t string").repartition(3), spark.createDataFrame(items, "q string, t string"), "id", "t", "q", "t")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted({(q, k) for q, i in items for k, t in texts if None not in (i, t) and i in t})
+    nothing = spark.createDataFrame([], "q string, t string")
+    assert evaluate.containment_qrels(spark.createDataFrame(texts, "id long, t string"), nothing, "id", "t", "q", "t").collect() == []
+
+
 def test_score_rankings(spark):
     ranked = spark.createDataFrame([("m", 1, n, k + 1) for k, n in enumerate(["x", "y", "g1", "z", "g2"])] + [("m", 2, "x", 1), ("m", 2, "g1", 6)], "method string, query long, node string, rank long")
     gold = spark.createDataFrame([(1, "g1"), (1, "g2"), (2, "g1")], "query long, node string")
