@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import count, groupby, repeat
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -57,50 +59,58 @@ class _Visible(HTMLParser):
             self.said(data)
 
 
-class _Lines(_Visible):
-    """Visible lines: headings with their marks, list items indented and marked or numbered."""
+#: What a tag does to lines when it opens and when it closes: an event and its value.
+_OPENING = {tag: ("break", 0) for tag in LINE_TAGS} | {f"h{k}": ("heading", k) for k in range(1, 7)} | {"ul": ("list", 0), "ol": ("list", 1), "li": ("item", 0)}
+_CLOSING = {tag: ("break", 0) for tag in (*(LINE_TAGS - {"br"}), "li")} | {"ul": ("end", 0), "ol": ("end", 0)}
+
+
+class _Events(_Visible):
+    """The events of markup in their order: (text, what is said), or one that ends a line."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.lines: list[str] = []
-        self.counters: list[int | None] = []  # of the open lists; None where items are not numbered
-        self.mark, self.text = "", ""
+        self.events: list[tuple[str, Any]] = []
 
     def hiding(self) -> None:
-        text, mark = one_line(self.text), self.mark
-        self.mark, self.text = "", ""
-        if text:
-            self.lines.append(mark + text)
+        self.events.append(("break", 0))
 
     def opened(self, tag: str) -> None:
-        if tag in LINE_TAGS or tag in ("ul", "ol", "li"):
-            self.hiding()
-        if _HEADING_TAG.fullmatch(tag):
-            self.mark = "#" * int(tag[1]) + " "
-        elif tag in ("ul", "ol"):
-            self.counters.append(0 if tag == "ol" else None)
-        elif tag == "li":
-            self.mark = "- "
-            if self.counters and self.counters[-1] is not None:
-                self.counters[-1] += 1
-                self.mark = f"{self.counters[-1]}. "
-            self.mark = "  " * (len(self.counters) - 1) + self.mark
+        self.events.extend(filter(None, [_OPENING.get(tag)]))
 
     def closed(self, tag: str) -> None:
-        if tag in ("ul", "ol"):
-            self.hiding()
-            del self.counters[-1:]
-        elif tag == "li" or tag in LINE_TAGS and tag != "br":
-            self.hiding()
+        self.events.extend(filter(None, [_CLOSING.get(tag)]))
 
     def said(self, data: str) -> None:
-        self.text += data
-
-    def result(self, markup: str) -> str:
-        self.feed(markup)
-        self.close()
-        self.hiding()
-        return "\n".join(self.lines)
+        self.events.append(("text", data))
+
+
+def readable_lines(events: Iterable[tuple[str, Any]]) -> Iterator[str]:
+    """Lines folded from events: each has the mark of the event that it follows, list items by the lists that are open."""
+    lists: list[Iterator[int | None]] = []
+    mark = ""
+    for is_text, group in groupby(events, key=lambda event: event[0] == "text"):
+        if is_text:
+            if line := one_line("".join(value for _, value in group)):
+                yield mark + line
+            continue
+        for kind, value in group:
+            mark = ""
+            if kind == "heading":
+                mark = "#" * value + " "
+            elif kind == "list":
+                lists.append(count(1) if value else repeat(None))
+            elif kind == "end":
+                del lists[-1:]
+            elif kind == "item":
+                number = next(lists[-1]) if lists else None
+                mark = "  " * (len(lists) - 1) + ("- " if number is None else f"{number}. ")
+
+
+def _lines(markup: str) -> str:
+    parser = _Events()
+    parser.feed(markup)
+    parser.close()
+    return "\n".join(readable_lines(parser.events))
 
 
 def plain_text(text: str) -> str:
@@ -115,9 +125,9 @@ def clean(text: str | None) -> str:
         return ""
     once = text if _TAG.search(text) else html.unescape(text)
     if _TAG.search(once):
-        return _Lines().result(once)
+        return _lines(once)
     if _ESCAPED_TAG.search(once):
-        return _Lines().result(html.unescape(once))
+        return _lines(html.unescape(once))
     return plain_text(once)
 
 
