@@ -1,19 +1,23 @@
-"""Failure cases and the files of a report. The tables that are shown are small; they are rendered on the driver."""
+"""Failure cases and the files of a report. What grows with pairs or queries is rendered by tasks, the rest on the driver."""
 
 from __future__ import annotations
 
+import csv
+import io
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import short_text
 from lodestack.operators.evaluate import KINDS, METHODS, evaluate_results, require_none
 from lodestack.operators.pairs import ranking_errors
-from lodestack.sources.files import write_bytes, write_csv, write_json
+from lodestack.sources.files import write_bytes, write_csv, write_json, write_lines
+from lodestack.storage import written
 
 #: Names and columns of the files, the names of metrics there, and sentences.
 SHOWN = {"high_hit": "high_source_evidence_hit_at_5", "low_hit": "low_source_evidence_hit_at_5", "hit_drop": "hit_drop", "high_rr": "high_source_evidence_mrr_at_5", "low_rr": "low_source_evidence_mrr_at_5", "rr_drop": "mrr_drop"}
@@ -112,37 +116,94 @@ def render_summary(title: str, main: Sequence[Mapping[str, Any]], notes: Sequenc
     return "\n\n".join([f"# {title}", "\n".join(rows), *notes]) + "\n"
 
 
+def _named(name: str, table: DataFrame, extra: Mapping[str, Any]) -> tuple[DataFrame, Callable[[dict[str, Any]], dict[str, Any]]]:
+    """A table in order, and how its rows are shown: under the names of files, with ``extra``."""
+    again, more = RENAMED | RENAMED_IN.get(name, {}), dict(extra)
+    first = [c for c, kind in table.dtypes if kind == "string"]
+    ordered = table.orderBy(*first, *(c for c in table.columns if c not in first))
+    return ordered, lambda row: {again.get(k, k): SHOWN.get(v, v) if k == "metric" else v for k, v in row.items()} | more
+
+
 def _collected(tables: Mapping[str, DataFrame], extra: Mapping[str, Any]) -> dict[str, list[dict[str, Any]]]:
-    """The small tables of an analysis under the names that files show, in order."""
+    """The tables of an analysis that have a row for each method, metric or family."""
     out = {}
     for name, table in tables.items():
-        rows = table.orderBy(*(c for c, kind in table.dtypes if kind == "string")).collect()
-        again = RENAMED | RENAMED_IN.get(name, {})
-        out[name] = [{again.get(k, k): SHOWN.get(v, v) if k == "metric" else v for k, v in r.asDict().items()} | dict(extra) for r in rows]
+        rows, shown = _named(name, table, extra)
+        out[name] = [shown(r.asDict()) for r in rows.collect()]
     return out
 
 
+def _rendered(rows: DataFrame, render: Callable[[dict[str, Any]], str]) -> DataFrame:
+    """(value): the rows as texts, made where they lie and in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([render(r) for r in batch.to_pylist()], pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
+
+
+def _csv_row(columns: Sequence[str], values: Mapping[str, Any]) -> str:
+    """A row without its line feed."""
+    out = io.StringIO(newline="")
+    csv.DictWriter(out, columns, extrasaction="ignore").writerow(values)
+    return out.getvalue().removesuffix("\n")
+
+
+def _json_row(values: Mapping[str, Any], last: bool) -> str:
+    """A row as an item of a list that is a field of an object."""
+    return "\n".join("    " + line for line in json.dumps(values, indent=2, sort_keys=True, ensure_ascii=False).split("\n")) + ("" if last else ",")
+
+
+def _write_analysis(path: Path, about: Mapping[str, Any], name: str, rows: DataFrame, shown: Callable[[dict[str, Any]], dict[str, Any]]) -> Path:
+    """``about`` as JSON, with the list ``name`` of all ``rows``, which may be many."""
+    mark = f"@{name}@"
+    head, tail = (json.dumps({**about, name: mark}, indent=2, sort_keys=True, ensure_ascii=False) + "\n").split(json.dumps(mark))
+    first = [c for c, kind in rows.dtypes if kind == "string"]
+    order = [*first, *(c for c in rows.columns if c not in first)]
+    end = rows.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    if end is None:
+        return write_bytes(path, f"{head}[]{tail}".encode(), overwrite=True)
+    is_last = F.lit(True)
+    for c in order:
+        is_last = is_last & F.col(c).eqNullSafe(F.lit(end[c]))
+    texts = _rendered(rows.withColumn("_last", is_last), lambda r: _json_row(shown({k: v for k, v in r.items() if k != "_last"}), r["_last"]))
+    return write_lines(texts, path, f"{head}[\n", f"  ]{tail}")
+
+
 def write_reports(tables: Mapping[str, DataFrame], results: DataFrame, queries: DataFrame, qrels: DataFrame, nodes: DataFrame, folder: str | Path, replicates: int, confidence: float = 0.95, seed: int | None = None, most: int = 12) -> dict[str, Path]:
     """The tables as CSV, scores as JSON lines, failure cases and a summary as Markdown, and all as JSON.
 
-    The run is evaluated again; an analysis of other pairs is refused."""
+    The run is evaluated again; an analysis of other pairs is refused. Tables with a row for each pair or
+    query are written by tasks; what comes to the driver has a row for each method, metric or family,
+    and the failure cases."""
     scores = evaluate_results(results, qrels, queries)
     require_none(ranking_errors(results, nodes, 20).where("error = 'unknown_node'"))
-    scored = scores.collect()
-    pairs = {r["pair_id"] for r in scored}
-    shown = _collected(tables, {"confidence": confidence, "bootstrap_samples": replicates, "pair_count": len(pairs)})
-    if {r["pair_id"] for r in shown["pair_outcomes"]} != pairs:
+    scores = written(scores, "scores")
+    ours, theirs = scores.select(F.col("pair_id").alias("pair")).distinct(), tables["pair_outcomes"].select("pair").distinct()
+    n_pairs = ours.count()
+    if ours.join(theirs, "pair", "left_anti").limit(1).count() or theirs.join(ours, "pair", "left_anti").limit(1).count():
         raise ValueError("the analysis is of other pairs than the results")
-    folder = Path(folder)
-    paths = {name: write_csv(folder / file, shown[name], columns) for name, (file, columns) in FILES.items()}
-    lines = "".join(json.dumps(r.asDict(), ensure_ascii=False, sort_keys=True) + "\n" for r in scored)
-    paths["per_query_scores"] = write_bytes(folder / "per_query_scores.jsonl", lines.encode(), overwrite=True)
+    extra = {"confidence": confidence, "bootstrap_samples": replicates, "pair_count": n_pairs}
+    shown = _collected({k: t for k, t in tables.items() if k != "pair_outcomes"}, extra)
+    outcomes, as_shown = _named("pair_outcomes", written(tables["pair_outcomes"], "outcomes"), extra)
+    folder, paths = Path(folder), {}
+    for name, (file, columns) in FILES.items():
+        if name in shown:
+            paths[name] = write_csv(folder / file, shown[name], columns)
+        else:
+            header = _csv_row(columns, dict(zip(columns, columns, strict=True))) + "\n"
+            paths[name] = write_lines(_rendered(outcomes, lambda r, c=columns: _csv_row(c, as_shown(r))), folder / file, header)
+    number = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
+    lines = _rendered(scores.orderBy("query_id", number), lambda r: json.dumps(r, ensure_ascii=False, sort_keys=True))
+    paths["per_query_scores"] = write_lines(lines, folder / "per_query_scores.jsonl")
     cases = _cases(failure_cases(results, scores, queries, nodes, most).collect(), METHODS)
     paths["failure_cases"] = write_bytes(folder / "failure_cases.md", render_failures(cases).encode(), overwrite=True)
-    about = {"run_id": scored[0]["run_id"], "config_hash": scored[0]["config_hash"], "pair_count": len(pairs), "query_count": 2 * len(pairs), "bootstrap_seed": seed, "bootstrap_samples": replicates, "bootstrap_confidence": confidence, "interpretation_limit": LIMIT}
-    notes = (f"Run `{about['run_id']}`: {len(pairs)} pairs.", "A positive drop: the question in other words scored worse.", LIMIT)
+    run = scores.select("run_id", "config_hash").first()
+    about = {"run_id": run["run_id"], "config_hash": run["config_hash"], "pair_count": n_pairs, "query_count": 2 * n_pairs, "bootstrap_seed": seed, "bootstrap_samples": replicates, "bootstrap_confidence": confidence, "interpretation_limit": LIMIT}
+    notes = (f"Run `{about['run_id']}`: {n_pairs} pairs.", "A positive drop: the question in other words scored worse.", LIMIT)
     paths["summary"] = write_bytes(folder / "summary.md", render_summary("Evidence retrieval", shown["main_table"], notes).encode(), overwrite=True)
-    paths["analysis"] = write_json(folder / "analysis.json", about | shown | {"failure_cases": cases}, overwrite=True)
+    paths["analysis"] = _write_analysis(folder / "analysis.json", about | shown | {"failure_cases": cases}, "pair_outcomes", outcomes, as_shown)
     return paths
 
 

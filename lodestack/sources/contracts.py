@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestack.operators.evaluate import evaluate_results, require_none
 from lodestack.operators.pairs import duplicates, ranking_errors, require_valid
 from lodestack.sources.digests import ROWS, lines_digest
-from lodestack.sources.files import file_sha256, installed_versions, object_sha256, read_jsonl
+from lodestack.sources.files import digest_of, file_sha256, installed_versions, object_sha256, read_jsonl
 from lodestack.sources.settings import FAMILIES, PROVIDERS, model_record, need
 
 #: Schemas of the stored tables.
@@ -137,5 +137,5 @@ def load_run(spark: SparkSession, benchmark: str | Path, run: str | Path, top_k:
 def run_manifest(spark: SparkSession, run_id: str, config: Mapping[str, Any], manifest: Mapping[str, Any], manifest_path: str | Path, results_path: str | Path, rows: int, model_files: Mapping[str, Any]) -> dict[str, Any]:
     """What a run was made of and with."""
     same = {k: manifest.get(k) for k in ("dataset_sha256", "nodes_sha256", "queries_sha256", "qrels_sha256")}
-    own = {"run_id": run_id, "config_sha256": object_sha256(config), "benchmark_manifest_sha256": file_sha256(manifest_path), "retrieval_results_sha256": lines_digest(spark, str(results_path)), "result_row_count": rows}
+    own = {"run_id": run_id, "config_sha256": object_sha256(config), "benchmark_manifest_sha256": file_sha256(manifest_path), "retrieval_results_sha256": digest_of(spark, results_path), "result_row_count": rows}
     return own | same | {"retrieval": config["retrieval"], "dense_model": model_record(config["models"]["dense"]), "dense_snapshot": dict(model_files), "dependencies": installed_versions()}

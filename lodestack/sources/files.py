@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestack.operators.numbering import BROADCAST_OFFSETS
 from lodestack.sources.digests import lines_digest
-from lodestack.storage import delete_path, path_exists, rename_path, written
+from lodestack.storage import delete_path, join_parts, new_path, path_exists, rename_path, written
 
 #: Kinds of model files that count, and folders that do not.
 MODEL_FILES = (".json", ".safetensors", ".bin", ".pt", ".model", ".txt")
@@ -164,6 +164,23 @@ def write_bytes(path: str | Path, data: bytes, overwrite: bool = False) -> Path:
     return path
 
 
+def write_lines(lines: DataFrame, path: str | Path, head: str = "", tail: str = "") -> Path:
+    """The texts of ``lines`` (value), each with a line break, in their order, between ``head`` and ``tail``; an existing file is replaced.
+
+    Tasks write parts, which are joined a block of bytes at a time: no rows come to the driver."""
+    spark, path = lines.sparkSession, Path(path).absolute()
+    path.parent.mkdir(parents=True, exist_ok=True)
+    parts, draft = new_path(spark, "lines"), path.with_name(f".{path.name}.{uuid.uuid4().hex[:12]}.part")
+    try:
+        lines.select("value").write.text(parts)
+        join_parts(spark, parts, str(draft), head.encode(), tail.encode())
+        os.replace(draft, path)
+    finally:
+        delete_path(spark, parts)
+        draft.unlink(missing_ok=True)
+    return path
+
+
 def write_json(path: str | Path, value: Any, overwrite: bool = False) -> Path:
     return write_bytes(path, (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode(), overwrite)
 
@@ -188,6 +205,11 @@ def file_sha256(path: str | Path) -> str:
     return digest.hexdigest()
 
 
+def digest_of(spark: SparkSession, path: str | Path) -> str:
+    """The plain digest of a single local file, that of its lines for a table of any size."""
+    return file_sha256(path) if Path(path).is_file() else lines_digest(spark, str(path))
+
+
 def object_sha256(value: Any) -> str:
     """The digest of the canonical form: sorted keys, no spaces, characters as they are."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -180,12 +180,11 @@ def rerank(spark: SparkSession, config: Mapping[str, Any], make_scorer: Callable
     path = folder / "reranked_results.jsonl"
     files.write_jsonl(reranked.orderBy("query_id"), str(path))
     made = report.write_rerank_report(tables, shown, own["bootstrap_samples"], own["bootstrap_confidence"])
-    digest_of = lambda p: lines_digest(spark, str(p)) if Path(p).is_dir() else files.file_sha256(p)
-    digests = lambda paths: {n: {"path": str(p), "sha256": digest_of(p)} for n, p in paths.items()}
+    digests = lambda paths: {n: {"path": str(p), "sha256": files.digest_of(spark, p)} for n, p in paths.items()}
     about = {
         "experiment_version": config["experiment_version"], "run_id": name, "saved_utc": dt.datetime.now(dt.UTC).isoformat(), "config_sha256": digest,
         "source_run_id": run["run_manifest"]["run_id"], "source_manifest_sha256": files.file_sha256(bench / "manifest.json"), "source_run_manifest_sha256": files.file_sha256(source / "manifest.json"),
-        "source_results_sha256": lines_digest(spark, str(source / "retrieval_results.jsonl")), "source_dataset_sha256": run["benchmark_manifest"].get("dataset_sha256"), "input_snapshot": digests(copies),
+        "source_results_sha256": files.digest_of(spark, source / "retrieval_results.jsonl"), "source_dataset_sha256": run["benchmark_manifest"].get("dataset_sha256"), "input_snapshot": digests(copies),
         "candidate": config["candidate"], "reranker": settings.model_record(config["reranker"]), "reranker_snapshot": model_files, "evaluation": own, "dependencies": files.installed_versions(),
         "reranked_results_sha256": lines_digest(spark, str(path)), "result_row_count": reranked.count(), "report_files": digests(made),
     }

@@ -81,3 +81,22 @@ def files_of(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]
     if len(out) != len(wanted):
         raise FileNotFoundError(f"{len(wanted)} files are read, {len(out)} of them are found")
     return sorted(out)
+
+
+def join_parts(spark: SparkSession, folder: str, out: str, head: bytes = b"", tail: bytes = b"") -> None:
+    """One local file of ``head``, the part files of ``folder`` by name, and ``tail``; a block of bytes at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    system, target = _file_system(spark, folder)
+    stream = jvm.java.io.FileOutputStream(out)
+    try:
+        stream.write(bytearray(head))
+        for part in sorted((x.getPath() for x in system.listStatus(target) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+            source = system.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, conf, False)
+            finally:
+                source.close()
+        stream.write(bytearray(tail))
+        stream.getFD().sync()
+    finally:
+        stream.close()

@@ -1,3 +1,6 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -5,8 +8,11 @@ from pyspark.sql import SparkSession
 
 def pytest_collection_finish(session):
     """Stand-in models live in test modules, which the workers of a session made by others cannot import: they travel by value."""
-    for module in {item.module for item in session.items if hasattr(item, "module")}:
-        cloudpickle.register_pickle_by_value(module)
+    here = Path(__file__).resolve().parent
+    for module in list(sys.modules.values()):
+        file = getattr(module, "__file__", None)
+        if file and here in Path(file).resolve().parents:
+            cloudpickle.register_pickle_by_value(module)
 
 
 @pytest.fixture(scope="session")

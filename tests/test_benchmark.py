@@ -173,6 +173,25 @@ def test_reports(spark, built, tmp_path):
         report.write_reports(tables | {"pair_outcomes": outcomes.limit(3)}, results, queries, qrels, nodes, tmp_path / "no", 100)
 
 
+def test_rows_of_files_are_written_by_tasks(spark, tmp_path):
+    """The same bytes as the whole table on the driver gives."""
+    rng = random.Random(3)
+    rows = [(f"p{k // 2}", ("bm25", "dense")[k % 2], rng.choice([None, 'f"x', "g,h", "é"]), k, rng.random(), None) for k in range(500)]
+    table = spark.createDataFrame(rows, "pair string, method string, family string, hit_drop long, rr_drop double, high_query string").repartition(7)
+    ordered, shown = report._named("pair_outcomes", table, {"confidence": 0.95})
+    whole = [shown(r.asDict()) for r in ordered.collect()]
+    columns = ("pair_id", "source_job_family", "hit_drop", "mrr_drop")
+    want = files.write_csv(tmp_path / "want.csv", whole, columns)
+    header = report._csv_row(columns, dict(zip(columns, columns, strict=True))) + "\n"
+    got = files.write_lines(report._rendered(ordered, lambda r: report._csv_row(columns, shown(r))), tmp_path / "got.csv", header)
+    assert got.read_bytes() == want.read_bytes()
+    for rows in (ordered, ordered.limit(0)):
+        whole = [shown(r.asDict()) for r in rows.collect()]
+        want = files.write_json(tmp_path / "want.json", {"a": [1], "rows": whole, "z": "é"}, overwrite=True)
+        assert report._write_analysis(tmp_path / "got.json", {"a": [1], "z": "é"}, "rows", rows, shown).read_bytes() == want.read_bytes()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["got.csv", "got.json", "want.csv", "want.json"]
+
+
 def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, None, [(2, "b")], "é")], "z long, a string, m array<struct<y:long,x:string>>, t string")
     path = files.write_jsonl(df.coalesce(1), str(tmp_path / "rows"))
