@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL, "op11_repair": repair.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -323,5 +323,57 @@ def repair_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     return repaired(turns, df.select(F.col(conv).alias("conv")), block).withColumnRenamed("conv", conv)
 
 
+_CRC = "xor(list_reduce(flatten(list_transform(string_split({key}, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, y: CASE WHEN y >= 0 THEN xor(c, y) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)"
+_NEXT, _SAYS = "CASE WHEN {st} = 2 THEN 3 ELSE 2 END", "CASE WHEN {st} = 2 THEN 'assistant:' ELSE 'user:' END"
+#: Row by row, the cheapest and ASCII-least edits to each state; two insertions in a row lead anywhere.
+SQL = rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS g,
+         {_CRC.format(key="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations
+), hurt AS (
+  SELECT g, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM src WHERE fate <> 0
+), placed AS (SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM hurt
+), told AS (
+  SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY n) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), best AS (
+  SELECT g, 0::BIGINT AS n, st, cost::BIGINT AS cost, audit, rep
+  FROM (SELECT DISTINCT g FROM told), (VALUES (0, 0, '', []::VARCHAR[]), (2, 3, 'I', ['user:']), (3, 6, 'II', ['user:', 'assistant:'])) v(st, cost, audit, rep)
+  UNION ALL
+  SELECT g, n, st, cost, audit, rep FROM (
+    SELECT *, row_number() OVER (PARTITION BY g, st ORDER BY cost, audit) AS place FROM (
+      SELECT g, n, CASE more WHEN 0 THEN st1 WHEN 1 THEN {_NEXT.format(st="st1")} ELSE 3 END AS st, cost1 + 3 * more AS cost, audit1 || repeat('I', more) AS audit,
+             CASE more WHEN 0 THEN rep1 WHEN 1 THEN list_append(rep1, {_SAYS.format(st="st1")}) ELSE list_concat(rep1, ['user:', 'assistant:']) END AS rep
+      FROM (
+        SELECT b.g, t.n, more,
+               CASE edit WHEN 'D' THEN b.st WHEN 'R' THEN {_NEXT.format(st="b.st")} ELSE CASE WHEN initial = 's' AND b.st = 0 THEN 1 WHEN initial = 'u' AND b.st <> 2 THEN 2 WHEN initial = 'a' AND b.st = 2 THEN 3 END END AS st1,
+               b.cost + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost1, b.audit || edit AS audit1,
+               CASE edit WHEN 'D' THEN b.rep WHEN 'R' THEN list_append(b.rep, {_SAYS.format(st="b.st")} || text) ELSE list_append(b.rep, role || ':' || text) END AS rep1
+        FROM best b JOIN told t ON t.g = b.g AND t.n = b.n + 1 CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(edit) CROSS JOIN (VALUES (0), (1), (2)) c(more)
+        WHERE edit = 'D' OR fault IN ('', 'truncated'))
+      WHERE st1 IS NOT NULL AND NOT (more = 2 AND st1 = 2)))
+  WHERE place = 1
+), ended AS (
+  SELECT b.g, cost, audit, rep FROM best b JOIN (SELECT g, max(n) AS last FROM told GROUP BY g) l ON b.g = l.g AND b.n = l.last
+  WHERE st IN (0, 3) QUALIFY row_number() OVER (PARTITION BY b.g ORDER BY cost, audit) = 1
+), pairs AS (SELECT g, lag(initial) OVER (PARTITION BY g ORDER BY n) || initial AS pair FROM told
+), wrong AS (SELECT g, count(*) AS illegal FROM pairs WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY g
+), counted AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+  FROM told GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rep, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM src) s LEFT JOIN counted c ON s.g = c.g LEFT JOIN ended e ON s.g = e.g LEFT JOIN wrong w ON s.g = w.g
+"""
+
+
 def op11_repair(spark, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
