@@ -5,9 +5,11 @@ are a block, which knows its largest term frequency and its least length. Since
 in a range are close, the contribution that these two would give bounds all of the block
 well, whatever k1 and b. A document lies in one range, so the sum of the bounds of a
 query's blocks in a range bounds every score there. Each query first scores the ranges of
-its largest sums; its k-th best score there is what the others must reach, and only
-blocks of ranges that can are scored. The rows are those of ``lexical.bm25_rank``: sums
-are whole numbers, and a range whose bound equals the k-th score is scored too.
+its largest sums; its k-th best score there is what all others must reach. Of the ranges
+that can, the blocks of least bounds cannot reach it together, so a document must stand in
+one of the others: those are scored, and the rest only where a document may still reach
+it. The rows are those of ``lexical.bm25_rank``: sums are whole numbers, and what could
+equal the k-th score is scored too.
 
 An index is kept below the shared folder by a key of its input: the plan of the table and
 its files with sizes and times, or the digest of all rows where it has no files of its
@@ -146,11 +148,15 @@ def _part(index: KeptIndex, tf: str, dl: str, k1: float, b: float) -> Column:
     return F.floor(F.col("weight") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * length)) * UNIT)
 
 
-def _scores(index: KeptIndex, opened: DataFrame, buckets: list[int], k1: float, b: float) -> DataFrame:
-    """(query, node, units) of all documents in the blocks of ``opened`` (query, term, range, weight)."""
+def _parts(index: KeptIndex, opened: DataFrame, buckets: list[int], k1: float, b: float) -> DataFrame:
+    """(query, range, node, units) of all postings in the blocks of ``opened`` (query, term, range, weight)."""
     blocks = index.blocks.where(F.col("bucket").isin(buckets)).drop("bucket")
-    rows = blocks.join(small(opened.select("query", "term", "range", "weight")), ["term", "range"]).select("query", "weight", F.explode("docs").alias("d")).select("query", "weight", "d.*")
-    return rows.groupBy("query", "node").agg(F.sum(_part(index, "tf", "dl", k1, b)).alias("units"))
+    rows = blocks.join(small(opened.select("query", "term", "range", "weight")), ["term", "range"]).select("query", "range", "weight", F.explode("docs").alias("d")).select("query", "range", "weight", "d.*")
+    return rows.select("query", "range", "node", _part(index, "tf", "dl", k1, b).alias("units"))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query", "range", "node").agg(F.sum("units").alias("units"))
 
 
 def search(index: KeptIndex, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -168,15 +174,22 @@ def search(index: KeptIndex, queries: DataFrame, k: int, query_id: str, query_te
     before = F.coalesce(F.sum("matches").over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = tried.withColumn("before", before).where((F.col("rank") <= FIRST) | (F.col("before") < k))
     first = written(first.select("query", F.col("node").alias("range")), "first-ranges")
-    found = written(_scores(index, lists.join(first, ["query", "range"], "left_semi"), buckets, k1, b), "first-scores")
-    best = first_k(found, k, "units")
+    of_range = ["query", "range"]
+    best = written(first_k(_summed(_parts(index, lists.join(first, of_range, "left_semi"), buckets, k1, b)), k, "units"), "first-scores")
     needed = best.where(F.col("rank") == k).select("query", F.col("units").alias("needed"))
-    others = reach.join(first, ["query", "range"], "left_anti").join(needed, "query", "left").where(F.col("most") >= F.coalesce("needed", F.lit(0)))
-    others = written(others.select("query", "range"), "other-ranges")
-    more = _scores(index, lists.join(others, ["query", "range"], "left_semi"), buckets, k1, b)
-    scored = best.drop("rank").unionByName(more).select("query", "node", (F.col("units") / UNIT).alias("score"))
-    opened = lists.join(first.unionByName(others).withColumn("open", F.lit(1)), ["query", "range"], "left")
-    counts = opened.groupBy("query").agg(F.count(F.lit(1)).alias("blocks"), F.count("open").alias("scored"))
+    others = reach.join(first, of_range, "left_anti").join(needed, "query", "left").withColumn("needed", F.coalesce("needed", F.lit(0))).where(F.col("most") >= F.col("needed"))
+    together = Window.partitionBy(*of_range)
+    upwards = together.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = lists.join(others.select(*of_range, "needed"), of_range).withColumn("decides", F.sum("most").over(upwards) >= F.col("needed"))
+    rest = written(rest.withColumn("others", F.sum(F.when(F.col("decides"), 0).otherwise(F.col("most"))).over(together)), "rest")
+    found = _summed(_parts(index, rest.where("decides"), buckets, k1, b)).join(rest.select(*of_range, "others", "needed").distinct(), of_range)
+    found = written(found.where(F.col("units") + F.col("others") >= F.col("needed")).select(*of_range, "node", "units"), "candidates")
+    late = written(rest.where("NOT decides").join(found.select(*of_range).distinct(), of_range, "left_semi").select("query", "term", "range", "weight"), "late-blocks")
+    more = _parts(index, late, buckets, k1, b).join(found.select("query", "node"), ["query", "node"], "left_semi")
+    total = _summed(found.unionByName(more))
+    scored = best.select("query", "node", "units").unionByName(total.select("query", "node", "units")).select("query", "node", (F.col("units") / UNIT).alias("score"))
+    opened = first.join(lists, of_range).select("query").unionByName(rest.where("decides").select("query")).unionByName(late.select("query"))
+    counts = lists.groupBy("query").agg(F.count(F.lit(1)).alias("blocks")).join(opened.groupBy("query").agg(F.count(F.lit(1)).alias("scored")), "query")
     ranked = padded(first_k(scored, k), queries.select(F.col(query_id).alias("query")), index.first_ids(k), k)
     return ranked.withColumn("score", F.round("score", DIGITS)), counts
 
