@@ -1,6 +1,6 @@
 """A BM25 index that is kept: postings in blocks with bounds, so that most of them are never scored.
 
-Documents are numbered by length and cut into ranges; the postings of a term in a range
+Documents are dealt to ranges by their length; the postings of a term in a range
 are a block, which knows its largest term frequency and its least length. Since lengths
 in a range are close, the contribution that these two would give bounds all of the block
 well, whatever k1 and b. A document lies in one range, so the sum of the bounds of a
@@ -31,23 +31,20 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import search_tokens
 from lodestack.operators.lexical import DIGITS, UNIT, first_k, padded, small
-from lodestack.operators.numbering import numbered
 from lodestack.sources.digests import table_digest
 from lodestack.sources.files import object_sha256
 from lodestack.storage import delete_path, files_of, new_path, path_exists, rename_path, shared_dir, written
 
-#: Documents in a range at least; there are ``MOST_RANGES`` ranges at most, so that a query's list of bounds stays short.
+#: Documents in a range, about; there are ``MOST_RANGES`` ranges at most, so that a query's list of bounds stays short.
 RANGE, MOST_RANGES = 256, 1 << 17
 #: A query's first scores come from its ranges of the largest bounds, ``FIRST`` and more until they hold ``k`` matches, of the best ``TRIED``.
 FIRST, TRIED = 2, 64
-#: Folders that blocks are dealt to by term; a query reads those of its terms.
-BUCKETS = 16
-_VERSION = 1
+_VERSION = 2
 
 
 @dataclass(frozen=True)
 class KeptIndex:
-    """``tokens`` (node, dl, tokens), ``blocks`` (bucket, term, range, docs), ``bounds`` (term, range, n, max_tf, min_dl)."""
+    """``tokens`` (node, dl, tokens), ``blocks`` (term, range, docs), ``bounds`` (term, range, n, max_tf, min_dl)."""
 
     tokens: DataFrame
     blocks: DataFrame
@@ -83,7 +80,7 @@ def input_key(docs: DataFrame, *more: object) -> str:
     own = not files or any(kind in plan for kind in ("LogicalRDD", "LocalRelation", "Range ("))
     found = [] if own else files_of(spark, files)
     known = len(found) == len(set(files)) > 0  # a store that lists files under other names than it reads them by tells nothing
-    return object_sha256([_VERSION, RANGE, BUCKETS, *more, [plan, docs.schema.simpleString(), *found] if known else table_digest(docs)])
+    return object_sha256([_VERSION, RANGE, *more, [plan, docs.schema.simpleString(), *found] if known else table_digest(docs)])
 
 
 def _path(docs: DataFrame, id_col: str, text_col: str) -> str:
@@ -91,23 +88,26 @@ def _path(docs: DataFrame, id_col: str, text_col: str) -> str:
 
 
 def _build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    spark = docs.sparkSession
+    spark, zstd = docs.sparkSession, {"compression": "zstd"}
     rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens")).where("node IS NOT NULL")
-    rows = numbered(rows.select("node", F.size("tokens").alias("dl"), "tokens", F.lit(0).alias("_all")), "_all", ["dl", "node"], "place")
-    rows.select("node", "dl", "tokens", "place").write.parquet(f"{path}/tokens")
+    rows.select("node", F.size("tokens").alias("dl"), "tokens").write.options(**zstd).parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     n, mean, repeated = tokens.agg(F.count(F.lit(1)), F.avg("dl"), F.count(F.lit(1)) - F.count_distinct("node")).first()
     if repeated:
         raise ValueError(f"{repeated} rows repeat an identifier")
     size = max(RANGE, -(-n // MOST_RANGES))
-    postings = tokens.select("node", "dl", F.floor((F.col("place") - 1) / size).alias("range"), F.explode(_counted()).alias("t")).select("node", "dl", "range", "t.*")
-    blocks = postings.groupBy("term", "range").agg(F.collect_list(F.struct("node", "tf", "dl")).alias("docs"))
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    blocks.repartition("bucket", F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
-    kept = spark.read.parquet(f"{path}/blocks") if n else blocks
+    lengths = tokens.groupBy("dl").agg(F.count(F.lit(1)).alias("own"))
+    before = Window.orderBy("dl").rowsBetween(Window.unboundedPreceding, -1)  # one row for each length
+    lengths = written(lengths.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))), "lengths")
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("own"))  # about the place in the order of lengths, without a sort
+    ranged = tokens.join(small(lengths), "dl").withColumn("range", F.floor(place / size))
+    postings = ranged.select("node", "dl", "range", F.explode(_counted()).alias("t")).select("node", "dl", "range", "t.*")
+    blocks = postings.groupBy("term", "range").agg(F.collect_list(F.struct("node", F.col("tf").cast("int").alias("tf"), "dl")).alias("docs"))
+    blocks.write.options(**zstd).parquet(f"{path}/blocks")
+    kept = spark.read.parquet(f"{path}/blocks")
     largest = lambda c: F.array_max(F.transform("docs", lambda d: d[c]))
     least = F.array_min(F.transform("docs", lambda d: d["dl"]))
-    kept.select("term", "range", F.size("docs").cast("long").alias("n"), largest("tf").alias("max_tf"), least.alias("min_dl")).sortWithinPartitions("term").write.parquet(f"{path}/bounds")
+    kept.select("term", "range", F.size("docs").cast("long").alias("n"), largest("tf").alias("max_tf"), least.alias("min_dl")).write.options(**zstd).parquet(f"{path}/bounds")
     spark.createDataFrame([(n, mean or 0.0)], "n_docs long, mean_length double").coalesce(1).write.parquet(f"{path}/about")
 
 
@@ -132,8 +132,8 @@ def open_index(spark: SparkSession, path: str, kind: str) -> KeptIndex:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
     return KeptIndex(
         read("tokens", f"node {kind}, dl int, tokens array<string>"),
-        read("blocks", f"term string, range long, docs array<struct<node:{kind},tf:long,dl:int>>, bucket int"),
-        read("bounds", "term string, range long, n long, max_tf long, min_dl int"),
+        read("blocks", f"term string, range long, docs array<struct<node:{kind},tf:int,dl:int>>"),
+        read("bounds", "term string, range long, n long, max_tf int, min_dl int"),
         about["n_docs"],
         about["mean_length"],
     )
@@ -150,10 +150,9 @@ def _part(index: KeptIndex, tf: str, dl: str, k1: float, b: float) -> Column:
     return F.floor(F.col("weight") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * length)) * UNIT)
 
 
-def _parts(index: KeptIndex, opened: DataFrame, buckets: list[int], k1: float, b: float) -> DataFrame:
+def _parts(index: KeptIndex, opened: DataFrame, k1: float, b: float) -> DataFrame:
     """(query, range, node, units) of all postings in the blocks of ``opened`` (query, term, range, weight)."""
-    blocks = index.blocks.where(F.col("bucket").isin(buckets)).drop("bucket")
-    rows = blocks.join(small(opened.select("query", "term", "range", "weight")), ["term", "range"]).select("query", "range", "weight", F.explode("docs").alias("d")).select("query", "range", "weight", "d.*")
+    rows = index.blocks.join(small(opened.select("query", "term", "range", "weight")), ["term", "range"]).select("query", "range", "weight", F.explode("docs").alias("d")).select("query", "range", "weight", "d.*")
     return rows.select("query", "range", "node", _part(index, "tf", "dl", k1, b).alias("units"))
 
 
@@ -165,7 +164,6 @@ def search(index: KeptIndex, queries: DataFrame, k: int, query_id: str, query_te
     """The ranking (query, node, score, rank), and (query, blocks, scored): how many blocks each query has and how many were scored."""
     asked = written(queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(search_tokens(query_text))).alias("term")), "asked-terms")
     terms = asked.select("term").distinct()
-    buckets = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
     bounds = written(index.bounds.join(small(terms), "term"), "asked-bounds")
     df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
     weighed = asked.join(df, "term").withColumn("weight", F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -177,17 +175,17 @@ def search(index: KeptIndex, queries: DataFrame, k: int, query_id: str, query_te
     first = tried.withColumn("before", before).where((F.col("rank") <= FIRST) | (F.col("before") < k))
     first = written(first.select("query", F.col("node").alias("range")), "first-ranges")
     of_range = ["query", "range"]
-    best = written(first_k(_summed(_parts(index, lists.join(first, of_range, "left_semi"), buckets, k1, b)), k, "units"), "first-scores")
+    best = written(first_k(_summed(_parts(index, lists.join(first, of_range, "left_semi"), k1, b)), k, "units"), "first-scores")
     needed = best.where(F.col("rank") == k).select("query", F.col("units").alias("needed"))
     others = reach.join(first, of_range, "left_anti").join(needed, "query", "left").withColumn("needed", F.coalesce("needed", F.lit(0))).where(F.col("most") >= F.col("needed"))
     together = Window.partitionBy(*of_range)
     upwards = together.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = lists.join(others.select(*of_range, "needed"), of_range).withColumn("decides", F.sum("most").over(upwards) >= F.col("needed"))
     rest = written(rest.withColumn("others", F.sum(F.when(F.col("decides"), 0).otherwise(F.col("most"))).over(together)), "rest")
-    found = _summed(_parts(index, rest.where("decides"), buckets, k1, b)).join(rest.select(*of_range, "others", "needed").distinct(), of_range)
+    found = _summed(_parts(index, rest.where("decides"), k1, b)).join(rest.select(*of_range, "others", "needed").distinct(), of_range)
     found = written(found.where(F.col("units") + F.col("others") >= F.col("needed")).select(*of_range, "node", "units"), "candidates")
     late = written(rest.where("NOT decides").join(found.select(*of_range).distinct(), of_range, "left_semi").select("query", "term", "range", "weight"), "late-blocks")
-    more = _parts(index, late, buckets, k1, b).join(found.select("query", "node"), ["query", "node"], "left_semi")
+    more = _parts(index, late, k1, b).join(found.select("query", "node"), ["query", "node"], "left_semi")
     total = _summed(found.unionByName(more))
     scored = best.select("query", "node", "units").unionByName(total.select("query", "node", "units")).select("query", "node", (F.col("units") / UNIT).alias("score"))
     opened = first.join(lists, of_range).select("query").unionByName(rest.where("decides").select("query")).unionByName(late.select("query"))
