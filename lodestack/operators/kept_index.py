@@ -11,16 +11,19 @@ one of the others: those are scored, and the rest only where a document may stil
 it. The rows are those of ``lexical.bm25_rank``: sums are whole numbers, and what could
 equal the k-th score is scored too.
 
-An index is kept below the shared folder by a key of its input: the plan of the table and
+Where most ranges hold a document that may reach the k-th score, this reads postings twice
+and is dearer than ``lexical.bm25_rank``, which ranks over the kept tokens as well.
+
+Tokens and blocks are kept below the shared folder by a key of its input: the plan of the table and
 its files with sizes and times, or the digest of all rows where it has no files of its
-own. A second use reads the index only. It is built aside and renamed, so a broken build
-leaves nothing; the key names what it was made of, and ``drop_index`` deletes it.
+own. A second use reads nothing else. They are built aside and renamed, so a broken build
+leaves nothing; the key names what they were made of, and ``drop_index`` deletes them.
 
 Null ids are no documents, two rows of an id are refused, null texts have no terms."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,16 +33,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import search_tokens
-from lodestack.operators.lexical import DIGITS, UNIT, first_k, padded, small
+from lodestack.operators.lexical import DIGITS, UNIT, Index, build_index, first_k, padded, small
 from lodestack.sources.digests import table_digest
 from lodestack.sources.files import object_sha256
-from lodestack.storage import delete_path, files_of, new_path, path_exists, rename_path, shared_dir, written
+from lodestack.storage import delete_path, discard, files_of, new_path, path_exists, rename_path, shared_dir, written
 
 #: Documents in a range, about; there are ``MOST_RANGES`` ranges at most, so that a query's list of bounds stays short.
 RANGE, MOST_RANGES = 256, 1 << 17
 #: A query's first scores come from its ranges of the largest bounds, ``FIRST`` and more until they hold ``k`` matches, of the best ``TRIED``.
 FIRST, TRIED = 2, 64
-_VERSION = 2
+_VERSION = 3
+_ABOUT = "n_docs long, mean_length double"
 
 
 @dataclass(frozen=True)
@@ -83,65 +87,75 @@ def input_key(docs: DataFrame, *more: object) -> str:
     return object_sha256([_VERSION, RANGE, *more, [plan, docs.schema.simpleString(), *found] if known else table_digest(docs)])
 
 
-def _path(docs: DataFrame, id_col: str, text_col: str) -> str:
-    return f"{shared_dir(docs.sparkSession)}/lodestack/index-{input_key(docs, id_col, text_col)[:32]}"
+def _path(docs: DataFrame, id_col: str, text_col: str, kind: str) -> str:
+    return f"{shared_dir(docs.sparkSession)}/lodestack/{kind}-{input_key(docs, id_col, text_col)[:32]}"
+
+
+def _kept(spark: SparkSession, path: str, build: Callable[[str], None]) -> None:
+    """Builds aside and renames, where there is nothing at ``path`` yet."""
+    if path_exists(spark, path):
+        return
+    aside = new_path(spark, "index")
+    try:
+        build(aside)
+        rename_path(spark, aside, path)
+    except FileExistsError:  # another session was first
+        delete_path(spark, aside)
+    except BaseException:
+        delete_path(spark, aside)
+        raise
 
 
-def _build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    spark, zstd = docs.sparkSession, {"compression": "zstd"}
-    rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens")).where("node IS NOT NULL")
-    rows.select("node", F.size("tokens").alias("dl"), "tokens").write.options(**zstd).parquet(f"{path}/tokens")
-    tokens = spark.read.parquet(f"{path}/tokens")
-    n, mean, repeated = tokens.agg(F.count(F.lit(1)), F.avg("dl"), F.count(F.lit(1)) - F.count_distinct("node")).first()
-    if repeated:
-        raise ValueError(f"{repeated} rows repeat an identifier")
-    size = max(RANGE, -(-n // MOST_RANGES))
-    lengths = tokens.groupBy("dl").agg(F.count(F.lit(1)).alias("own"))
+def kept_tokens(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """The tokens of ``docs``, as ``lexical.build_index`` makes them, kept for all that rank this input."""
+    spark, path = docs.sparkSession, _path(docs, id_col, text_col, "tokens")
+
+    def build(at: str) -> None:
+        bag: list[str] = []
+        try:
+            made = build_index(docs, id_col, text_col, bag)
+            spark.createDataFrame([(made.n_docs, made.mean_length)], _ABOUT).coalesce(1).write.parquet(f"{at}/about")
+            rename_path(spark, bag.pop(), f"{at}/tokens")
+        finally:
+            discard(spark, bag)
+
+    _kept(spark, path, build)
+    about = spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
+    tokens = spark.read.schema(f"node {dict(docs.dtypes)[id_col]}, dl int, tokens array<string>").parquet(f"{path}/tokens")
+    return Index(tokens, about["n_docs"], about["mean_length"])
+
+
+def kept_index(docs: DataFrame, id_col: str, text_col: str) -> KeptIndex:
+    """The kept blocks of ``docs``, built from its kept tokens where there are none of this input."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    index, path = kept_tokens(docs, id_col, text_col), _path(docs, id_col, text_col, "blocks")
+    _kept(spark, path, lambda at: _build(index, at))
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    blocks = read("blocks", f"term string, range long, docs array<struct<node:{kind},tf:int,dl:int>>")
+    return KeptIndex(index.tokens, blocks, read("bounds", "term string, range long, n long, max_tf int, min_dl int"), index.n_docs, index.mean_length)
+
+
+def _build(index: Index, path: str) -> None:
+    spark, zstd = index.tokens.sparkSession, {"compression": "zstd"}
+    size = max(RANGE, -(-index.n_docs // MOST_RANGES))
+    lengths = index.tokens.groupBy("dl").agg(F.count(F.lit(1)).alias("own"))
     before = Window.orderBy("dl").rowsBetween(Window.unboundedPreceding, -1)  # one row for each length
     lengths = written(lengths.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))), "lengths")
     place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("own"))  # about the place in the order of lengths, without a sort
-    ranged = tokens.join(small(lengths), "dl").withColumn("range", F.floor(place / size))
+    ranged = index.tokens.join(small(lengths), "dl").withColumn("range", F.floor(place / size))
     postings = ranged.select("node", "dl", "range", F.explode(_counted()).alias("t")).select("node", "dl", "range", "t.*")
     blocks = postings.groupBy("term", "range").agg(F.collect_list(F.struct("node", F.col("tf").cast("int").alias("tf"), "dl")).alias("docs"))
     blocks.write.options(**zstd).parquet(f"{path}/blocks")
-    kept = spark.read.parquet(f"{path}/blocks")
+    kept = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
     largest = lambda c: F.array_max(F.transform("docs", lambda d: d[c]))
     least = F.array_min(F.transform("docs", lambda d: d["dl"]))
     kept.select("term", "range", F.size("docs").cast("long").alias("n"), largest("tf").alias("max_tf"), least.alias("min_dl")).write.options(**zstd).parquet(f"{path}/bounds")
-    spark.createDataFrame([(n, mean or 0.0)], "n_docs long, mean_length double").coalesce(1).write.parquet(f"{path}/about")
-
-
-def kept_index(docs: DataFrame, id_col: str, text_col: str) -> KeptIndex:
-    """The kept index of ``docs``, built where there is none of this input."""
-    spark, path = docs.sparkSession, _path(docs, id_col, text_col)
-    if not path_exists(spark, f"{path}/about"):
-        aside = new_path(spark, "index")
-        try:
-            _build(docs, id_col, text_col, aside)
-            rename_path(spark, aside, path)
-        except FileExistsError:  # another session was first
-            delete_path(spark, aside)
-        except BaseException:
-            delete_path(spark, aside)
-            raise
-    return open_index(spark, path, dict(docs.dtypes)[id_col])
-
-
-def open_index(spark: SparkSession, path: str, kind: str) -> KeptIndex:
-    about = spark.read.schema("n_docs long, mean_length double").parquet(f"{path}/about").first()
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return KeptIndex(
-        read("tokens", f"node {kind}, dl int, tokens array<string>"),
-        read("blocks", f"term string, range long, docs array<struct<node:{kind},tf:int,dl:int>>"),
-        read("bounds", "term string, range long, n long, max_tf int, min_dl int"),
-        about["n_docs"],
-        about["mean_length"],
-    )
 
 
 def drop_index(docs: DataFrame, id_col: str, text_col: str) -> None:
-    """Deletes the kept index of ``docs``, if there is one."""
-    delete_path(docs.sparkSession, _path(docs, id_col, text_col))
+    """Deletes what is kept of ``docs``, if there is anything."""
+    for kind in ("tokens", "blocks"):
+        delete_path(docs.sparkSession, _path(docs, id_col, text_col, kind))
 
 
 def _part(index: KeptIndex, tf: str, dl: str, k1: float, b: float) -> Column:

@@ -48,9 +48,10 @@ def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
+def build_index(docs: DataFrame, id_col: str, text_col: str, bag: list[str] | None = None) -> Index:
+    """The index of ``docs``; the path of its table is added to ``bag``."""
     rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens")).where("node IS NOT NULL")
-    tokens = written(rows.select("node", F.size("tokens").alias("dl"), "tokens"), "tokens")
+    tokens = written(rows.select("node", F.size("tokens").alias("dl"), "tokens"), "tokens", bag=bag)
     n, mean, repeated = tokens.agg(F.count(F.lit(1)), F.avg("dl"), F.count(F.lit(1)) - F.count_distinct("node")).first()
     if repeated:
         raise ValueError(f"{repeated} rows repeat an identifier")

@@ -35,15 +35,20 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("_", "item_id", "s.end").alias("query"), F.col("item_id").alias("pair"), "s.kind", (F.col("item_id") % 4).cast("string").alias("family"), "s.text")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> kept_index.KeptIndex:
-    """Built by the first query that needs it, and kept for the others."""
-    return kept_index.kept_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Tokens are made by the first query that needs them, and kept for the others."""
+    return kept_index.kept_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: kept_index.KeptIndex | None = None) -> DataFrame:
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return kept_index.search(kept_index.kept_index(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), K, "item_id", "text")
+
+
+def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: lexical.Index | None = None) -> DataFrame:
     """(method, query, node, rank) of all three methods, over one index; written, since several steps read it."""
     index, questions = index or _index(spark, sf_dir), written(_questions(spark, sf_dir).select("query", "text"), "questions")
-    ranked = {m: written(kept_index.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
+    ranked = {m: written(lexical.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
     ranked["hybrid"] = fusion.rrf(ranked["bm25"], ranked["dense"], k)
     out = None
     for method, rows in ranked.items():
@@ -73,12 +78,17 @@ def _dense(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFra
 
 
 def bm25_topk(spark, sf_dir):
-    return kept_index.bm25_rank(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")
+    return lexical.bm25_rank(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")
 
 
 def bm25_blocks(spark, sf_dir):
     """Blocks of postings that each item's ranking has, and those that were scored."""
-    return kept_index.search(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), K, "item_id", "text")[1]
+    return _blocks(spark, sf_dir)[1]
+
+
+def bm25_kept(spark, sf_dir):
+    """The rows of ``bm25_topk``, by the kept blocks and their bounds."""
+    return _blocks(spark, sf_dir)[0]
 
 
 def containment_qrels(spark, sf_dir):
@@ -178,7 +188,7 @@ def failure_cases(spark, sf_dir):
 
 
 QUERIES = (
-    bm25_topk, bm25_blocks, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, dense_products, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
+    bm25_topk, bm25_kept, bm25_blocks, containment_qrels, bm25_eval_hit_mrr, vector_normalize_check, dense_topk, dense_products, rrf_fusion, rerank_candidates, rerank_standin, paired_outcomes,
     main_table, transition_summary, family_descriptive, bootstrap_ci, bootstrap_differences, candidate_coverage, failure_cases,
 )
 
@@ -249,9 +259,12 @@ _TWO = f"{_cosines('a')}, {_cosines('b', 32)}"
 _SHORT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _FOUND = "SELECT r.query, r.method, min(CASE WHEN g.node IS NOT NULL THEN r.rank END) AS gold, min(CASE WHEN r.node % 50 = o.source THEN r.rank END) AS source FROM ranked r JOIN own o USING (query) LEFT JOIN gold g ON g.query = r.query AND g.node = r.node GROUP BY ALL"
 
+_RANKED = f"WITH {_bm25('r', _ITEMS, K)} SELECT query, node, round(score, 6) AS score, rank FROM r"
+
 SQL = {
+    "bm25_kept": _RANKED,
     "dense_products": "SELECT count(*) FILTER (vec_id % 20 = 0) * count(*) AS whole, true AS made_within FROM embeddings",
-    "bm25_topk": f"WITH {_bm25('r', _ITEMS, K)} SELECT query, node, round(score, 6) AS score, rank FROM r",
+    "bm25_topk": _RANKED,
     "containment_qrels": f"WITH {_LINKS} SELECT item AS query, node FROM links",
     "bm25_eval_hit_mrr": f"""WITH {_bm25('r', _ITEMS, 5)}, {_LINKS}, s AS (SELECT l.item, min(r.rank) AS first FROM links l LEFT JOIN r ON r.query = l.item AND r.node = l.node GROUP BY l.item)
 SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit_at_5, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr_at_5 FROM s""",
