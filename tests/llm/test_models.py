@@ -521,5 +521,5 @@ def test_queries_of_this_package_are_registered():
     from lodestack.llm import catalog
 
     names = set(__spark_entry__.queries())
-    assert {f"op{k}_" for k in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in catalog.queries()} and {*catalog.queries(), "pipeline"} <= names
+    assert {f"op{k}_" for k in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in catalog.queries()} and {*catalog.queries(), "pipeline"} <= names
     assert ngram_join.op10_ngram_join is catalog.queries()["op10_ngram_join"]
