@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,15 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.batches import give_back, small_batches
 from lodestack.storage import delete_path, discard, new_path, shared_dir, written
 
-__all__ = ["delete_path", "discard", "new_path", "shared_dir", "written"]
+__all__ = ["delete_path", "discard", "give_back", "new_path", "shared_dir", "small_batches", "written"]
 
 #: White space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows and bytes of a batch to Python, and bytes of the pieces it is worked on in.
-BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 500, 4 << 20, 1 << 20
+#: Bytes of the pieces that a batch to Python is worked on in.
+PIECE_BYTES = 1 << 20
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
@@ -35,24 +35,6 @@ def fold_of(id_col: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(folds))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts differ widely in length, so batches to Python are bounded: by bytes, and by fewer rows where only rows count."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
-        found = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
-        if not found or not 0 < int(found[1]) <= most:
-            spark.conf.set(name, str(most))
-
-
-def give_back() -> None:
-    """Returns freed memory to the system: workers are used again, and what they keep counts against their executor."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` on small batches."""
     small_batches(df.sparkSession)

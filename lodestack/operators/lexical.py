@@ -1,9 +1,12 @@
 """BM25 ranking over token postings.
 
 The corpus is tokenised once, into a written table of tokens by document, which gives its
-size, its mean length and the postings of the terms that are asked for. Those terms are
-broadcast as long as there are few, so a frequent term's postings stay where they lie, and
-only sums by (query, document) are shuffled. Contributions are added as whole numbers of
+size, its mean length and how many documents have each asked term. A document lies in one
+row, so the task that reads it knows its whole score for every query: documents are scored
+where they lie, and each task gives its best ``k`` of every query. What is shuffled is in
+proportion to queries, ``k`` and tasks, and not to the matches of frequent terms. Beyond
+``BROADCAST_TERMS`` terms or ``MOST_QUERIES`` queries, postings are joined and sums by (query,
+document) shuffled. Contributions are added as whole numbers of
 10^-12, so a score does not depend on the order of its sum, and equal documents have equal
 scores whatever the plan. Every query gets
 exactly min(k, N) rows: where fewer match, the smallest other ids follow with score 0.
@@ -11,16 +14,25 @@ Null and empty texts have no terms; null ids are no documents."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import search_tokens
+from lodestack.operators.batches import give_back, small_batches
 from lodestack.storage import written
 
 #: Query terms up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
+#: Queries up to this number have a column each where documents are scored; beyond, sums are shuffled.
+MOST_QUERIES = 20_000
+#: Sums (document, query) that a task holds at once, and contributions that it adds at once.
+CELLS, ADDED = 1 << 20, 1 << 20
 DIGITS = 6
 UNIT = 1e12
 
@@ -70,19 +82,141 @@ def padded(best: DataFrame, queries: DataFrame, first_ids: DataFrame, k: int) ->
     return first_k(best.drop("rank").union(padding), k)
 
 
-def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, node, score, rank): scores are shown at six digits, but ranked whole."""
+def weights(df: Column, n_docs: int) -> Column:
+    return F.log1p((F.lit(n_docs) - df + 0.5) / (df + 0.5))
+
+
+class Asked:
+    """The questions of a ranking as arrays: their ids, the asked terms with their weights, and the queries of each term."""
+
+    def __init__(self, ids: pa.Array, terms: pa.Array, weight: np.ndarray, ends: np.ndarray, queries: np.ndarray) -> None:
+        self.ids, self.terms, self.weight, self.ends, self.queries = ids, terms, weight, ends, queries
+
+    @classmethod
+    def of(cls, asked: DataFrame, weighed: DataFrame) -> Asked:
+        """Of (query, term) and (term, weight); terms that no document has are left out."""
+        rows, known = asked.toArrow(), weighed.toArrow().sort_by("term")
+        terms = known.column("term").combine_chunks()
+        column = rows.column("query").combine_chunks()
+        ids = pc.unique(column)
+        term = pc.index_in(rows.column("term").combine_chunks(), terms)
+        query = pc.index_in(column, ids)
+        there = np.asarray(term.is_valid())
+        term, query = (np.asarray(x.fill_null(0), np.int64)[there] for x in (term, query))
+        order = np.argsort(term, kind="stable")
+        return cls(ids, terms, np.asarray(known.column("weight")), np.searchsorted(term[order], np.arange(len(terms) + 1)), query[order])
+
+    def postings(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, tf) of the asked terms in the rows of ``tokens``, by row and term."""
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+        codes = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), self.terms), -1), np.int64)
+        width = max(1, len(self.terms))
+        keys, tf = np.unique((np.repeat(np.arange(len(tokens)), sizes) * width + codes)[codes >= 0], return_counts=True)
+        return keys // width, keys % width, tf
+
+    def sums(self, row: np.ndarray, term: np.ndarray, units: np.ndarray, n_rows: int) -> np.ndarray:
+        """(n_rows, queries): the whole units of every row for every query."""
+        out = np.zeros(n_rows * len(self.ids), np.int64)
+        wide = self.ends[term + 1] - self.ends[term]
+        for part in _parts(wide, ADDED):
+            at = np.repeat(np.arange(part.start, part.stop), wide[part])
+            own = np.cumsum(wide[part])
+            query = self.queries[self.ends[term[at]] + np.arange(len(at)) - np.repeat(own - wide[part], wide[part])]
+            np.add.at(out, row[at] * len(self.ids) + query, units[at])
+        return out.reshape(n_rows, len(self.ids))
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive places whose sizes are about ``most`` together, one place at least."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+class Best:
+    """The best ``k`` rows of every query so far: larger scores first, then smaller ids."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.k, self.rows, self.least = k, None, np.zeros(n_queries)
+
+    def add(self, scores: np.ndarray, nodes: pa.Array) -> None:
+        """``scores`` (nodes, queries), 0 where nothing matches."""
+        if len(scores) >= self.k:
+            self.least = np.maximum(self.least, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        row, query = np.nonzero((scores > 0) & (scores >= self.least))
+        self.put(query, scores[row, query], nodes.take(pa.array(row)))
+
+    def put(self, query: np.ndarray, score: np.ndarray, nodes: pa.Array) -> None:
+        if not len(query):
+            return
+        rows = pa.table({"query": pa.array(query, pa.int64()), "score": pa.array(score), "node": nodes})
+        rows = rows if self.rows is None else pa.concat_tables([self.rows, rows])
+        rows = rows.take(pc.sort_indices(rows, [("query", "ascending"), ("score", "descending"), ("node", "ascending")])).combine_chunks()
+        query = np.asarray(rows.column("query"))
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = np.asarray(rows.column("score"))[last]
+        self.rows = rows.filter(pa.array(place < self.k))
+
+
+def scored_where_they_lie(index: Index, asked: Asked, k: int, constants: Sequence[tuple[float, float]], kind: str) -> DataFrame:
+    """(at, query, node, score): of every task and query the best ``k`` documents that match, by each pair (k1, b) of ``constants``."""
+    small_batches(index.tokens.sparkSession)
+    mean, n_queries = index.mean_length, len(asked.ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(n_queries, k) for _ in constants]
+        for batch in batches:
+            row, term, tf = asked.postings(batch.column("tokens"))
+            length = np.asarray(batch.column("dl"), np.float64)[row] / mean if mean else np.zeros(len(row))
+            for part in _parts(np.full(batch.num_rows, n_queries), CELLS):
+                own = slice(*np.searchsorted(row, [part.start, part.stop]))
+                for (k1, b), held in zip(constants, best, strict=True):
+                    units = np.floor(asked.weight[term[own]] * tf[own] * (k1 + 1) / (tf[own] + k1 * (1 - b + b * length[own])) * UNIT).astype(np.int64)
+                    scores = asked.sums(row[own] - part.start, term[own], units, part.stop - part.start) / UNIT
+                    held.add(scores, batch.column("node").slice(part.start, part.stop - part.start))
+        for at, held in enumerate(best):
+            for rows in held.rows.to_batches(max_chunksize=10_000) if held.rows is not None else ():
+                columns = [pa.array(np.full(rows.num_rows, at, np.int64)), asked.ids.take(rows.column("query")), rows.column("node"), rows.column("score")]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "query", "node", "score"])
+        give_back()
+
+    return index.tokens.select("node", "dl", "tokens").mapInArrow(run, f"at long, query {kind}, node {dict(index.tokens.dtypes)['node']}, score double")
+
+
+def bm25_ranks(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, constants: Sequence[tuple[float, float]]) -> list[DataFrame]:
+    """Of each pair (k1, b) of ``constants`` the ranking (query, node, score, rank); one pass makes them all. Scores are shown at six digits, but ranked whole."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(search_tokens(query_text))).alias("term"))
     asked = written(asked, "asked-terms")
-    found = index.postings(asked.select("term").distinct())
-    found = written(found, "postings")
+    terms = asked.select("term").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    if few and asked.select("query").distinct().count() <= MOST_QUERIES:
+        rows = index.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term", "left_semi")
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        arrays = Asked.of(asked, df.select("term", weights(F.col("df"), index.n_docs).alias("weight")))
+        found = written(scored_where_they_lie(index, arrays, k, constants, dict(asked.dtypes)["query"]), "best-of-tasks")
+        scored = [found.where(F.col("at") == at).drop("at") for at in range(len(constants))]
+    else:
+        found = written(index.postings(terms), "postings")
+        scored = [_summed(index, asked, found, *pair) for pair in constants]
+    named, first_ids = queries.select(F.col(query_id).alias("query")), written(index.first_ids(k), "first-ids")
+    ranked = (padded(first_k(rows, k), named, first_ids, k) for rows in scored)
+    return [rows.withColumn("score", F.round("score", DIGITS)) for rows in ranked]
+
+
+def _summed(index: Index, asked: DataFrame, found: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query, node, score) of all matches, by a shuffle of their sums."""
     weighed = found.join(small(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
-    weight = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.col("dl") / index.mean_length if index.mean_length else F.lit(0.0)
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scored = weighed.withColumn("part", F.floor(part * UNIT)).join(small(asked), "term").groupBy("query", "node").agg((F.sum("part") / UNIT).alias("score"))
-    ranked = padded(first_k(scored, k), queries.select(F.col(query_id).alias("query")), index.first_ids(k), k)
-    return ranked.withColumn("score", F.round("score", DIGITS))
+    part = weights(F.col("df"), index.n_docs) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+    return weighed.withColumn("part", F.floor(part * UNIT)).join(small(asked), "term").groupBy("query", "node").agg((F.sum("part") / UNIT).alias("score"))
+
+
+def bm25_rank(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, node, score, rank) by one pair of constants, as ``bm25_ranks``."""
+    return bm25_ranks(index, queries, k, query_id, query_text, [(k1, b)])[0]
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:

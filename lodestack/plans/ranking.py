@@ -48,7 +48,8 @@ def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _rankings(spark: SparkSession, sf_dir: str, k: int = K, index: lexical.Index | None = None) -> DataFrame:
     """(method, query, node, rank) of all three methods, over one index; written, since several steps read it."""
     index, questions = index or _index(spark, sf_dir), written(_questions(spark, sf_dir).select("query", "text"), "questions")
-    ranked = {m: written(lexical.bm25_rank(index, questions, k, "query", "text", *c), m) for m, c in CONSTANTS.items()}
+    made = lexical.bm25_ranks(index, questions, k, "query", "text", list(CONSTANTS.values()))
+    ranked = {m: written(rows, m) for m, rows in zip(CONSTANTS, made, strict=True)}
     ranked["hybrid"] = fusion.rrf(ranked["bm25"], ranked["dense"], k)
     out = None
     for method, rows in ranked.items():
