@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import lexical
+from lodestack.operators import batches, chunks, evaluate, evidence, lexical
 
 
 def shuffled(spark, make):
@@ -56,3 +56,44 @@ def test_rankings_by_several_constants_and_beyond_the_limits(spark, corpus, monk
     assert both == [sorted(map(tuple, lexical.bm25_rank(index, queries, 5, "q", "t", *c).collect())) for c in pairs] and both[0] != both[1]
     monkeypatch.setattr(lexical, "MOST_QUERIES", 3)
     assert both == [sorted(map(tuple, r.collect())) for r in lexical.bm25_ranks(index, queries, 5, "q", "t", pairs)]
+
+
+def test_evidence_shuffles_no_terms_of_spans(spark):
+    rng = random.Random(3)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(4000)]
+    lines = lambda n: "\n".join(" ".join(rng.choices(words, k=20)) for _ in range(n))
+    jobs = spark.createDataFrame([(str(k), "f", "c", "t", lines(40)) for k in range(60)], "id string, job_family string, company string, title string, description_clean string").repartition(4)
+    nodes = chunks.passages(jobs, "id", "description_clean").withColumnRenamed("id", "job_id")
+    nodes = evidence.written(nodes, "nodes")
+    rows, moved = shuffled(spark, lambda: evidence.evidence_rows(jobs, nodes).collect())
+    spans = len(rows)
+    assert spans == 2400 and sum(r["reason"] is None for r in rows) > 1500 and all(r["node_ids"] and len(r["distinctive_terms"]) > 10 for r in rows if r["reason"] is None)
+    # texts, passages, terms of the corpus by task, and a digest of each span; once each, the 20 terms and 11 levels of a span not
+    assert moved < 2 * spans + 60 + nodes.count() + 4 * len(words) + 100, moved
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_passages_around_a_span_are_those_of_a_plain_loop(seed):
+    rng = random.Random(seed)
+    nodes = [{"node_id": f"n{k}", "start_offset": (a := rng.randrange(90)), "end_offset": a + rng.choice([-1, 0, 5, 30, 80]), "canonical_section": rng.choice([None, "", "a"]), "section_heading": rng.choice([None, "H"])} for k in range(60)]
+    nodes += [nodes[0] | {"start_offset": None}, nodes[1] | {"end_offset": None}]
+    made = evidence.Passages(nodes)
+    for _ in range(200):
+        a = rng.randrange(100)
+        b = a + rng.randrange(20)
+        want = [n for n in nodes if None not in (n["start_offset"], n["end_offset"]) and n["start_offset"] <= a and n["end_offset"] >= b]
+        assert sorted(n["node_id"] for n in made.around(a, b)) == sorted(n["node_id"] for n in want)
+
+
+def test_batches_of_texts_to_python_are_bounded(spark, monkeypatch):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([("a", "x y", "c")], "id string, t string, c string")
+    made = (
+        lambda: chunks.chunks(docs, "id", "t"), lambda: chunks.passages(docs, "id", "t"), lambda: evidence.evidence_spans(docs, id_col="id", text_col="t", company_col="c"),
+        lambda: evaluate.short_links(docs.selectExpr("id AS node", "t AS text"), docs.selectExpr("id AS query", "t AS item")),
+    )
+    for make in made:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, str(1 << 30))
+        make()
+        assert int(spark.conf.get(rows)) <= batches.BATCH_ROWS and int(spark.conf.get(size)) <= batches.BATCH_BYTES
