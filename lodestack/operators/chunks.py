@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.batches import give_back, small_batches
 from lodestack.operators.headings import HeadingTypes, section_ranges
 
 #: Breaks in the order of preference, how far back a passage may begin to start a word, and the name in an identifier.
@@ -77,6 +78,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, types: Sequence[tuple[st
     ``types`` are heading types; without any, only lines that look like headings open sections.
     chunk_index counts within a section. Identifiers take the id as text. Rows are not sorted."""
     check_sizes(size, overlap)
+    small_batches(df.sparkSession)
     names = ("node_id", "section_heading", "canonical_section", "chunk_index", "start_offset", "end_offset", "content_text")
     numbers = {"chunk_index", "start_offset", "end_offset"}
     arrow = pa.struct([(n, pa.int64() if n in numbers else pa.string()) for n in names])
@@ -93,6 +95,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, types: Sequence[tuple[st
     def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, texts in pairs:
             yield pa.array([cut(k, t) for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(arrow))
+        give_back()
 
     run.__annotations__ = {"pairs": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     found = F.arrow_udf(run, returns)(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
@@ -104,6 +107,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, types: Sequence[tuple[st
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 100) -> DataFrame:
     """(id, chunk_index, start, end, content), one row per passage, without regard to headings."""
     check_sizes(size, overlap)
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -117,5 +121,6 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap:
             columns = list(zip(*made, strict=True)) or [[]] * 5
             kinds = [batch.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "chunk_index", "start", "end", "content"])
+        give_back()
 
     return rows.mapInArrow(run, f"id {kind}, chunk_index long, start long, end long, content string").withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestack.operators.batches import give_back, small_batches
 from lodestack.operators.numbering import numbered
 
 #: Names of the outcomes, methods, kinds of query, metrics and compared methods.
@@ -77,6 +78,7 @@ def short_links(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(query, node): every text (node, text) with the items (query, item) that it contains, all found in one pass over the text.
 
     Equal items are one entry of the machine. The empty item is in every text; null texts contain nothing."""
+    small_batches(texts.sparkSession)
     kinds = {"query": items.schema["query"].dataType.simpleString(), "node": texts.schema["node"].dataType.simpleString()}
     grouped = [(r["item"], r["queries"]) for r in items.groupBy("item").agg(F.collect_list("query").alias("queries")).collect()]
 
@@ -96,6 +98,7 @@ def short_links(texts: DataFrame, items: DataFrame) -> DataFrame:
                 made[0].extend(queries)
                 made[1].extend([row] * len(queries))
             yield pa.RecordBatch.from_arrays([pa.array(made[0], kind), batch.column("node").take(pa.array(made[1], pa.int64()))], names=["query", "node"])
+        give_back()
 
     kind = to_arrow_type(items.schema["query"].dataType)
     return texts.where("text IS NOT NULL").select("node", "text").mapInArrow(run, f"query {kinds['query']}, node {kinds['node']}")
