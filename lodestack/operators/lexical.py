@@ -86,6 +86,11 @@ def weights(df: Column, n_docs: int) -> Column:
     return F.log1p((F.lit(n_docs) - df + 0.5) / (df + 0.5))
 
 
+def units_of(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, k1: float, b: float) -> np.ndarray:
+    """Contributions in whole units; ``length`` is relative to the mean."""
+    return np.floor(weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length)) * UNIT).astype(np.int64)
+
+
 class Asked:
     """The questions of a ranking as arrays: their ids, the asked terms with their weights, and the queries of each term."""
 
@@ -138,8 +143,8 @@ def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
 class Best:
     """The best ``k`` rows of every query so far: larger scores first, then smaller ids."""
 
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k, self.rows, self.least = k, None, np.zeros(n_queries)
+    def __init__(self, n_queries: int, k: int, kind: type = np.float64) -> None:
+        self.k, self.rows, self.least = k, None, np.zeros(n_queries, kind)
 
     def add(self, scores: np.ndarray, nodes: pa.Array) -> None:
         """``scores`` (nodes, queries), 0 where nothing matches."""
@@ -174,7 +179,7 @@ def scored_where_they_lie(index: Index, asked: Asked, k: int, constants: Sequenc
             for part in _parts(np.full(batch.num_rows, n_queries), CELLS):
                 own = slice(*np.searchsorted(row, [part.start, part.stop]))
                 for (k1, b), held in zip(constants, best, strict=True):
-                    units = np.floor(asked.weight[term[own]] * tf[own] * (k1 + 1) / (tf[own] + k1 * (1 - b + b * length[own])) * UNIT).astype(np.int64)
+                    units = units_of(asked.weight[term[own]], tf[own], length[own], k1, b)
                     scores = asked.sums(row[own] - part.start, term[own], units, part.stop - part.start) / UNIT
                     held.add(scores, batch.column("node").slice(part.start, part.stop - part.start))
         for at, held in enumerate(best):

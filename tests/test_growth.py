@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import batches, chunks, evaluate, evidence, lexical
+from lodestack.operators import batches, chunks, evaluate, evidence, kept_index, lexical
 
 
 def shuffled(spark, make):
@@ -97,3 +97,21 @@ def test_batches_of_texts_to_python_are_bounded(spark, monkeypatch):
         spark.conf.set(size, str(1 << 30))
         make()
         assert int(spark.conf.get(rows)) <= batches.BATCH_ROWS and int(spark.conf.get(size)) <= batches.BATCH_BYTES
+
+
+def test_a_kept_index_shuffles_no_blocks_and_no_matches(spark, corpus, monkeypatch, tmp_path):
+    monkeypatch.setattr(kept_index, "RANGE", 32)
+    monkeypatch.setattr(kept_index, "FIRST", 1)
+    docs, queries = corpus
+    docs.write.parquet(str(tmp_path / "docs"))
+    index, building = shuffled(spark, lambda: kept_index.kept_index(spark.read.parquet(str(tmp_path / "docs")), "id", "t"))
+    (ranked, _), searching = shuffled(spark, lambda: kept_index.search(index, queries, 5, "q", "t"))
+    got, last = shuffled(spark, ranked.collect)
+    want = lexical.bm25_topk(docs, queries, 5, "id", "t", "q", "t")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    assert index.bounds.count() > 2000 and building < 2 * 3003 + 500, building  # documents once, beside their lengths and the check of their ids
+    assert searching + last < 12_000, (searching, last)
+    monkeypatch.setattr(kept_index, "MOST_QUERIES", 6)
+    monkeypatch.setattr(kept_index, "HELD", 10)
+    again, counts = kept_index.search(index, queries, 5, "q", "t")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got)) and counts.count() == 21
