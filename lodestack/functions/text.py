@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TOKEN = r"(?iU)(?<![A-Za-z0-9_])(?:c\+\+(?:\d+)?|c#(?:\d+)?|\.net|node\.js|ci/cd)(?![A-Za-z0-9_])|[A-Za-z0-9]+(?:[._/+:-][A-Za-z0-9]+)*"
 #: Without one of these strings or letters in it, a text has tokens of the second kind only, found by a pattern that costs a fraction.
 TECHNICAL = ("c++", "c#", ".net", "node.js", "ci/cd")
-FOLDING_LETTERS = "[\u017f\u212a\u0130\u0131]"
+FOLDING_LETTERS = "\u017f\u212a\u0130\u0131"
 PLAIN_TOKEN = TOKEN.rpartition("|")[2]
 #: Words of an evidence span, and those that say nothing.
 TERM = r"[A-Za-z][A-Za-z0-9+.#/\-]*"
@@ -50,7 +50,9 @@ def _all(text: str | Column, pattern: str) -> Column:
 def search_tokens(text: str | Column) -> Column:
     """Search tokens in lower case, in order; null gives none."""
     low = F.lower(_text(text))
-    technical = _text(text).rlike(FOLDING_LETTERS)
+    technical = F.lit(False)
+    for letter in FOLDING_LETTERS:
+        technical = technical | F.contains(_text(text), F.lit(letter))
     for term in TECHNICAL:
         technical = technical | F.contains(low, F.lit(term))
     return F.when(technical, F.transform(_all(text, TOKEN), F.lower)).otherwise(F.regexp_extract_all(low, F.lit(PLAIN_TOKEN.replace("A-Z", "")), F.lit(0)))

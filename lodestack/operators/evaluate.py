@@ -34,8 +34,10 @@ _STATE, _DRAWS = 625, 10_000
 ANCHOR = 3
 #: Items up to this number are broadcast; beyond, joined by a shuffle.
 BROADCAST_ITEMS = 200_000
-#: Short items that one machine looks for; more are dealt to several passes.
-SHORT_ITEMS = 50_000
+#: Items, and their characters, that one machine looks for; more are dealt to several passes.
+SHORT_ITEMS, MACHINE_CHARS = 50_000, 2_000_000
+#: Passes over the texts that are cheaper than to find long items by windows of words.
+MOST_PASSES = 8
 
 
 def _window_hashes(starts: Column, size: int) -> Column:
@@ -45,18 +47,40 @@ def _window_hashes(starts: Column, size: int) -> Column:
 def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
     """(query, node) where the document's text contains the item's.
 
-    An item's inner words are whole words of any text that contains it, so an equi-join on
-    the hash of up to three of them finds the candidates and ``contains`` decides. Windows of
-    a text that no item asks for are dropped before anything is shuffled, as far as the items
-    may be broadcast. Items of one or two words have no inner word; they are looked for together,
-    by one machine that reads every text once, ``SHORT_ITEMS`` at a time."""
+    The items are looked for together, by one machine that reads every text once where it lies, so only
+    links are shuffled. ``SHORT_ITEMS`` and ``MACHINE_CHARS`` bound a machine; more items take several passes,
+    ``MOST_PASSES`` at most: beyond, items that have inner words are found by those."""
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_id).alias("query"), F.col(item_text).alias("item")).where("item IS NOT NULL")
-    asked = asked.withColumn("words", F.split("item", r"\s+")).withColumn("inner", F.least(F.size("words") - 2, F.lit(ANCHOR)))
+    found, passes = None, _passes(asked)
+    if passes > MOST_PASSES:
+        asked = asked.withColumn("words", F.split("item", r"\s+")).withColumn("inner", F.least(F.size("words") - 2, F.lit(ANCHOR)))
+        found = _anchored_links(texts, asked.where("inner > 0"))
+        asked = asked.where("inner <= 0").select("query", "item")
+        passes = _passes(asked)
+    for part in range(passes):
+        some = short_links(texts, asked.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == part))
+        found = some if found is None else found.union(some)
+    if found is None:
+        return texts.select(F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "node").limit(0)
+    return found.distinct()
+
+
+def _passes(items: DataFrame) -> int:
+    """How many machines the items take."""
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item")), F.lit(0))).first()
+    return max(-(-n // SHORT_ITEMS), -(-chars // MACHINE_CHARS))
+
+
+def _anchored_links(texts: DataFrame, asked: DataFrame) -> DataFrame | None:
+    """(query, node), some several times, of items (query, item, words, inner) with inner words.
+
+    Those are whole words of any text that contains the item, so an equi-join on the hash of up to
+    three of them finds the candidates and ``contains`` decides. Windows of a text that no item asks
+    for are dropped before anything is shuffled, as far as the items may be broadcast."""
     sizes = {r["inner"]: r["n"] for r in asked.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = texts.select("node", F.split("text", r"\s+").alias("words"))
-    found = None
-    for size in sorted(n for n in sizes if n > 0):
+    words, found = texts.select("node", F.split("text", r"\s+").alias("words")), None
+    for size in sorted(sizes):
         middle = F.greatest(F.lit(2), F.floor(F.size("words") / 2).cast("int"))
         anchored = asked.where(F.col("inner") == size).select("query", "item", F.xxhash64(F.slice("words", middle, size)).alias("anchor"))
         starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
@@ -64,14 +88,7 @@ def containment_qrels(docs: DataFrame, items: DataFrame, id_col: str, text_col:
         candidates = windows.join(F.broadcast(anchored) if sizes[size] <= BROADCAST_ITEMS else anchored, "anchor").select("node", "query", "item")
         some = candidates.join(texts, "node").where(F.contains("text", "item")).select("query", "node")
         found = some if found is None else found.union(some)
-    n_short = sum(n for inner, n in sizes.items() if inner <= 0)
-    for part in range(-(-n_short // SHORT_ITEMS)):
-        own = F.pmod(F.xxhash64("item"), F.lit(-(-n_short // SHORT_ITEMS))) == part
-        some = short_links(texts, asked.where("inner <= 0").where(own).select("query", "item"))
-        found = some if found is None else found.union(some)
-    if found is None:
-        return texts.select(F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "node").limit(0)
-    return found.distinct()
+    return found
 
 
 def short_links(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -80,7 +97,7 @@ def short_links(texts: DataFrame, items: DataFrame) -> DataFrame:
     Equal items are one entry of the machine. The empty item is in every text; null texts contain nothing."""
     small_batches(texts.sparkSession)
     kinds = {"query": items.schema["query"].dataType.simpleString(), "node": texts.schema["node"].dataType.simpleString()}
-    grouped = [(r["item"], r["queries"]) for r in items.groupBy("item").agg(F.collect_list("query").alias("queries")).collect()]
+    grouped = [(r["item"], [q["query"] for q in r["queries"]]) for r in items.groupBy("item").agg(F.collect_list(F.struct("query")).alias("queries")).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, always = ahocorasick.Automaton(), []

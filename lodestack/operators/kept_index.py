@@ -307,7 +307,7 @@ def _search(index: KeptIndex, asked: DataFrame, k: int, k1: float, b: float) ->
     spark = asked.sparkSession
     small_batches(spark)
     df = index.bounds.join(small(asked.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
-    arrays = Asked.of(asked, df.select("term", weights(F.col("df"), index.n_docs).alias("weight")))
+    arrays = Asked.of(asked, df.select("term", weights(F.col("df"), index.n_docs).alias("weight")).toArrow())
     reach = written(_best_ranges(index, arrays, k1, b), "best-ranges")
     blocks = reach.where("range IS NULL").groupBy("query").agg(F.sum("most").alias("blocks"))
     tried = first_k(reach.where("range IS NOT NULL").withColumnRenamed("range", "node"), TRIED, "most")

@@ -1,9 +1,10 @@
 """BM25 ranking over token postings.
 
 The corpus is tokenised once, into a written table of tokens by document, which gives its
-size, its mean length and how many documents have each asked term. A document lies in one
-row, so the task that reads it knows its whole score for every query: documents are scored
-where they lie, and each task gives its best ``k`` of every query. What is shuffled is in
+size and its mean length. A ranking reads it once, for the numbers and frequencies of the asked
+terms in each document, which are written: they tell how many documents have each term, and a
+document lies in one row, so the task that reads it knows its whole score for every query:
+documents are scored where they lie, and each task gives its best ``k`` of every query. What is shuffled is in
 proportion to queries, ``k`` and tasks, and not to the matches of frequent terms. Beyond
 ``BROADCAST_TERMS`` terms or ``MOST_QUERIES`` queries, postings are joined and sums by (query,
 document) shuffled. Contributions are added as whole numbers of
@@ -60,6 +61,11 @@ def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
+def rows_of(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is one of ``wanted``, which is read twice; as far as those are few, the others are dropped where they lie."""
+    return table.join(small(wanted.select(key).distinct()), key, "left_semi")
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, bag: list[str] | None = None) -> Index:
     """The index of ``docs``; the path of its table is added to ``bag``."""
     rows = docs.select(F.col(id_col).alias("node"), search_tokens(text_col).alias("tokens")).where("node IS NOT NULL")
@@ -98,9 +104,9 @@ class Asked:
         self.ids, self.terms, self.weight, self.ends, self.queries = ids, terms, weight, ends, queries
 
     @classmethod
-    def of(cls, asked: DataFrame, weighed: DataFrame) -> Asked:
+    def of(cls, asked: DataFrame, weighed: pa.Table) -> Asked:
         """Of (query, term) and (term, weight); terms that no document has are left out."""
-        rows, known = asked.toArrow(), weighed.toArrow().sort_by("term")
+        rows, known = asked.toArrow(), weighed.sort_by("term")
         terms = known.column("term").combine_chunks()
         column = rows.column("query").combine_chunks()
         ids = pc.unique(column)
@@ -111,14 +117,6 @@ class Asked:
         order = np.argsort(term, kind="stable")
         return cls(ids, terms, np.asarray(known.column("weight")), np.searchsorted(term[order], np.arange(len(terms) + 1)), query[order])
 
-    def postings(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, tf) of the asked terms in the rows of ``tokens``, by row and term."""
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
-        codes = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), self.terms), -1), np.int64)
-        width = max(1, len(self.terms))
-        keys, tf = np.unique((np.repeat(np.arange(len(tokens)), sizes) * width + codes)[codes >= 0], return_counts=True)
-        return keys // width, keys % width, tf
-
     def sums(self, row: np.ndarray, term: np.ndarray, units: np.ndarray, n_rows: int) -> np.ndarray:
         """(n_rows, queries): the whole units of every row for every query."""
         out = np.zeros(n_rows * len(self.ids), np.int64)
@@ -140,6 +138,25 @@ def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
         start = stop
 
 
+def numbers_of_terms(index: Index, terms: pa.Array) -> DataFrame:
+    """(node, dl, terms, tf): of every document the places in ``terms`` of those that it has, in order, and their frequencies."""
+    small_batches(index.tokens.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = max(1, len(terms))
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+            codes = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), terms), -1), np.int64)
+            keys, tf = np.unique((np.repeat(np.arange(len(tokens)), sizes) * width + codes)[codes >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(keys, np.arange(len(tokens) + 1) * width), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (keys % width, tf))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dl"), *lists], names=["node", "dl", "terms", "tf"])
+        give_back()
+
+    return index.tokens.select("node", "dl", "tokens").mapInArrow(run, f"node {dict(index.tokens.dtypes)['node']}, dl int, terms array<int>, tf array<int>")
+
+
 class Best:
     """The best ``k`` rows of every query so far: larger scores first, then smaller ids."""
 
@@ -166,15 +183,19 @@ class Best:
         self.rows = rows.filter(pa.array(place < self.k))
 
 
-def scored_where_they_lie(index: Index, asked: Asked, k: int, constants: Sequence[tuple[float, float]], kind: str) -> DataFrame:
-    """(at, query, node, score): of every task and query the best ``k`` documents that match, by each pair (k1, b) of ``constants``."""
-    small_batches(index.tokens.sparkSession)
-    mean, n_queries = index.mean_length, len(asked.ids)
+def scored_where_they_lie(coded: DataFrame, terms: pa.Array, mean: float, asked: Asked, k: int, constants: Sequence[tuple[float, float]], kind: str) -> DataFrame:
+    """(at, query, node, score): of every task and query the best ``k`` documents that match, by each pair (k1, b) of ``constants``.
+
+    ``coded`` is of ``numbers_of_terms``, with the same ``terms``."""
+    small_batches(coded.sparkSession)
+    n_queries = len(asked.ids)
+    place = np.asarray(pc.fill_null(pc.index_in(terms, asked.terms), -1), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(n_queries, k) for _ in constants]
         for batch in batches:
-            row, term, tf = asked.postings(batch.column("tokens"))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("terms"))))
+            term, tf = place[np.asarray(batch.column("terms").flatten())], np.asarray(batch.column("tf").flatten(), np.int64)
             length = np.asarray(batch.column("dl"), np.float64)[row] / mean if mean else np.zeros(len(row))
             for part in _parts(np.full(batch.num_rows, n_queries), CELLS):
                 own = slice(*np.searchsorted(row, [part.start, part.stop]))
@@ -188,7 +209,7 @@ def scored_where_they_lie(index: Index, asked: Asked, k: int, constants: Sequenc
                 yield pa.RecordBatch.from_arrays(columns, names=["at", "query", "node", "score"])
         give_back()
 
-    return index.tokens.select("node", "dl", "tokens").mapInArrow(run, f"at long, query {kind}, node {dict(index.tokens.dtypes)['node']}, score double")
+    return coded.mapInArrow(run, f"at long, query {kind}, node {dict(coded.dtypes)['node']}, score double")
 
 
 def bm25_ranks(index: Index, queries: DataFrame, k: int, query_id: str, query_text: str, constants: Sequence[tuple[float, float]]) -> list[DataFrame]:
@@ -198,10 +219,12 @@ def bm25_ranks(index: Index, queries: DataFrame, k: int, query_id: str, query_te
     terms = asked.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
     if few and asked.select("query").distinct().count() <= MOST_QUERIES:
-        rows = index.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term", "left_semi")
-        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        arrays = Asked.of(asked, df.select("term", weights(F.col("df"), index.n_docs).alias("weight")))
-        found = written(scored_where_they_lie(index, arrays, k, constants, dict(asked.dtypes)["query"]), "best-of-tasks")
+        names = terms.toArrow().column("term").combine_chunks().sort()
+        coded = written(numbers_of_terms(index, names), "numbers-of-terms")
+        df = coded.select(F.explode("terms").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+        known = df.select("code", weights(F.col("df"), index.n_docs).alias("weight")).toArrow()
+        arrays = Asked.of(asked, pa.table({"term": names.take(known.column("code").combine_chunks()), "weight": known.column("weight")}))
+        found = written(scored_where_they_lie(coded, names, index.mean_length, arrays, k, constants, dict(asked.dtypes)["query"]), "best-of-tasks")
         scored = [found.where(F.col("at") == at).drop("at") for at in range(len(constants))]
     else:
         found = written(index.postings(terms), "postings")

@@ -115,3 +115,26 @@ def test_a_kept_index_shuffles_no_blocks_and_no_matches(spark, corpus, monkeypat
     monkeypatch.setattr(kept_index, "HELD", 10)
     again, counts = kept_index.search(index, queries, 5, "q", "t")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got)) and counts.count() == 21
+
+
+def test_links_of_items_shuffle_no_texts_and_no_windows(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(800)]
+    items = [(q, " ".join(texts[q * 7].split()[9 : 9 + rng.choice([1, 3, 4, 12])])) for q in range(60)]
+    docs, asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string"), spark.createDataFrame(items, "q long, t string")
+    want = sorted((q, k) for q, i in items for k, t in enumerate(texts) if i in t)
+    got, moved = shuffled(spark, lambda: evaluate.containment_qrels(docs, asked, "id", "t", "q", "t").collect())
+    assert sorted(map(tuple, got)) == want
+    assert moved < len(want) + 2 * len(items) + 50, moved
+    for name, value in (("MACHINE_CHARS", 300), ("MOST_PASSES", 0)):  # several passes, and windows of words beyond them
+        monkeypatch.setattr(evaluate, name, value)
+        assert sorted(map(tuple, evaluate.containment_qrels(docs, asked, "id", "t", "q", "t").collect())) == want
+
+
+def test_a_ranking_reads_all_tokens_once(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    index, read = lexical.build_index(docs, "id", "t"), spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda tokens: read.add(1) or tokens, "array<string>")
+    index = lexical.Index(index.tokens.withColumn("tokens", counted("tokens")), index.n_docs, index.mean_length)
+    assert lexical.bm25_rank(index, queries, 5, "q", "t").count() == 23 * 5 and read.value == index.n_docs, read.value
