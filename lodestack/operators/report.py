@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import short_text
 from lodestack.operators.evaluate import KINDS, METHODS, evaluate_results, require_none
+from lodestack.operators.lexical import rows_of
 from lodestack.operators.pairs import ranking_errors
 from lodestack.sources.files import write_bytes, write_csv, write_json, write_lines
 from lodestack.storage import written
@@ -69,8 +70,10 @@ def failure_cases(results: DataFrame, scores: DataFrame, queries: DataFrame, nod
     some = F.when(F.col("hits") == 0, 0).otherwise(2)
     ordered = per_query.withColumn("priority", some + F.when(F.col("query_type") == KINDS[1], 0).otherwise(1)).orderBy("priority", "query_id").limit(most)
     chosen = ordered.select("priority", "query_id", "pair_id", "query_type", "query", "source_job_id", "evidence_text")
+    chosen = written(chosen, "worst")
     listed = results.join(F.broadcast(chosen.select("query_id", "source_job_id")), "query_id").select("query_id", "method", "source_job_id", F.posexplode("ranked_node_ids").alias("at", "node_id"))
-    about = nodes.select("node_id", "job_id", "title", "company", "section_heading", short_text("content_text", EXCERPT).alias("excerpt"))
+    listed = written(listed, "listed")
+    about = rows_of(nodes, listed, "node_id").select("node_id", "job_id", "title", "company", "section_heading", short_text("content_text", EXCERPT).alias("excerpt"))
     listed = listed.withColumn("rank", F.col("at") + 1).join(about, "node_id").join(hits, ["query_id", "method"])
     shown = F.struct("rank", "node_id", "job_id", "title", "company", "section_heading", "excerpt")
     found = listed.groupBy("query_id", "method").agg(

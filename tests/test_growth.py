@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import batches, chunks, evaluate, evidence, kept_index, lexical
+from lodestack.operators import batches, chunks, evaluate, evidence, kept_index, lexical, report
+from lodestack.plans import ranking
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled(spark, make):
@@ -138,3 +141,13 @@ def test_a_ranking_reads_all_tokens_once(spark, corpus, monkeypatch):
     counted = F.udf(lambda tokens: read.add(1) or tokens, "array<string>")
     index = lexical.Index(index.tokens.withColumn("tokens", counted("tokens")), index.n_docs, index.mean_length)
     assert lexical.bm25_rank(index, queries, 5, "q", "t").count() == 23 * 5 and read.value == index.n_docs, read.value
+
+
+def test_failure_cases_shuffle_no_passages(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{k}", f"j{k % 9}", "t", "c", None, f"text {k}") for k in range(3000)], "node_id string, job_id string, title string, company string, section_heading string, content_text string")
+    queries = spark.createDataFrame([(f"q{k}", f"p{k}", evaluate.KINDS[k % 2], "asked", f"j{k % 9}", "text") for k in range(30)], "query_id string, pair_id string, query_type string, query string, source_job_id string, evidence_text string")
+    results = spark.createDataFrame([(f"q{k}", m, [f"n{k * 50 + i}" for i in range(20)]) for k in range(30) for m in evaluate.METHODS], "query_id string, method string, ranked_node_ids array<string>")
+    scores = spark.createDataFrame([(f"q{k}", m, 0, ["n7"]) for k in range(30) for m in evaluate.METHODS], "query_id string, method string, source_evidence_hit_at_5 long, evidence_node_ids array<string>")
+    got, moved = shuffled(spark, lambda: report.failure_cases(results, scores, queries, nodes, 4).collect())
+    assert len(got) == 12 and all([t["excerpt"] for t in r["top5"]] == [f"text {int(r['query_id'][1:]) * 50 + i}" for i in range(5)] for r in got)
+    assert moved < 3000, moved
