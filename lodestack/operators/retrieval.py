@@ -94,9 +94,9 @@ def rerank_queries(results: DataFrame, queries: DataFrame, nodes: DataFrame, mak
     """Results of method ``rerank_bm25_dense``: all candidates of a query by the scorer's score, ties by id.
 
     A query's candidates, twice ``top_k`` at most, are scored in one call."""
-    candidates = candidate_lists(results, top_k)
+    candidates = written(candidate_lists(results, top_k), "candidates")
     require_none(ranking_errors(results, nodes, top_k).where("error = 'unknown_node'"))
-    texts = nodes.select(F.col("node_id").alias("node"), "retrieval_text")
+    texts = lexical.rows_of(nodes.select(F.col("node_id").alias("node"), "retrieval_text"), candidates, "node")
     asked = queries.select(F.col("query_id").alias("query"), F.col("query").alias("question"))
     listed = candidates.join(texts, "node").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "node", "retrieval_text"))).alias("c")).join(asked, "query")
     kinds = [("query_id", pa.string()), ("candidate_node_ids", pa.list_(pa.string())), ("scores", pa.list_(pa.float64())), ("rerank_elapsed_ms", pa.float64())]

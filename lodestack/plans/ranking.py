@@ -133,9 +133,9 @@ def rerank_standin(spark, sf_dir):
     """Candidates of two rankings by the share of the question's tokens that they have."""
     index = _index(spark, sf_dir)
     ranked = _rankings(spark, sf_dir, 10, index)
-    listed = fusion.rerank_candidates(ranked.where("method = 'bm25'"), ranked.where("method = 'dense'"))
+    listed = written(fusion.rerank_candidates(ranked.where("method = 'bm25'"), ranked.where("method = 'dense'")), "candidates")
     asked = _questions(spark, sf_dir).select("query", search_tokens("text").alias("asked"))
-    rows = listed.join(index.tokens.select("node", F.col("tokens").alias("have")), "node").join(asked, "query")
+    rows = listed.join(asked, "query").join(lexical.rows_of(index.tokens, listed, "node").select("node", F.col("tokens").alias("have")), "node")
     found = fusion.rerank(rows, term_overlap(F.col("asked"), F.col("have")))
     return found.select("query", "node", "position", F.round("score", 6).alias("score"), "rank")
 

@@ -151,3 +151,18 @@ def test_failure_cases_shuffle_no_passages(spark, monkeypatch):
     got, moved = shuffled(spark, lambda: report.failure_cases(results, scores, queries, nodes, 4).collect())
     assert len(got) == 12 and all([t["excerpt"] for t in r["top5"]] == [f"text {int(r['query_id'][1:]) * 50 + i}" for i in range(5)] for r in got)
     assert moved < 3000, moved
+
+
+def test_reranking_shuffles_tokens_of_candidates_only(spark, monkeypatch):
+    index = lexical.build_index(spark.createDataFrame([(k, f"some{k % 7} words{k % 11}") for k in range(20_000)], "id long, t string"), "id", "t")
+    monkeypatch.setattr(ranking, "_index", lambda *a: index)
+    listed = spark.createDataFrame([(m, f"{q}_{e}", 10 * q + n, n + 1) for m in ("bm25", "dense") for q in range(40) for e in ("high", "low") for n in range(10)], "method string, query string, node long, rank long")
+    monkeypatch.setattr(ranking, "_rankings", lambda *a: listed)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got, moved = shuffled(spark, lambda: ranking.rerank_standin(spark, SF).collect())
+    finally:
+        spark.conf.set(limit, before)
+    assert len(got) == 800 and moved < 10_000, moved  # some times the candidates
