@@ -171,7 +171,7 @@ def bootstrap_differences(spark, sf_dir):
 
 
 def candidate_coverage(spark, sf_dir):
-    return evaluate.candidate_coverage(_rankings(spark, sf_dir), _gold(spark, sf_dir), _questions(spark, sf_dir))
+    return evaluate.candidate_coverage(_rankings(spark, sf_dir), written(_gold(spark, sf_dir), "gold"), _questions(spark, sf_dir))
 
 
 def failure_cases(spark, sf_dir):

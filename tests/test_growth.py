@@ -153,6 +153,14 @@ def test_failure_cases_shuffle_no_passages(spark, monkeypatch):
     assert moved < 3000, moved
 
 
+def test_coverage_finds_its_gold_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ranking, "_rankings", lambda *a: None)
+    monkeypatch.setattr(evaluate, "candidate_coverage", lambda ranked, gold, asked: seen.append(gold))
+    ranking.candidate_coverage(spark, SF)
+    assert "MapInArrow" not in (plan := seen[0]._jdf.queryExecution().executedPlan().toString()) and "documents" not in plan
+
+
 def test_reranking_shuffles_tokens_of_candidates_only(spark, monkeypatch):
     index = lexical.build_index(spark.createDataFrame([(k, f"some{k % 7} words{k % 11}") for k in range(20_000)], "id long, t string"), "id", "t")
     monkeypatch.setattr(ranking, "_index", lambda *a: index)
